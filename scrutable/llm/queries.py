@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import op01_toxicity as op1
+from . import op02_license_scan as op2
 from . import op03_bpe_codec as op3
 from . import op05_language_id as op5
 from . import op08_token_counts as op8
+from . import op09_decontamination as op9
 from . import op10_line_dedup as op10
 from .common import table
 
@@ -17,6 +20,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held = op5.held_out(0, 5)
+    model = op1.fit(docs.where(~held), table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held))
+    return op1.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "n_restored")
+
+
+def op2_license_scan(spark, sf_dir):
+    found = op2.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    ids = F.concat_ws("", F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))))
+    names = F.concat_ws("", F.transform("licences", lambda x: F.concat(x, F.lit(";"))))
+    return found.select("doc_id", ids.alias("sentence_ids"), names.alias("licences"))
+
+
 def op3_bpe_codec(spark, sf_dir):
     return op3.digests(op3.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json")))
 
@@ -32,10 +49,14 @@ def op8_token_counts(spark, sf_dir):
     return op8.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return op9.find_contained(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_line_dedup(spark, sf_dir):
     kept = op10.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_codec, op5_language_id, op8_token_counts, op10_line_dedup)}
-ORACLES = {"op10_line_dedup": op10.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_bpe_codec, op5_language_id, op8_token_counts, op9_decontamination, op10_line_dedup)}
+ORACLES = {"op2_license_scan": op2.ORACLE, "op9_decontamination": op9.ORACLE, "op10_line_dedup": op10.ORACLE}
