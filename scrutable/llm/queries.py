@@ -8,6 +8,8 @@ from . import op01_toxicity as op1
 from . import op02_license_scan as op2
 from . import op03_bpe_codec as op3
 from . import op05_language_id as op5
+from . import op06_embedding_neardup as op6
+from . import op07_minhash_neardup as op7
 from . import op08_token_counts as op8
 from . import op09_decontamination as op9
 from . import op10_line_dedup as op10
@@ -45,6 +47,14 @@ def op5_language_id(spark, sf_dir):
     return op5.predict(docs, filters).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_embedding_neardup(spark, sf_dir):
+    return op6.link(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op7_minhash_neardup(spark, sf_dir):
+    return op7.cluster(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_token_counts(spark, sf_dir):
     return op8.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
@@ -58,5 +68,5 @@ def op10_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_bpe_codec, op5_language_id, op8_token_counts, op9_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_bpe_codec, op5_language_id, op6_embedding_neardup, op7_minhash_neardup, op8_token_counts, op9_decontamination, op10_line_dedup)}
 ORACLES = {"op2_license_scan": op2.ORACLE, "op9_decontamination": op9.ORACLE, "op10_line_dedup": op10.ORACLE}
