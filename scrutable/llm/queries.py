@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import op01_toxicity as op1
 from . import op02_license_scan as op2
 from . import op03_bpe_codec as op3
+from . import op04_substring_dedup as op4
 from . import op05_language_id as op5
 from . import op06_embedding_neardup as op6
 from . import op07_minhash_neardup as op7
@@ -40,6 +41,11 @@ def op3_bpe_codec(spark, sf_dir):
     return op3.digests(op3.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json")))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    kept = op4.dedup_substrings(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held = op5.held_out(2, 4)
@@ -68,5 +74,5 @@ def op10_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_bpe_codec, op5_language_id, op6_embedding_neardup, op7_minhash_neardup, op8_token_counts, op9_decontamination, op10_line_dedup)}
-ORACLES = {"op2_license_scan": op2.ORACLE, "op9_decontamination": op9.ORACLE, "op10_line_dedup": op10.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_bpe_codec, op4_substring_dedup, op5_language_id, op6_embedding_neardup, op7_minhash_neardup, op8_token_counts, op9_decontamination, op10_line_dedup)}
+ORACLES = {"op2_license_scan": op2.ORACLE, "op4_substring_dedup": op4.ORACLE, "op9_decontamination": op9.ORACLE, "op10_line_dedup": op10.ORACLE}
