@@ -49,3 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession) + "/part"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A shuffled join at every size: both sides grow with the corpus, and large keys stay splittable."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def hinted(df: DataFrame, limit: int) -> DataFrame:
+    """A side to broadcast where its counted rows allow it, to shuffle otherwise."""
+    return df.hint("broadcast" if df.count() <= limit else "merge")

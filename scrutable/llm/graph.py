@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, merged
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,10 +17,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = cut(ends.union(ends.select("v", "u")).where("u <> v").distinct())
     labels = cut(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("comp")))
     while True:
-        near = both.join(labels.select(F.col("u").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("low"))
-        step = cut(labels.join(near, "u").select("u", F.col("comp").alias("old"), F.least("comp", "low").alias("comp")))
+        near = merged(both, labels.select(F.col("u").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("low"))
+        step = cut(merged(labels, near, "u").select("u", F.col("comp").alias("old"), F.least("comp", "low").alias("comp")))
         jump = step.select(F.col("u").alias("comp"), F.col("comp").alias("next"))
-        labels = cut(step.join(jump, "comp", "left").select("u", "old", F.coalesce(F.least("comp", "next"), "comp").alias("comp")))
+        labels = cut(merged(step, jump, "comp", "left").select("u", "old", F.coalesce(F.least("comp", "next"), "comp").alias("comp")))
         if labels.where("comp <> old").isEmpty():
             return labels.select(F.col("u").alias("v"), "comp")
         labels = labels.select("u", "comp")

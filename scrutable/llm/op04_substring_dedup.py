@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, ship
+from .common import cut, hinted, merged, ship
 from .kernels import slices, span_hashes, text_bytes, windows, word_hashes, word_spans
 
 WINDOW, GRAM, LONGEST = 13, 5, 62  # words of a window and of an anchor; windows of a segment at most (bits of a mask)
@@ -247,10 +247,6 @@ def remove(batches):
 
 # --- on Spark ------------------------------------------------------------------------------------
 
-def hinted(df: DataFrame, limit: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
     """(doc_id, text, n_words, n_removed): each document without the words of windows that a smaller doc_id holds."""
     ship(docs.sparkSession)
@@ -261,22 +257,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = cut(found.join(hinted(live, broadcast_rows), "anchor", "left_semi"))
     lows = cut(found.groupBy("anchor", "fp").agg(F.min("doc_id").alias("low")))
     several = lows.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = cut(lows.join(several, "anchor").select("anchor", "fp", "low", "kinds"))
+    wanted = cut(merged(lows, several, "anchor").select("anchor", "fp", "low", "kinds"))
     words = own.mapInArrow(payloads_of, "doc_id long, anchor long, fp long, words binary").withColumnRenamed("doc_id", "low")
     n = wanted.count()
-    words = cut(words.join(F.broadcast(wanted) if n <= broadcast_rows else wanted, ["low", "anchor", "fp"]))
+    words = cut(words.join(hinted(wanted, broadcast_rows), ["low", "anchor", "fp"]))
     shards = max(1, -(-n // SHARD_SEGMENTS))
     dealt = words.where(F.col("kinds") <= HOT_SEGMENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     masks = dealt.groupBy("shard").applyInArrow(match_shard, "anchor long, fp long, mask long")
     hot = words.where(F.col("kinds") > HOT_SEGMENTS).select("anchor", "fp", "low", "words").mapInArrow(windows_of, "anchor long, fp long, low long, i int, window long")
     firsts = hot.groupBy("window").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").select("window", "first")
-    hot = hot.join(firsts, "window").where("first < low").groupBy("anchor", "fp").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+    hot = merged(hot, firsts, "window").where("first < low").groupBy("anchor", "fp").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     masks = cut(masks.unionByName(hot))
-    known = cut(lows.join(masks, ["anchor", "fp"], "left").select("anchor", "fp", "low", F.coalesce("mask", F.lit(0)).alias("mask")))
-    marked = found.join(known, ["anchor", "fp"]).where("doc_id > low OR mask <> 0")
+    known = cut(merged(lows, masks, ["anchor", "fp"], "left").select("anchor", "fp", "low", F.coalesce("mask", F.lit(0)).alias("mask")))
+    marked = merged(found, known, ["anchor", "fp"]).where("doc_id > low OR mask <> 0")
     mark = F.struct("pos", "n", F.when(F.col("doc_id") == F.col("low"), F.col("mask")).alias("mask"))
     marks = marked.select("doc_id", mark.alias("mark")).distinct().groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
-    return docs.join(marks, "doc_id", "left").mapInArrow(remove, "doc_id long, text string, n_words long, n_removed long")
+    return merged(docs, marks, "doc_id", "left").mapInArrow(remove, "doc_id long, text string, n_words long, n_removed long")
 
 
 ORACLE = r"""

@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, ship
+from .common import cut, hinted, merged, ship
 from .graph import components
 from .kernels import mix, shingles, slices
 
 COORDINATES, TREES, LEAF, DEPTH = 48, 8, 16, 4
 LEAST_MATCHES = COORDINATES // 2  # four standard deviations below 0.75 * COORDINATES
+BROADCAST_ROWS = 2_000_000  # most document ids that are broadcast to pick out candidates' texts
 MEMBERS = 500  # documents that share one copy of a pivot's text while candidates are confirmed
 
 
@@ -67,10 +68,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, num: int = 75, den: int = 100) ->
     Partners of one `a` are dealt to groups of about MEMBERS, each with its own copy of a's text, and
     streamed past it; no group of partners is ever held in memory.
     """
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    docs = cut(docs.join(hinted(ids, BROADCAST_ROWS), "doc_id", "left_semi"))
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
-    dealt = cut(pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")))
-    others = dealt.join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "salt", "b", "text")
-    pivots = counts.join(docs.select(F.col("doc_id").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    dealt = cut(merged(pairs, counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")))
+    others = merged(dealt, docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "salt", "b", "text")
+    pivots = merged(counts, docs.select(F.col("doc_id").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches):
         pivot = None
@@ -115,22 +118,22 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     branch = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * TREES - 1)), lambda t: F.xxhash64(t, F.get("sig", t))))
     members = sig.select("rep", branch.alias("node"))
     nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
-    members = cut(members.join(nodes, "node").select("node", "rep", "n", "pivot"))
+    members = cut(merged(members, nodes, "node").select("node", "rep", "n", "pivot"))
 
     # every class meets the smallest of its node
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
+    star = merged(merged(star, sig.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a"), sig.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
     links = cut(confirm(cut(star.where(alike(F.col("x"), F.col("y")) >= LEAST_MATCHES).select("a", "b")), docs))
     comps = components(links)
 
     # small nodes exhaustively, larger ones branch on
     left, missed = members.select("node", "rep", "n"), []
     for level in range(1, DEPTH + 1):
-        left = left.join(comps.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        left = merged(left, comps.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         mixed = left.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
-        left = cut(left.join(mixed, "node", "left_semi").join(sig, "rep").select("node", "rep", "n", "comp", "sig"))
+        left = cut(merged(merged(left, mixed, "node", "left_semi"), sig, "rep").select("node", "rep", "n", "comp", "sig"))
         small = left if level == DEPTH else left.where(F.col("n") <= LEAF)
-        x, y = small.alias("x"), small.alias("y")
+        x, y = small.alias("x"), small.alias("y").hint("merge")
         pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & (alike(F.col("x.sig"), F.col("y.sig")) >= LEAST_MATCHES))
         missed.append(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
         if level < DEPTH:
@@ -138,15 +141,15 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             deeper = left.where(F.col("n") > LEAF).select("rep", "node", "sig", chosen.alias("c"))
             deeper = deeper.select("rep", F.xxhash64("node", "c", F.get("sig", F.col("c").cast("int"))).alias("node")).distinct()
             sizes = deeper.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-            left = deeper.join(sizes, "node").select("node", "rep", "n")
+            left = merged(deeper, sizes, "node").select("node", "rep", "n")
     rest = missed[0]
     for x in missed[1:]:
         rest = rest.union(x)
     rest = cut(rest.distinct())
     if not rest.isEmpty():
         comps = components(links.union(confirm(rest, docs)))
-    classes = cut(classes.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select(*key, F.coalesce("comp", "rep").alias("component_id")))
-    out = sigs.select("doc_id", *key).join(classes, key, "left")
+    classes = cut(merged(classes, comps.withColumnRenamed("v", "rep"), "rep", "left").select(*key, F.coalesce("comp", "rep").alias("component_id")))
+    out = merged(sigs.select("doc_id", *key), classes, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import cut, hinted
+
 SIZE, THRESHOLD = 5, 0.75
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,11 +45,6 @@ def as_text(i):
     return F.concat_ws(" ", F.slice("words", i + 1, SIZE))
 
 
-def small(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast hint where the counted size allows it."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of every pair with containment of 0.75 or more."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(doc_text)).alias("words"))
@@ -61,11 +58,11 @@ def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", do
     signature = signature.select("item_id", "least", F.explode(F.slice("all", 1, (F.col("allowed") + 1).cast("int"))).alias("shingle"))
     signature = signature.groupBy("shingle").agg(F.collect_set(F.struct("item_id", "least")).alias("items"))
     long = with_shingles(docs.withColumn("n", F.size("words")), as_hash)
-    pairs = long.join(small(signature, broadcast_rows), "shingle").select("doc_id", "n", F.explode("items").alias("i")).where(F.greatest(F.col("n") - SIZE + 1, F.lit(1)) >= F.col("i.least")).select("doc_id", "i.item_id").distinct()
+    pairs = cut(long.join(hinted(signature, broadcast_rows), "shingle").select("doc_id", "n", F.explode("items").alias("i")).where(F.greatest(F.col("n") - SIZE + 1, F.lit(1)) >= F.col("i.least")).select("doc_id", "i.item_id").distinct())
     wanted = pairs.select("doc_id").distinct()
-    again = with_shingles(docs.join(wanted, "doc_id", "left_semi"), as_text)
-    shared = again.join(small(full, broadcast_rows), "shingle").select("doc_id", "item_id", "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    verified = shared.join(pairs, ["doc_id", "item_id"], "left_semi").join(small(sizes.select("item_id", "n_item"), broadcast_rows), "item_id")
+    again = with_shingles(docs.join(hinted(wanted, broadcast_rows), "doc_id", "left_semi"), as_text)
+    shared = again.join(hinted(full, broadcast_rows), "shingle").select("doc_id", "item_id", "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    verified = shared.join(pairs, ["doc_id", "item_id"], "left_semi").join(hinted(sizes.select("item_id", "n_item"), broadcast_rows), "item_id")
     return verified.where(F.col("n_shared") * 4 >= F.col("n_item") * 3).select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
