@@ -18,7 +18,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut
+from .common import cut, merged
 
 BLANK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,15 +55,15 @@ class SortedRuns:
     def add(self, keys: DataFrame) -> str:
         """Anti-join a batch's keys with every run, write what is left as a run, compact full levels."""
         for t in self.tables():
-            keys = keys.join(self.spark.table(t).select("key"), "key", "left_anti")
+            keys = merged(keys, self.spark.table(t).select("key"), "key", "left_anti")
         self.levels[0].append(self._write(keys.repartition(self.buckets, "key")))
         added = self.levels[0][-1]
         for i, level in enumerate(self.levels):
             if len(level) >= self.fanout:
-                merged = self.spark.table(level[0])
+                union = self.spark.table(level[0])
                 for t in level[1:]:
-                    merged = merged.unionByName(self.spark.table(t))
-                name = self._write(merged.repartition(self.buckets, "key"))
+                    union = union.unionByName(self.spark.table(t))
+                name = self._write(union.repartition(self.buckets, "key"))
                 for t in level:
                     self.spark.sql(f"DROP TABLE {t}")
                 self.levels[i] = []
@@ -85,14 +85,16 @@ def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted({int(x) for x in found})
 
 
-def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): each document without the lines that a smaller doc_id holds.
 
+    Columns named in `carry` are kept beside these.
+
     Work and run storage follow the number of distinct keys; a key shared by very many documents is one
     row per task before anything is shuffled, and only rows of repeated keys meet their owner again.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
     lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", line_key("line")).where(F.length("line") >= min_chars).select("doc_id", "pos", F.unhex(F.md5("line")).alias("key"))
     bounds = batch_bounds(docs, batches)
     edges = [None, *bounds, None]
@@ -107,13 +109,13 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: i
         tables.append(part)
         runs.add(part.groupBy("key").agg(F.min("doc_id").alias("owner")))
     keys = lines.select("doc_id", "key").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    repeated = runs.seen().join(keys.where("low < high").select("key"), "key", "left_semi")
-    dropped = cut(lines.join(repeated, "key").where("doc_id > owner").select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("drop")))
+    repeated = merged(runs.seen(), keys.where("low < high").select("key"), "key", "left_semi")
+    dropped = cut(merged(lines, repeated, "key").where("doc_id > owner").select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("drop")))
     runs.drop()
     split = F.split("text", "\n", -1)
-    joined = docs.join(dropped, "doc_id", "left")
+    joined = merged(docs, dropped, "doc_id", "left")
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.filter(split, lambda _, i: ~F.array_contains(F.col("drop"), i))))
-    return joined.select("doc_id", kept.alias("text"), F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select("doc_id", kept.alias("text"), *carry, F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 ORACLE = r"""
