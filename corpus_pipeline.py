@@ -1,12 +1,66 @@
-"""The corpus pipeline: documents through several operators of scrutable.llm, stage by stage."""
+"""The corpus pipeline: documents through five operators of scrutable.llm, stage by stage.
+
+Each stage takes (spark, docs, sf_dir), works on every row it is given and returns a DataFrame with the
+columns of documents; the last one returns what encoding yields. The caller writes a stage's rows and
+reads them again for the next.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from scrutable.llm import op01_toxicity as toxicity
+from scrutable.llm import op03_bpe_codec as bpe
+from scrutable.llm import op07_minhash_neardup as neardup
+from scrutable.llm import op09_decontamination as decontamination
+from scrutable.llm import op10_line_dedup as lines
+from scrutable.llm.common import cut, merged, table
+from scrutable.llm.op05_language_id import held_out
+from scrutable.llm.queries import tokenizer
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model accepts; it learns labels of the training fold only."""
+    held = held_out(0, 5)
+    model = toxicity.fit(docs.where(~held), table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held))
+    return toxicity.accepted(docs, model)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that a document of smaller doc_id holds."""
+    kept = lines.dedup_lines(docs, carry=("lang", "source"))
+    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each near-duplicate component."""
+    kept = neardup.cluster(docs).where("kept").select("doc_id")
+    return merged(docs, kept, "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with their digests and those of the decoded text."""
+    return bpe.digests(bpe.encode_decode(docs, tokenizer("word_bpe_49k.json")))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", keep_one_of_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding and decoding", encode),
+]
+#: Toxicity scores and MinHash clusters are not SQL; tests hold run() against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

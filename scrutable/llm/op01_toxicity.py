@@ -357,3 +357,17 @@ def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: st
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, n_restored long")
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored")
+
+
+def accepted(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns unchanged, whose whole text is not predicted toxic; nothing is shuffled."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        decoder = shared.value.decoder()
+        for batch in slices(batches, text_col):
+            texts, _ = restore(batch.column(text_col), decoder)
+            yield batch.filter(pa.array(shared.value.classifier.score(pa.array(texts, pa.string())) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
