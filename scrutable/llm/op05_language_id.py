@@ -42,27 +42,24 @@ def letter_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], rows[keep]
 
 
-def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit values of all n-grams that start or end in a letter, and their rows."""
+def ngrams(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size, 64-bit values of all n-grams inside a padded word, in text order, and their rows."""
     codes, rows = letter_codes(texts)
     space = codes == 32
-    found, owner = [], []
+    codes, found = codes.astype(np.uint64), []
     for n in SIZES:
         m = len(codes) - n + 1
         if m <= 0:
             continue
         value = np.full(m, n, np.uint64)
         for i in range(n):
-            value = value * np.uint64(0x110000 + 7) + codes[i : i + m].astype(np.uint64)
-        inner = np.zeros(m, bool)
+            value = value * np.uint64(0x110000 + 7) + codes[i : i + m]
+        inner = space[:m] & space[n - 1 :]
         for i in range(1, n - 1):
             inner |= space[i : i + m]
-        fits = (rows[:m] == rows[n - 1 :]) & ~inner & ~(space[:m] & space[n - 1 :][:m])
-        found.append(value[fits])
-        owner.append(rows[:m][fits])
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(found), np.concatenate(owner)
+        fits = (rows[:m] == rows[n - 1 :]) & ~inner
+        found.append((value[fits], rows[:m][fits]))
+    return found
 
 
 def count_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -77,10 +74,11 @@ def count_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c)], ["lang", "gram", "n"])
 
         for batch in slices(batches):
-            grams, rows = ngrams(batch.column("text").to_pylist())
+            parts = ngrams(batch.column("text").to_pylist())
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in sorted(set(langs.tolist())):
-                g, c = np.unique(grams[(langs == lang)[rows]], return_counts=True)
+                of = langs == lang
+                g, c = np.unique(np.concatenate([grams[of[rows]] for grams, rows in parts] or [np.zeros(0, np.uint64)]), return_counts=True)
                 if lang in counts:
                     both, back = np.unique(np.concatenate([counts[lang][0], g]), return_inverse=True)
                     c = np.bincount(back, np.concatenate([counts[lang][1], c])).astype(np.int64)
@@ -96,31 +94,40 @@ def count_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def slots_of(grams: np.ndarray, slots: int, hashes: int) -> np.ndarray:
-    h = mix(grams.astype(np.uint64))
-    step = mix(h) | np.uint64(1)
-    return np.stack([((h + np.uint64(i) * step) % np.uint64(slots)).astype(np.int64) for i in range(hashes)])
+    """Slots of each n-gram, one row a hash; `slots` is a power of two, the hashes are parts of one 64-bit value."""
+    h, last = mix(grams), np.uint64(slots - 1)
+    low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    return [((low + np.uint64(i) * high) & last).view(np.int64) for i in range(hashes)]
 
 
 class Filters:
     """Bit-sliced Bloom filters: table[w, s] has bit b set if language 64w+b holds an n-gram that hashes to slot s."""
 
     def __init__(self, langs: list[str], table: np.ndarray, hashes: int):
-        self.langs, self.table, self.hashes = langs, table, hashes
+        self.langs, self.hashes = langs, hashes
         fill = [((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))]
         self.false = np.array(fill) ** hashes
+        self.table = table.astype(np.min_scalar_type((1 << min(64, max(1, len(langs)))) - 1))  # as narrow as the languages allow
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        grams, rows = ngrams(texts)
-        total = np.bincount(rows, minlength=len(texts)).astype(float)
-        rates = np.zeros((len(self.langs), len(texts)))
-        if len(grams):
+        parts = ngrams(texts)
+        total, rates = np.zeros(len(texts)), np.zeros((len(self.langs), len(texts)))
+        for grams, rows in parts:
+            bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
+            full = np.flatnonzero(np.diff(bounds))
+            if not len(full):
+                continue
+            total += np.diff(bounds)
             at = slots_of(grams, self.table.shape[1], self.hashes)
-            for w in range(len(self.table)):
-                mask = np.bitwise_and.reduce(self.table[w][at], axis=0)
+            for w, table in enumerate(self.table):
+                mask = table[at[0]]
+                for x in at[1:]:
+                    mask &= table[x]
                 for b in range(min(64, len(self.langs) - 64 * w)):
-                    hit = ((mask >> np.uint64(b)) & np.uint64(1)).astype(float)
-                    rates[64 * w + b] = np.bincount(rows, hit, minlength=len(texts)) / np.maximum(total, 1)
-            rates = np.clip((rates - self.false[:, None]) / np.maximum(1 - self.false[:, None], 1e-9), 0, 1)
+                    hit = (mask >> mask.dtype.type(b)) & mask.dtype.type(1)
+                    rates[64 * w + b, full] += np.add.reduceat(hit, bounds[:-1][full], dtype=np.int64)
+        rates = rates / np.maximum(total, 1)
+        rates = np.clip((rates - self.false[:, None]) / np.maximum(1 - self.false[:, None], 1e-9), 0, 1)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         best = rates.argmax(axis=0)
