@@ -20,6 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once an application, so that functions are found by name there."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; texts can be long
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if _SHIPPED.get("app") == sc.applicationId:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -44,10 +46,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/scrutable-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it."""
+def cut(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it.
+
+    Files number at most `tasks_per_core` a core of the cluster; partitions of one file are still worked
+    through one after the other, so memory stays that of a partition.
+    """
     path = shared_folder(df.sparkSession) + "/part"
-    df.write.parquet(path)
+    df.coalesce(tasks_per_core * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,3 +65,4 @@ def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFra
 def hinted(df: DataFrame, limit: int) -> DataFrame:
     """A side to broadcast where its counted rows allow it, to shuffle otherwise."""
     return df.hint("broadcast" if df.count() <= limit else "merge")
+

@@ -63,7 +63,8 @@ def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", do
     again = with_shingles(docs.join(hinted(wanted, broadcast_rows), "doc_id", "left_semi"), as_text)
     shared = again.join(hinted(full, broadcast_rows), "shingle").select("doc_id", "item_id", "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     verified = shared.join(pairs, ["doc_id", "item_id"], "left_semi").join(hinted(sizes.select("item_id", "n_item"), broadcast_rows), "item_id")
-    return verified.where(F.col("n_shared") * 4 >= F.col("n_item") * 3).select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    found = cut(verified.where(F.col("n_shared") * 4 >= F.col("n_item") * 3).select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")))
+    return found
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
