@@ -46,14 +46,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/scrutable-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it.
 
-    Files number at most `tasks_per_core` a core of the cluster; partitions of one file are still worked
+    With `few`, for tables of ids and links, at most two files a core: the partitions of one file are worked
     through one after the other, so memory stays that of a partition.
     """
     path = shared_folder(df.sparkSession) + "/part"
-    df.coalesce(tasks_per_core * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+    out = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if few else df
+    out.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

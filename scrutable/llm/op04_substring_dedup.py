@@ -108,7 +108,7 @@ class SuffixAutomaton:
 # --- inside tasks -------------------------------------------------------------------------------
 
 def segments(column) -> dict[str, np.ndarray]:
-    """Segments of all rows: row, anchor, fp (hash of the words), pos (first word in the row), n (windows), and word hashes."""
+    """Segments of all rows: row, anchor, fp (hash of the words), begin (first word), n (windows), and word hashes."""
     data, offsets = text_bytes(column)
     start, end, first = word_spans(data, offsets)
     h = word_hashes(data, start, end)
@@ -116,7 +116,7 @@ def segments(column) -> dict[str, np.ndarray]:
     out = {"words": h, "first": first, "windows": at, "bounds": bounds}
     if not len(at):
         empty = np.zeros(0, np.int64)
-        return out | {"row": empty, "anchor": empty, "fp": empty, "begin": empty, "pos": empty, "n": empty}
+        return out | {"row": empty, "anchor": empty, "fp": empty, "begin": empty, "n": empty}
     grams = np.arange(len(h) - GRAM + 1)
     g = span_hashes(h, grams, grams + GRAM)
     anchor = g[at].copy()
@@ -130,7 +130,7 @@ def segments(column) -> dict[str, np.ndarray]:
     begin = np.flatnonzero(since % LONGEST == 0)
     n = np.diff(np.append(begin, len(at)))
     fp = span_hashes(h, at[begin], at[begin] + n + WINDOW - 1)
-    return out | {"row": row[begin], "anchor": anchor[begin].view(np.int64), "fp": fp.view(np.int64), "begin": at[begin], "pos": at[begin] - first[row[begin]], "n": n}
+    return out | {"row": row[begin], "anchor": anchor[begin].view(np.int64), "fp": fp.view(np.int64), "begin": at[begin], "n": n}
 
 
 def payload(words: np.ndarray, begin: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -162,21 +162,27 @@ def anchors_of(batches):
 
 
 def segments_of(batches):
-    """(doc_id, anchor, fp, pos, n) of every segment."""
+    """(doc_id, anchor, fp) of every segment, once a document."""
     for batch in slices(batches):
         s = segments(batch.column("text"))
-        doc = batch.column("doc_id").to_numpy()[s["row"]]
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s["anchor"]), pa.array(s["fp"]), pa.array(s["pos"].astype(np.int32)), pa.array(s["n"].astype(np.int32))], ["doc_id", "anchor", "fp", "pos", "n"])
+        key = np.unique(np.stack([s["row"], s["fp"]], axis=1), axis=0, return_index=True)[1] if len(s["fp"]) else s["fp"]
+        doc = batch.column("doc_id").to_numpy()[s["row"][key]]
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s["anchor"][key]), pa.array(s["fp"][key])], ["doc_id", "anchor", "fp"])
 
 
 def payloads_of(batches):
-    """(doc_id, anchor, fp, words) of every segment, once a document."""
+    """(low, anchor, fp, kinds, words) of the segments that each document is asked for in `wanted`."""
     for batch in slices(batches):
         s = segments(batch.column("text"))
-        key = np.stack([s["row"], s["fp"]], axis=1)
-        once = np.unique(key, axis=0, return_index=True)[1] if len(key) else np.zeros(0, np.int64)
-        doc = batch.column("doc_id").to_numpy()[s["row"][once]]
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s["anchor"][once]), pa.array(s["fp"][once]), payload(s["words"], s["begin"][once], s["n"][once])], ["doc_id", "anchor", "fp", "words"])
+        asked = {(r, w["fp"]): w["kinds"] for r, wanted in enumerate(batch.column("wanted").to_pylist()) for w in wanted}
+        take, kinds = [], []
+        for i, key in enumerate(zip(s["row"].tolist(), s["fp"].tolist(), strict=True)):
+            if key in asked:
+                kinds.append(asked.pop(key))
+                take.append(i)
+        take = np.array(take, np.int64)
+        doc = batch.column("doc_id").to_numpy()[s["row"][take]]
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s["anchor"][take]), pa.array(s["fp"][take]), pa.array(kinds, pa.int64()), payload(s["words"], s["begin"][take], s["n"][take])], ["low", "anchor", "fp", "kinds", "words"])
 
 
 def match_shard(shard: pa.Table) -> pa.Table:
@@ -219,17 +225,22 @@ def remove(batches):
         data, offsets = text_bytes(batch.column("text"))
         start, end, first = word_spans(data, offsets)
         cover = np.zeros(len(start) + WINDOW + 1, np.int64)
-        for r, marks in enumerate(batch.column("marks").to_pylist()):
-            for m in marks or ():
-                base = int(first[r]) + m["pos"]
-                if m["mask"] is None:
-                    cover[base] += 1
-                    cover[base + m["n"] + WINDOW - 1] -= 1
-                else:
-                    for i in range(m["n"]):
-                        if m["mask"] >> i & 1:
-                            cover[base + i] += 1
-                            cover[base + i + WINDOW] -= 1
+        marks = {(r, m["fp"]): m["mask"] for r, given in enumerate(batch.column("marks").to_pylist()) for m in given or ()}
+        s = segments(batch.column("text")) if marks else {"row": np.zeros(0, np.int64)}
+        busy = np.flatnonzero(np.isin(s["row"], [r for r, _ in marks]))
+        for i in busy.tolist():
+            key = (int(s["row"][i]), int(s["fp"][i]))
+            if key not in marks:
+                continue
+            base, n, mask = int(s["begin"][i]), int(s["n"][i]), marks[key]
+            if mask is None:
+                cover[base] += 1
+                cover[base + n + WINDOW - 1] -= 1
+            else:
+                for j in range(n):
+                    if mask >> j & 1:
+                        cover[base + j] += 1
+                        cover[base + j + WINDOW] -= 1
         gone = np.cumsum(cover)[: len(start)] > 0
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
         removed = np.bincount(row[gone], minlength=len(first) - 1)
@@ -252,26 +263,26 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     own = docs.where("doc_id IS NOT NULL")
-    live = cut(own.mapInArrow(anchors_of, "anchor long, low long, high long").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor"))
-    found = own.mapInArrow(segments_of, "doc_id long, anchor long, fp long, pos int, n int")
-    found = cut(found.join(hinted(live, broadcast_rows), "anchor", "left_semi"))
+    live = own.mapInArrow(anchors_of, "anchor long, low long, high long").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor")
+    found = own.mapInArrow(segments_of, "doc_id long, anchor long, fp long")
+    found = cut(merged(found, live, "anchor", "left_semi"))
     lows = cut(found.groupBy("anchor", "fp").agg(F.min("doc_id").alias("low")))
     several = lows.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = cut(merged(lows, several, "anchor").select("anchor", "fp", "low", "kinds"))
-    words = own.mapInArrow(payloads_of, "doc_id long, anchor long, fp long, words binary").withColumnRenamed("doc_id", "low")
-    n = wanted.count()
-    words = cut(words.join(hinted(wanted, broadcast_rows), ["low", "anchor", "fp"]))
+    wanted = cut(merged(lows, several, "anchor").groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("fp", "kinds")).alias("wanted")))
+    n = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    firsts = own.join(hinted(wanted.select("doc_id"), broadcast_rows), "doc_id", "left_semi")
+    words = cut(merged(firsts, wanted, "doc_id").mapInArrow(payloads_of, "low long, anchor long, fp long, kinds long, words binary"))
     shards = max(1, -(-n // SHARD_SEGMENTS))
     dealt = words.where(F.col("kinds") <= HOT_SEGMENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     masks = dealt.groupBy("shard").applyInArrow(match_shard, "anchor long, fp long, mask long")
     hot = words.where(F.col("kinds") > HOT_SEGMENTS).select("anchor", "fp", "low", "words").mapInArrow(windows_of, "anchor long, fp long, low long, i int, window long")
     firsts = hot.groupBy("window").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").select("window", "first")
     hot = merged(hot, firsts, "window").where("first < low").groupBy("anchor", "fp").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
-    masks = cut(masks.unionByName(hot))
-    known = cut(merged(lows, masks, ["anchor", "fp"], "left").select("anchor", "fp", "low", F.coalesce("mask", F.lit(0)).alias("mask")))
+    masks = masks.unionByName(hot)
+    known = merged(lows, masks, ["anchor", "fp"], "left").select("anchor", "fp", "low", F.coalesce("mask", F.lit(0)).alias("mask"))
     marked = merged(found, known, ["anchor", "fp"]).where("doc_id > low OR mask <> 0")
-    mark = F.struct("pos", "n", F.when(F.col("doc_id") == F.col("low"), F.col("mask")).alias("mask"))
-    marks = marked.select("doc_id", mark.alias("mark")).distinct().groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    mark = F.struct("fp", F.when(F.col("doc_id") == F.col("low"), F.col("mask")).alias("mask"))
+    marks = cut(marked.select("doc_id", mark.alias("mark")).distinct().groupBy("doc_id").agg(F.collect_list("mark").alias("marks")))
     return merged(docs, marks, "doc_id", "left").mapInArrow(remove, "doc_id long, text string, n_words long, n_removed long")
 
 
