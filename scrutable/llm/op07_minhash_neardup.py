@@ -2,14 +2,17 @@
 
 Documents with equal shingle sets are one class first. Each of several independent trees branches the
 classes by the values of two chosen MinHash coordinates: a node holds the classes that agree on the values
-along its path, and the next two coordinates are chosen by a hash of the node. A pair of similarity 0.75
-survives a branching with 1 - 0.25 ** 2, so eight trees miss it with probability below 1e-7.
+along its path, and the next two coordinates are chosen by a hash of the node. The first nodes that are
+compared are those of two branchings, four paths a tree: a pair of similarity 0.75 shares one in a tree with
+probability 0.91, so four trees miss it with less than 1e-4 (and pairs of 0.85 with less than 1e-6), while
+texts that share but a passage seldom meet.
 
 Nodes are compared in two steps that lose no link between components. First every class meets the smallest
-class of its node (linear in the node, however large), candidates pass a sketch filter set four standard
-deviations below 0.75, and are confirmed on full shingle sets. Then small nodes are compared exhaustively,
-but only pairs that no confirmed links connect yet; larger nodes that are not one component branch again,
-and what the deepest level still holds is compared exhaustively as well. Links give components.
+class of its node (linear in the node, however large); candidates pass a sketch filter set four standard
+deviations below 0.75, and are confirmed on full shingle sets. A node that these links make one component
+is done. Of the others, large ones branch again, a few times; small ones, and what the last level still
+holds, are compared exhaustively on full sets, in blocks of bounded size: tasks return links that join
+components, at most one a member, never pairs. Links give components.
 
 A document's set: distinct five-word shingles of its text, A-Z lower-cased, words split at ASCII white
 space; with one to four words, the whole sequence as one; without, the empty set, linked with nothing. Null
@@ -28,9 +31,10 @@ from .common import cut, hinted, merged, ship
 from .graph import components
 from .kernels import mix, shingles, slices
 
-COORDINATES, TREES, LEAF, DEPTH = 48, 8, 16, 4
+COORDINATES, TREES, LEAF, DEPTH = 48, 4, 512, 3
 LEAST_MATCHES = COORDINATES // 2  # four standard deviations below 0.75 * COORDINATES
 BROADCAST_ROWS = 2_000_000  # most document ids that are broadcast to pick out candidates' texts
+BLOCK, BLOCK_BYTES = 256, 16 << 20  # members and bytes of text of one side of a block comparison
 MEMBERS = 500  # documents that share one copy of a pivot's text while candidates are confirmed
 
 
@@ -68,10 +72,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, num: int = 75, den: int = 100) ->
     Partners of one `a` are dealt to groups of about MEMBERS, each with its own copy of a's text, and
     streamed past it; no group of partners is ever held in memory.
     """
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), few=True)
     docs = cut(docs.join(hinted(ids, BROADCAST_ROWS), "doc_id", "left_semi"))
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
-    dealt = cut(merged(pairs, counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")))
+    dealt = merged(pairs, counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     others = merged(dealt, docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "salt", "b", "text")
     pivots = merged(counts, docs.select(F.col("doc_id").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
 
@@ -100,6 +104,59 @@ def confirm(pairs: DataFrame, docs: DataFrame, num: int = 75, den: int = 100) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
+def compare_block(group: pa.Table, num: int = 75, den: int = 100, width: int = 8192) -> pa.Table:
+    """Links (a, b) between components in one block pair of a node, at most one a member; exact, on full sets."""
+    rep, comp, block = (group.column(c).to_numpy() for c in ("rep", "comp", "block"))
+    h, first = shingles(group.column("text"))
+    row, sizes = np.repeat(np.arange(len(rep)), np.diff(first)), np.diff(first)
+    _, column, count = np.unique(h, return_inverse=True, return_counts=True)
+    several = count > 1  # a shingle of one text adds to no intersection
+    rank = np.cumsum(several) - 1
+    row, column = row[several[column]], rank[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(rep), len(rep)), np.float32)  # counts stay far below 2**24
+    for at in range(0, int(several.sum()), width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        part = np.zeros((len(rep), width), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    near = den * both >= num * (sizes[:, None] + sizes[None] - both)
+    near &= (comp[:, None] != comp[None]) & (sizes[:, None] > 0)
+    if block.min() != block.max():
+        near &= block[:, None] != block[None]
+    root = {c: c for c in comp.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    links = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        x, y = find(int(comp[i])), find(int(comp[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            links.append((int(rep[i]), int(rep[j])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def exhaust(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between components within each node of (node, rep, comp), every pair of members compared.
+
+    A node above the block size becomes pairs of blocks, each a group of bounded size of its own.
+    """
+    ids = cut(nodes.select(F.col("rep").alias("doc_id")).distinct(), few=True)
+    texts = docs.join(hinted(ids, BROADCAST_ROWS), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    rows = cut(merged(nodes, texts, "rep"))
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
+    rows = merged(rows, rows.groupBy("node").agg(size.alias("blocks")), "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp", "text")
+    return rows.groupBy("node", "bi", "bj").applyInArrow(lambda group: compare_block(group), "a long, b long")
+
+
 def alike(x, y):
     """Matching MinHash coordinates of two signatures."""
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
@@ -114,40 +171,38 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = cut(found.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")))
     sig = classes.select("rep", "sig")
 
-    # level 1: every tree branches by its own two coordinates
-    branch = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * TREES - 1)), lambda t: F.xxhash64(t, F.get("sig", t))))
-    members = sig.select("rep", branch.alias("node"))
+    # two branchings: every tree has two coordinates of its own, and each node chooses two more
+    roots = F.transform(F.sequence(F.lit(0), F.lit(2 * TREES - 1)), lambda t: F.xxhash64(t, F.get("sig", t)))
+    members = sig.select("rep", "sig", F.explode(roots).alias("root"))
+    chosen = lambda node, j: F.pmod(F.xxhash64(node, j), F.lit(COORDINATES)).cast("int")
+    paths = [F.xxhash64("root", F.lit(j), F.get("sig", chosen("root", F.lit(j)))) for j in range(2)]
+    members = members.select("rep", F.explode(F.array(*paths)).alias("node"))
     nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     members = cut(merged(members, nodes, "node").select("node", "rep", "n", "pivot"))
 
     # every class meets the smallest of its node
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = merged(merged(star, sig.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a"), sig.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
-    links = cut(confirm(cut(star.where(alike(F.col("x"), F.col("y")) >= LEAST_MATCHES).select("a", "b")), docs))
+    links = cut(confirm(cut(star.where(alike(F.col("x"), F.col("y")) >= LEAST_MATCHES).select("a", "b"), few=True), docs), few=True)
     comps = components(links)
 
-    # small nodes exhaustively, larger ones branch on
-    left, missed = members.select("node", "rep", "n"), []
+    # nodes of several components: small ones exhaustively, larger ones branch on
+    left, todo = members.select("node", "rep", "n"), []
     for level in range(1, DEPTH + 1):
         left = merged(left, comps.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         mixed = left.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
-        left = cut(merged(merged(left, mixed, "node", "left_semi"), sig, "rep").select("node", "rep", "n", "comp", "sig"))
-        small = left if level == DEPTH else left.where(F.col("n") <= LEAF)
-        x, y = small.alias("x"), small.alias("y").hint("merge")
-        pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & (alike(F.col("x.sig"), F.col("y.sig")) >= LEAST_MATCHES))
-        missed.append(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
+        left = cut(merged(left, mixed, "node", "left_semi"))
+        todo.append((left if level == DEPTH else left.where(F.col("n") <= LEAF)).select("node", "rep", "comp"))
         if level < DEPTH:
-            chosen = F.explode(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda j: F.pmod(F.xxhash64("node", j), F.lit(COORDINATES))))
-            deeper = left.where(F.col("n") > LEAF).select("rep", "node", "sig", chosen.alias("c"))
-            deeper = deeper.select("rep", F.xxhash64("node", "c", F.get("sig", F.col("c").cast("int"))).alias("node")).distinct()
+            paths = [F.xxhash64("node", F.lit(j), F.get("sig", chosen("node", F.lit(j)))) for j in range(2)]
+            deeper = merged(left.where(F.col("n") > LEAF), sig, "rep").select("rep", F.explode(F.array(*paths)).alias("node"))
             sizes = deeper.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
             left = merged(deeper, sizes, "node").select("node", "rep", "n")
-    rest = missed[0]
-    for x in missed[1:]:
-        rest = rest.union(x)
-    rest = cut(rest.distinct())
-    if not rest.isEmpty():
-        comps = components(links.union(confirm(rest, docs)))
+    nodes = todo[0]
+    for x in todo[1:]:
+        nodes = nodes.union(x)
+    more = exhaust(cut(nodes, few=True), docs)
+    comps = components(links.union(more))
     classes = cut(merged(classes, comps.withColumnRenamed("v", "rep"), "rep", "left").select(*key, F.coalesce("comp", "rep").alias("component_id")))
     out = merged(sigs.select("doc_id", *key), classes, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

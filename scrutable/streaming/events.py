@@ -11,13 +11,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Count and sum by hour and type; each event counts once, and closed windows drop what comes later."""
-    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    once = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     return once.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("debut"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     s = F.session_window("ts", gap).alias("s")
-    return events.withWatermark("ts", late).groupBy(s, "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("debut"), F.col("s.end").alias("fin"), "n")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(s, "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("debut"), F.col("s.end").alias("fin"), "n")
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
