@@ -10,9 +10,10 @@ texts that share but a passage seldom meet.
 Nodes are compared in two steps that lose no link between components. First every class meets the smallest
 class of its node (linear in the node, however large); candidates pass a sketch filter set four standard
 deviations below 0.75, and are confirmed on full shingle sets. A node that these links make one component
-is done. Of the others, large ones branch again, a few times; small ones, and what the last level still
-holds, are compared exhaustively on full sets, in blocks of bounded size: tasks return links that join
-components, at most one a member, never pairs. Links give components.
+is done. Of the others, large ones branch again, a few times, where their branches hold at most half of
+their pairs; small ones, tight ones that no branching would part, and what the last level still holds, are
+compared exhaustively on full sets, in blocks of bounded size: tasks return links that join components, at
+most one a member, never pairs. Links give components.
 
 A document's set: distinct five-word shingles of its text, A-Z lower-cased, words split at ASCII white
 space; with one to four words, the whole sequence as one; without, the empty set, linked with nothing. Null
@@ -34,7 +35,7 @@ from .kernels import mix, shingles, slices
 COORDINATES, TREES, LEAF, DEPTH = 48, 4, 512, 3
 LEAST_MATCHES = COORDINATES // 2  # four standard deviations below 0.75 * COORDINATES
 BROADCAST_ROWS = 2_000_000  # most document ids that are broadcast to pick out candidates' texts
-BLOCK, BLOCK_BYTES = 256, 16 << 20  # members and bytes of text of one side of a block comparison
+BLOCK, BLOCK_BYTES = 512, 16 << 20  # members and bytes of text of one side of a block comparison
 MEMBERS = 500  # documents that share one copy of a pivot's text while candidates are confirmed
 
 
@@ -146,14 +147,23 @@ def compare_block(group: pa.Table, num: int = 75, den: int = 100, width: int = 8
 def exhaust(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between components within each node of (node, rep, comp), every pair of members compared.
 
-    A node above the block size becomes pairs of blocks, each a group of bounded size of its own.
+    A node above the block size becomes pairs of blocks, each a group of bounded size of its own. Members of
+    the node's largest component are in blocks apart, which meet the blocks of the others but not each
+    other: they are linked already, so a tight group costs by its outsiders, not by its square.
     """
     ids = cut(nodes.select(F.col("rep").alias("doc_id")).distinct(), few=True)
     texts = docs.join(hinted(ids, BROADCAST_ROWS), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
     rows = cut(merged(nodes, texts, "rep"))
-    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
-    rows = merged(rows, rows.groupBy("node").agg(size.alias("blocks")), "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp", "text")
+    blocks = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES)).cast("int")
+    parts = rows.groupBy("node", "comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+    sides = parts.groupBy("node").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max(F.struct("n", "b", "comp")).alias("main"))
+    whole = blocks(F.col("n"), F.col("b")) <= 1
+    ours = F.greatest(blocks(F.col("n") - F.col("main.n"), F.col("b") - F.col("main.b")), F.lit(1))
+    sides = sides.select("node", F.when(~whole, F.col("main.comp")).alias("main"), F.when(whole, 1).otherwise(ours).alias("ours"), F.when(whole, 0).otherwise(blocks(F.col("main.n"), F.col("main.b"))).alias("mains"))
+    rows = merged(rows, sides, "node").withColumn("in_main", F.coalesce(F.col("comp") == F.col("main"), F.lit(False)))
+    rows = rows.withColumn("block", F.when(F.col("in_main"), F.col("ours") + F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("ours"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(F.col("in_main"), F.col("ours")).otherwise(F.col("ours") + F.col("mains")) - 1)
+    rows = rows.withColumn("other", F.explode(others)).select("node", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp", "text")
     return rows.groupBy("node", "bi", "bj").applyInArrow(lambda group: compare_block(group), "a long, b long")
 
 
@@ -186,18 +196,22 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = cut(confirm(cut(star.where(alike(F.col("x"), F.col("y")) >= LEAST_MATCHES).select("a", "b"), few=True), docs), few=True)
     comps = components(links)
 
-    # nodes of several components: small ones exhaustively, larger ones branch on
+    # nodes of several components: larger ones branch on where that halves the pairs, the others exhaustively
     left, todo = members.select("node", "rep", "n"), []
     for level in range(1, DEPTH + 1):
         left = merged(left, comps.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         mixed = left.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
-        left = cut(merged(left, mixed, "node", "left_semi"))
-        todo.append((left if level == DEPTH else left.where(F.col("n") <= LEAF)).select("node", "rep", "comp"))
-        if level < DEPTH:
-            paths = [F.xxhash64("node", F.lit(j), F.get("sig", chosen("node", F.lit(j)))) for j in range(2)]
-            deeper = merged(left.where(F.col("n") > LEAF), sig, "rep").select("rep", F.explode(F.array(*paths)).alias("node"))
-            sizes = deeper.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-            left = merged(deeper, sizes, "node").select("node", "rep", "n")
+        left = cut(merged(left, mixed, "node", "left_semi"), few=True)
+        if level == DEPTH:
+            todo.append(left.select("node", "rep", "comp"))
+            break
+        paths = [F.xxhash64("node", F.lit(j), F.get("sig", chosen("node", F.lit(j)))) for j in range(2)]
+        deeper = cut(merged(left.where(F.col("n") > LEAF), sig, "rep").select(F.col("node").alias("parent"), F.col("n").alias("of"), "rep", F.explode(F.array(*paths)).alias("node")), few=True)
+        sizes = deeper.groupBy("parent", "of", "node").agg(F.count("*").alias("n"))
+        paying = cut(sizes.groupBy("parent", "of").agg(F.sum(F.col("n") * F.col("n")).alias("cost")).where("2 * cost <= of * of").select("parent"), few=True)
+        todo.append(merged(left, paying.select(F.col("parent").alias("node")), "node", "left_anti").select("node", "rep", "comp"))
+        sizes = merged(sizes.where("n > 1"), paying, "parent", "left_semi").select("node", "n")
+        left = merged(deeper, sizes, "node").select("node", "rep", "n")
     nodes = todo[0]
     for x in todo[1:]:
         nodes = nodes.union(x)
