@@ -1,7 +1,9 @@
 """Licence scan by sentence rules; DataFrame functions only.
 
 A text is cut into sentences (wrapped lines are joined first), each is normalised to lower-case letters and
-digits with single blanks, and known licence sentences become identifiers. The sequence of identifiers is
+digits with single blanks, and known licence sentences become identifiers. A known sentence may lie in several
+parts in a row, because it holds a stop such as ':' or 'v. ' or because its lines are wrapped, indented or
+commented out; it must begin and end where parts do, and the longest one wins. The sequence of identifiers is
 then read by ordered rules: the first rule that finds its sequence claims it, so a full grant text is not
 reported again as a mere mention.
 
@@ -66,20 +68,24 @@ RULES = [
     ("Proprietary", ["AllRights"]),
 ]
 #: Every known sentence holds one of these, so a text without any has no identifier.
-CUES = "licen|permi|rights|software|redistribut|copyright|warrant|under cc by"
+CUES = "licen|permi|rights|software|redistribut|copyright|warrant|cc[^a-z0-9]+by"
 assert all(re.search(CUES, s) for known in SENTENCES.values() for s in known)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WRAPPED, SHOUTED = "([^.!?:;|\n])\n([a-z])", "([A-Z][A-Z]),?\n([A-Z][A-Z])"
 STOP = "([.!?:;])[\\x20\\x09-\\x0D]+"
+#: A known sentence in one part or several, from the start of a part to the end of one; longer ones first.
+KNOWN = "(?<=\n)(?:" + "|".join(s.replace(" ", "[ \n]") for s in sorted((s for group in SENTENCES.values() for s in group), key=len, reverse=True)) + ")(?=\n)"
 
 
 def identifiers(text):
     """Array of the identifiers of a text's known sentences, in order."""
     joined = F.regexp_replace(F.regexp_replace(text, WRAPPED, "$1 $2"), SHOUTED, "$1 $2")
-    parts = F.split(F.regexp_replace(joined, STOP, "$1\n"), "\n")
+    parts = F.translate(F.regexp_replace(joined, STOP, "$1\n"), UPPER, LOWER)
+    parts = F.concat(F.lit("\n"), F.regexp_replace(F.regexp_replace(parts, "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n"), F.lit("\n"))
+    parts = F.regexp_replace(parts, "^\n[ \n]*| ?\n$", "\n")
     known = F.create_map(*[F.lit(x) for name, group in SENTENCES.items() for s in group for x in (s, name)])
-    found = F.transform(parts, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " "))))
+    found = F.transform(F.regexp_extract_all(parts, F.lit(KNOWN), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
     return F.when(F.translate(text, UPPER, LOWER).rlike(CUES), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 

@@ -179,6 +179,72 @@ def test_licences(spark, docs, no_docs):
     assert op2.scan(docs).where("size(licences) > 0").count() == 0 and op2.scan(no_docs).count() == 0
 
 
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+ENDORSE = """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+NOTICES = [
+    (["GPLfree", "GPLwarranty"], ["GPL-3.0-or-later"], GPL.format(":", ",", 3)),
+    (["GPL2free", "GPLwarranty"], ["GPL-2.0-or-later"], GPL.format(";", ";", 2)),
+    (["Apache2ref", "Apache2comply", "Apache2copy", "Apache2warranty"], ["Apache-2.0"], APACHE),
+    (["MITgrant", "MITnotice", "MITwarranty"], ["MIT"], LICENCE_TEXTS[1][1]),
+    (["BSDgrant", "BSDsource", "BSDbinary"], ["BSD-2-Clause"], BSD),
+    (["BSDgrant", "BSDsource", "BSDbinary", "BSDendorse"], ["BSD-3-Clause"], BSD + ENDORSE),
+    (["MPL2ref"], ["MPL-2.0"], MPL),
+    (["ISCgrant"], ["ISC"], ISC),
+    (["GPL3ref"], ["GPL-3.0-only"], "SPDX-License-Identifier: GPL-3.0-only"),
+    (["GPL2ref"], ["GPL-2.0-only"], "Licensed under the GNU General\nPublic License, version 2."),
+    (["CCBYNC4ref"], ["CC-BY-NC-4.0"], "Released under CC-BY-NC-4.0."),
+    (["CCBYSA4ref"], ["CC-BY-SA-4.0"], "This work is licensed under a\nCreative Commons Attribution-ShareAlike 4.0 International License."),
+    (["CCBY4ref"], ["CC-BY-4.0"], "This work is licensed under a Creative Commons\nAttribution 4.0 International License."),
+    (["AllRights"], ["Proprietary"], "All rights reserved."),
+    (["MITref", "AllRights"], ["MIT", "Proprietary"], "License: MIT\nAll rights reserved"),
+    ([], [], "This program is free software: you can redistribute it, or so they say.\nThe license v. 2.0 is not named."),
+]
+STYLES = [lambda t: t, lambda t: t.replace("\n", "\r\n"), *[lambda t, m=m: "Copyright 2020 A. B.\n\n" + "\n".join(m + x for x in t.split("\n")) for m in ("    ", "# ", "// ", " * ", ";; ", "-- ", "\t")], lambda t: "/*\n * " + t.replace("\n", "\n * ") + "\n */\nint x;"]
+
+
+def test_canonical_notices(spark):
+    rows = [(k * 100 + i, style(t), ids, names) for k, style in enumerate(STYLES) for i, (ids, names, t) in enumerate(NOTICES)]
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in op2.scan(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect()}
+    assert got == {i: (ids, names) for i, _, ids, names in rows}
+    assert {n for n, _ in op2.RULES} == {n for _, names, _ in NOTICES for n in names}
+
+
 def items(documents):
     long = next(t for i, t in documents if i == 82).split()
     edited = long[200:240]
