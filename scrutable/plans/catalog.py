@@ -361,7 +361,7 @@ def _(t):
 
 @query("slugs_of_texts")
 def _(t):
-    return t.raw("documents").select("doc_id", X.slugify(F.left("text", F.lit(200))).alias("slug"))
+    return t.raw("documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 @query("carrier_texts", ctes("scrutin") + " SELECT titre, count(*) AS n FROM (SELECT CASE WHEN titre = 'l''ensemble du projet de loi' THEN 'projet de loi' ELSE titre END AS titre FROM scrutin) GROUP BY titre")

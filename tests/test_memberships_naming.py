@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from scrutable.functions import text as X
 from scrutable.operators import imports, intervals, naming, quality, tables
+from scrutable.plans import catalog
 
 D = datetime.date.fromisoformat
 
@@ -61,6 +62,17 @@ def test_slug_assignment_with_collisions(spark):
     assert got == {1: ("jean-dupont-2", False), 2: ("jean-dupont-3", False), 3: ("jean-dupont-2-2", False), 4: ("q4", True)}
 
 
+def test_slugs_of_whole_texts(spark, tmp_path):
+    import re
+    import unicodedata
+
+    texts = [None, "", "--", "Élan vital, " * 60 + "fin.", "Ça et là\n" * 500 + "Œuvre", "x" * 250 + " Y", "a" * 199 + " - été"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
+    want = {i: None if t is None else re.sub("[^a-z0-9]+", "-", plain(t)).strip("-") for i, t in enumerate(texts)}
+    assert {r.doc_id: r.slug for r in catalog.QUERIES["slugs_of_texts"](spark, str(tmp_path)).collect()} == want
+
+
 def brute_rows(segments):
     ends, rows = [], []
     for s, e in segments:
