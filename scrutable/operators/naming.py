@@ -70,12 +70,18 @@ def year_markers(segments: DataFrame, today) -> DataFrame:
 
 
 def resolve_external_ids(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (an_uid, qid) that are one-to-one both ways, and those that are not with the side at fault."""
-    pairs = hits.groupBy("an_uid", "qid").agg(F.min("image_url").alias("image_url"))
+    """Pairs (an_uid, qid) that are one-to-one both ways, and those that are not with the side at fault.
+
+    The good pairs come from counts, however many partners a key has; only the others, for who reads them, list
+    their partners.
+    """
+    pairs = hits.where("an_uid IS NOT NULL AND qid IS NOT NULL").groupBy("an_uid", "qid").agg(F.min("image_url").alias("image_url"))
+    one_qid = pairs.groupBy("an_uid").agg(F.count("*").alias("n"), F.min("qid").alias("qid"), F.min("image_url").alias("image_url")).where("n = 1")
+    one_uid = pairs.groupBy("qid").agg(F.count("*").alias("n")).where("n = 1").select("qid")
+    good = one_qid.join(one_uid, "qid", "left_semi").select("an_uid", "qid", "image_url")
     by_uid = pairs.groupBy("an_uid").agg(F.array_sort(F.collect_list("qid")).alias("qids"))
     by_qid = pairs.groupBy("qid").agg(F.array_sort(F.collect_list("an_uid")).alias("an_uids"))
-    both = pairs.join(by_uid, "an_uid").join(by_qid, "qid")
-    good = both.where("size(qids) = 1 AND size(an_uids) = 1").select("an_uid", "qid", "image_url")
     side = F.when(F.size("qids") > 1, "an_uid").otherwise("qid")
-    bad = both.where("size(qids) > 1 OR size(an_uids) > 1").select("an_uid", side.alias("cote"), F.when(F.size("qids") > 1, F.col("qids")).otherwise(F.col("an_uids")).alias("autres")).distinct()
+    both = pairs.join(by_uid, "an_uid").join(by_qid, "qid").where("size(qids) > 1 OR size(an_uids) > 1")
+    bad = both.select("an_uid", side.alias("cote"), F.when(F.size("qids") > 1, F.col("qids")).otherwise(F.col("an_uids")).alias("autres")).distinct()
     return good, bad

@@ -428,6 +428,12 @@ def _(t):
     return naming.resolve_external_ids(hits)[0].select("an_uid", "qid")
 
 
+@query("external_ids_all", "WITH p AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS q FROM lineitem), u AS (SELECT u FROM p GROUP BY u HAVING count(*) = 1), q AS (SELECT q FROM p GROUP BY q HAVING count(*) = 1) SELECT 'PA' || u AS an_uid, 'Q' || q AS qid FROM p WHERE u IN (SELECT u FROM u) AND q IN (SELECT q FROM q)")
+def _(t):
+    hits = t.raw("lineitem").select(F.concat(F.lit("PA"), F.col("l_suppkey")).alias("an_uid"), F.concat(F.lit("Q"), F.col("l_partkey")).alias("qid"), F.lit(None).cast("string").alias("image_url"))
+    return naming.resolve_external_ids(hits)[0].select("an_uid", "qid")
+
+
 @query("import_problems", "SELECT 'x' AS problem, 0::BIGINT AS n WHERE FALSE")
 def _(t):
     rows = _import_rows(t)

@@ -102,6 +102,14 @@ def test_external_ids_must_be_one_to_one(spark):
     assert sorted((r.an_uid, r.cote, tuple(r.autres)) for r in bad.collect()) == [("PA2", "an_uid", ("Q2", "Q3")), ("PA3", "qid", ("PA3", "PA4")), ("PA4", "qid", ("PA3", "PA4"))]
 
 
+def test_external_ids_over_all_lines(spark, tmp_path):
+    lines = [(1, 10, 50.0, 0.0), (1, 11, 1.0, 0.05), (2, 12, 3.0, 0.05), (2, 12, 50.0, 0.0), (3, 13, 50.0, 0.0), (4, 13, 2.0, 0.02), (5, 14, 7.0, 0.09)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.QUERIES["external_ids_all"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("PA2", "Q12"), ("PA5", "Q14")]
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_display_strings(spark):
     d = lambda s: F.lit(s).cast("date")
     row = spark.range(1).select(
