@@ -32,15 +32,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a number `_row` of its own for each row, fixed by writing it: doc_id may be null or repeat."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each near-duplicate component."""
-    kept = neardup.cluster(docs).where("kept").select("doc_id")
-    return merged(docs, kept, "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    """One row of each near-duplicate component: the one of smallest doc_id, rows without doc_id last."""
+    rows = numbered(docs)
+    found = neardup.cluster(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    first = merged(rows.select("_row", "doc_id"), found, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return merged(rows, first.select("first._row"), "_row", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).select("doc_id", "text", "lang", "source", "n_chars")
+    """Rows that contain no benchmark item, with a doc_id or without."""
+    return decontamination.decontaminate(numbered(docs), table(spark, sf_dir, "benchmark", "item_id", "text"), doc_id="_row").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

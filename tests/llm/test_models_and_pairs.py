@@ -185,3 +185,18 @@ def test_pipeline_stages(spark, tmp_path):
     hit = {r.doc_id for r in seen["MinHash near-dedup"].itertuples() if any(4 * len(shingle_set(r.text) & s) >= 3 * len(s) for s in items if s)}
     assert set(seen["benchmark decontamination"]["doc_id"]) == set(seen["MinHash near-dedup"]["doc_id"]) - hit
     assert sorted(r.ids_sha256 for r in corpus_pipeline.run(spark, folder).collect()) == sorted(seen[names[-1]]["ids_sha256"])
+
+
+def test_pipeline_keeps_rows_without_id(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    item = " ".join(f"item{i}" for i in range(12))
+    rows = [(2, a), (1, a + " end"), (None, a), (None, b), (None, b), (5, c), (5, c), (5, d), (None, None), (None, ""), (None, f"x {item} y"), (6, f"z {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    one = stages["MinHash near-dedup"](spark, docs, str(tmp_path))
+    assert one.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in one.collect()), key=key) == sorted([(1, a + " end"), (None, b), (5, c), (5, d), (None, None), (None, ""), (None, f"x {item} y"), (6, f"z {item}")], key=key)
+    clean = stages["benchmark decontamination"](spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=key) == sorted(rows[:-2], key=key)
