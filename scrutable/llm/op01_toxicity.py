@@ -1,10 +1,12 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A character language model is counted over all given texts. Words that may be disguised (leetspeak
-inside a word, a letter three times in a row, letters spaced out one by one) become lattices: a run of one
+A character language model is counted over all given texts. Words that may be disguised (a letter and an
+imitating sign or digit anywhere in a word, a letter three times in a row, single letters spaced out by one
+blank or one same sign) become lattices: a run of one
 character can stand for the letters it imitates, once or twice, or for nothing, each at a channel cost.
-Viterbi decoding under the language model picks the restored word. A word of plain letters has one path
-only, itself, and is left alone. The restored text is then scored by learned evidence: smoothed log odds
+Viterbi decoding under the language model picks the restored word. The word as written is one reading too,
+its runs of letters as words, with signs at its end free as in ordinary writing: "no!" or "page2" stays by
+score. A word of plain letters has one path only, itself, and is left alone. The restored text is then scored by learned evidence: smoothed log odds
 of word beginnings and whole words, calibrated by a logistic curve.
 
 The classifier is fitted on at most `sample_rows` labelled rows (the lowest hashes of doc_id); the language
@@ -17,6 +19,7 @@ every score is 0.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,16 @@ from .op05_language_id import letter_codes
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
 PUNCTUATION = ".,;:!?\"'()[]{}|*#&%-_"
 COST_LEET, COST_DROP, COST_SHRINK = -0.7, -9.0, -0.3
+_SIGNS = "".join(LEET)
+_EDGE = "".join(c for c in PUNCTUATION if c not in LEET)  # imitates nothing
+_LETTERS = re.compile(r"[^\W\d_]+")
+_THRICE = re.compile(r"([^\W\d_])\1\1")
+_UNIT = rf"(?:[^\W\d_]|[{re.escape(_SIGNS)}])"
+_CHAIN = re.compile(rf"(?<![^\W_]){_UNIT}([^\w\s]|_){_UNIT}(?:\1{_UNIT})+(?![^\W_])")
 PREFIXES = (4, 5, 6, 8)
 BITS = 22
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
 # --- character language model -------------------------------------------------------------------
@@ -136,53 +147,71 @@ class Decoder:
             best, i = step, j
         return max(((score + self.model.log(s, " "), word) for s, (score, word) in best.items()), default=(0.0, ""))
 
+    def plain(self, text: str) -> float:
+        """Score of a word as written: its runs of letters as words; signs before a letter cost what dropping costs."""
+        runs = list(_LETTERS.finditer(text))
+        gaps = sum(a.start() > end for a, end in zip(runs, [0, *[r.end() for r in runs]], strict=False))
+        return sum(self.model.word(r[0]) for r in runs) + gaps * COST_DROP
+
+    def joined(self, m: re.Match) -> str:
+        """Single characters spaced out by one same sign: the word they make, if that is likelier than letters apart."""
+        letters = m[0][::2]
+        if not any(c.isalpha() for c in letters):
+            return m[0]
+        score, word = self.path(letters)
+        return word if word and score > sum(self.path(c)[0] for c in letters) else m[0]
+
     def decode(self, token: str) -> str:
-        """A disguised word, or letters spaced out by single blanks, restored; else the token as it is."""
+        """A disguised word, or letters spaced out by single blanks or signs, restored; else the token as it is."""
         text = token.lower()
         if " " in text:
             parts = text.split(" ")
             score, word = self.path("".join(parts))
             apart = sum(self.path(p)[0] for p in parts)
             return word if score > apart else token
+        given, text = text, _CHAIN.sub(self.joined, text)
+        kept = token if text == given else text
         core = text.strip(PUNCTUATION)
         while len(core) > 2 and core[-1] == core[-2] == core[-3] and not core[-1].isalpha():
             core = core.rstrip(core[-1])
         if not any(c.isalpha() for c in core):
-            return token
-        return self.path(core)[1] or token
-
-
-_LEET_BYTE = np.zeros(256, bool)
-_LEET_BYTE[[ord(c) for c in LEET if ord(c) < 128]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+            return kept
+        forms = dict.fromkeys([core, text.strip(_EDGE), core.rstrip(_SIGNS + PUNCTUATION)])
+        readings = [self.path(f) for f in forms if _THRICE.search(f) or any(c in LEET for c in f)]
+        score, word = max(readings, default=(-math.inf, ""))
+        return word if word and score > self.plain(core) else kept
 
 
 def suspects(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Byte spans of words that may be disguised, in order."""
+    """Byte spans of words that may be disguised, in order: every word or chain that has another reading."""
     start, end, first = word_spans(data, offsets)
     if not len(start):
         return []
-    low = lower_ascii(data)
-    odd = np.zeros(len(data) + 1, np.int64)
-    mark = np.zeros(len(data), bool)
-    letter, leet = _LETTER[data], _LEET_BYTE[data]
-    mark[:-1] = (letter[:-1] & leet[1:]) | (leet[:-1] & letter[1:])
-    tail = np.zeros(len(data), bool)  # a sign or digit at a word's very end, such as "no!" or "page2", is ordinary writing
-    tail[:-1] = letter[:-1] & leet[1:]
-    stops = np.zeros(len(data) + 2, bool)
-    stops[end] = True
-    run = np.zeros(len(data), bool)
-    run[:-2] = letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & (data[:-2] < 128)
-    after = np.zeros(len(data), bool)
-    after[:-1] = stops[2 : len(data) + 1]
-    same = np.zeros(len(data), bool)  # letter, sign, sign: junk after a word, not an imitation
-    same[:-2] = tail[:-2] & (data[1:-1] == data[2:])
-    np.cumsum((mark & ~(tail & after) & ~same) | run, out=odd[1:])
-    flagged = odd[end - 1] > odd[start]
-    chars = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
-    single = (chars[end] - chars[start] == 1) & (letter[start] | leet[start])
+    at = np.flatnonzero((data & 0xC0) != 0x80)  # where characters start
+    codes = np.frombuffer(lower_ascii(data).tobytes().decode().encode("utf-32-le"), "<u4").copy()
+    letter, leet = (codes >= 97) & (codes <= 122), np.zeros(len(codes), bool)
+    for c in LEET:
+        leet |= codes == ord(c)
+    high = np.flatnonzero(codes >= 128)
+    if len(high):
+        values, back = np.unique(codes[high], return_inverse=True)
+        letter[high] = np.array([chr(c).isalpha() for c in values])[back]
+        codes[high] = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in values], "<u4")[back]
+    white = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    unit, sign = letter | leet, ~(letter | white | ((codes >= 48) & (codes <= 57)))
+    other = np.zeros(len(codes), bool)  # three of one letter, or three single characters with one same sign between
+    other[:-2] = letter[:-2] & (codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:])
+    other[:-4] |= unit[:-4] & sign[1:-3] & unit[2:-2] & (codes[1:-3] == codes[3:-1]) & unit[4:]
+
+    def within(flags):
+        """How many of the flagged characters each word has."""
+        total = np.zeros(len(flags) + 1, np.int64)
+        np.cumsum(flags, out=total[1:])
+        return total[stop] - total[begin]
+
+    begin, stop = np.searchsorted(at, start), np.searchsorted(at, end)
+    flagged = ((within(letter) > 0) & (within(leet) > 0)) | (within(other) > 0)
+    single = (stop - begin == 1) & unit[begin]
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     chained = np.zeros(len(start), bool)
     chained[1:] = single[1:] & single[:-1] & (start[1:] == end[:-1] + 1) & (row[1:] == row[:-1])

@@ -124,6 +124,21 @@ def test_only_suspects_are_touched(spark):
     assert texts[:3] == given[:3] and "idiot" in texts[3] and "idiot" in texts[4] and list(changed[:3]) == [0, 0, 0]
 
 
+def test_every_disguise_reaches_the_decoder(spark):
+    import pyarrow as pa
+
+    counts = op1.count_trigrams(spark.createDataFrame([(0, "no he says that shit can kill a free ass on this page and the idiot wrote été")] * 50, "doc_id long, text string")).toPandas()
+    d = op1.Decoder(op1.CharModel(counts["gram"].to_numpy(), counts["n"].to_numpy()))
+    words = {"shi7": "shit", "ki11": "kill", "fr33": "free", "i.d.i.o.t": "idiot", "I-D-I-O-T!": "idiot", "i_d_i_0_t": "idiot", "(i*d*i*o*t)": "idiot", "fr€e": "free", "étééé": "été", "sh1t2": "shit", "1d10t": "idiot"}
+    plain = ["no!", "page2", "shit!", "page", "1.2.3", "2024", "été", "no.", "on|"]
+    given = [f"x {w} y" for w in [*words, *plain]] + ["a i\nd\ni\no\nt", None, "", "i", "a€"]
+    texts, changed = op1.restore(pa.array(given), d)
+    for (raw, want), text, n in zip(words.items(), texts, changed, strict=False):
+        assert (text[2:-2].strip("()!"), n) == (want, 1), (raw, text)
+    assert texts[len(words) : len(words) + len(plain)] == [f"x {w} y" for w in plain]
+    assert all(op1.suspects(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])) for w in ("a$$", "a55", "ki11", "fr33", "shi7", "a€", "ééé", "É.é.é", "no!"))
+
+
 def test_toxicity_edges(docs, documents, no_docs, spark):
     labels = spark.createDataFrame([(i, None if i % 7 == 0 else int(i % 3 == 0)) for i in range(70)] + [(None, 1)], "doc_id long, toxic int")
     model = op1.fit(docs, labels)
