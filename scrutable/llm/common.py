@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, str] = {}
+_WRITTEN: dict[int, str] = {}  # where each frame that cut() gave was written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -38,24 +40,36 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all machines of a cluster share.
 
-    Only where that setting is missing (a local session) a temporary folder stands in for it.
+    Only a local session may leave the setting out: its one machine gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = _SHIPPED.setdefault("local", "file://" + tempfile.mkdtemp(prefix="scrutable-"))
     return f"{base.rstrip('/')}/scrutable-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, few: bool = False) -> DataFrame:
+def cut(df: DataFrame, few: bool = False, by: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it.
 
     With `few`, for tables of ids and links, at most two files a core: the partitions of one file are worked
-    through one after the other, so memory stays that of a partition.
+    through one after the other, so memory stays that of a partition. With `by`, in folders of that column's values.
     """
     path = shared_folder(df.sparkSession) + "/part"
     out = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if few else df
-    out.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (out.write.partitionBy(by) if by else out.write).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(written)] = path
+    weakref.finalize(written, _WRITTEN.pop, id(written), None)
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables made by `cut` that nothing reads any more; what a result still reads has to stay."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_WRITTEN[id(df)]).getParent()
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:

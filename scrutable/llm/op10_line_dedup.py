@@ -1,15 +1,22 @@
 """Line dedup with levelled sorted runs.
 
 Documents come in batches of rising doc_id. The index of seen line keys is a set of runs, each a table of
-(key digest, owner) bucketed and sorted by digest. A batch reduces its lines to one row a key, is
-merge-anti-joined with every run on the shared bucketing (no run is shuffled again), and adds what is new
-as a run of level 0; when a level holds `fanout` runs they are merged into one run of the next level.
-Since batches rise by doc_id, the owner of a key is the smallest document that holds it.
+(key digest, owner) bucketed and sorted by digest. A batch reduces its lines to one row a key and is
+merge-joined with every run on the shared bucketing, so no run is shuffled again: keys that no run holds
+(the anti-join) are the batch's own run, of level 0, and keys that a run holds have their owner there. When
+a level holds `fanout` runs they are merged, bucket by bucket, into one run of the next level, so n batches
+leave of the order of log(n) runs. Since batches rise by doc_id, the owner of a key is the smallest document that holds
+it, and the runs alone say which lines go: those of a key whose owner is another, smaller document.
+
+An index that the caller names stays after the job; later batches of documents, given the same index, lose
+the lines that any earlier batch held (whoever came first owns a key). Without one, runs are dropped, also
+when the job fails.
 
 A key is the line without ASCII white space at both ends, A-Z lower-cased; only keys of `min_chars` code
 points or more are indexed, so blank and short lines stay. Null or empty text is one empty line. Repeated
-rows of one doc_id are the same document, one output row each. Rows whose doc_id is null are kept whole
-and own nothing. Only id and text are read; an empty table gives no rows. Digests have 128 bits.
+rows of one doc_id are the same document, one output row each, whatever their texts. Rows whose doc_id is
+null are kept whole and own nothing. Only id, text and carried columns are read; an empty table gives no
+rows. Digests have 128 bits. Dropping is linear in a document's lines.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, merged
+from .common import cut, discard, merged
 
 BLANK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,53 +36,66 @@ def line_key(line):
 
 
 class SortedRuns:
-    """Levelled runs of (key, owner), each a bucketed and sorted table of the session's warehouse."""
+    """Levelled runs of (key, owner, fresh): bucketed and sorted tables of the session's catalogue.
+
+    Table names hold index and level, so the same name opens the same runs again. Only rows with `fresh`
+    belong to a run; the others serve the batch that wrote them and go at the next merge.
+    """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, name: str, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.name, self.fanout = spark, name, max(2, fanout)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = [[]]
+        self.levels: dict[int, list[str]] = {}
+        for t in sorted(x.name for x in spark.catalog.listTables(pattern=f"{name}_level*")):
+            self.levels.setdefault(int(t.removeprefix(f"{name}_level").split("_")[0]), []).append(t)
 
     def tables(self) -> list[str]:
-        return [t for level in self.levels for t in level]
-
-    def _write(self, keys: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        keys.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
-        return name
-
-    def seen(self) -> DataFrame | None:
-        """All keys of all runs; a key is in one run only."""
-        found = [self.spark.table(t) for t in self.tables()]
-        out = found[0] if found else None
-        for x in found[1:]:
-            out = out.unionByName(x)
-        return out
-
-    def add(self, keys: DataFrame) -> str:
-        """Anti-join a batch's keys with every run, write what is left as a run, compact full levels."""
-        for t in self.tables():
-            keys = merged(keys, self.spark.table(t).select("key"), "key", "left_anti")
-        self.levels[0].append(self._write(keys.repartition(self.buckets, "key")))
-        added = self.levels[0][-1]
-        for i, level in enumerate(self.levels):
-            if len(level) >= self.fanout:
-                union = self.spark.table(level[0])
-                for t in level[1:]:
-                    union = union.unionByName(self.spark.table(t))
-                name = self._write(union.repartition(self.buckets, "key"))
-                for t in level:
-                    self.spark.sql(f"DROP TABLE {t}")
-                self.levels[i] = []
-                if i + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[i + 1].append(name)
-        return added
+        return [t for level in sorted(self.levels) for t in self.levels[level]]
 
-    def drop(self) -> None:
-        for t in self.tables():
+    def _write(self, keys: DataFrame, level: int) -> str:
+        t = f"{self.name}_level{level}_{uuid.uuid4().hex}"
+        keys.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(t)
+        self.levels.setdefault(level, []).append(t)
+        return t
+
+    def _drop(self, level: int) -> None:
+        for t in self.levels.pop(level):
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
 
+    def run(self, t: str) -> DataFrame:
+        return self.spark.table(t).where("fresh").select("key", "owner")
+
+    def add(self, keys: DataFrame) -> DataFrame:
+        """Join a batch's (key, low, high) with every run, keep the new keys as a run: (key, owner) of those that repeat.
+
+        The rows returned lie in tables of the index, so they have to be used before the next batch is added.
+        """
+        owners = []
+        for i, t in enumerate(self.tables()):
+            owners.append(F.col(f"owner{i}"))
+            keys = merged(keys, self.run(t).withColumnRenamed("owner", f"owner{i}"), "key", "left")
+        seen = F.coalesce(*owners, F.lit(None).cast("long"))
+        t = self._write(keys.select("key", F.coalesce(seen, "low").alias("owner"), seen.isNull().alias("fresh"), (seen.isNotNull() | (F.col("low") < F.col("high"))).alias("repeats")), 0)
+        return self.spark.table(t).where("repeats").select("key", "owner")
+
+    def compact(self) -> None:
+        """Merge the runs of a full level into one of the next, on their bucketing and order."""
+        level = 0
+        while level in self.levels:
+            if len(self.levels[level]) >= self.fanout:
+                first, *rest = self.levels[level]
+                both = self.run(first)
+                for t in rest:
+                    other = self.run(t).withColumnRenamed("owner", "other")
+                    both = merged(both, other, "key", "full").select("key", F.coalesce("owner", "other").alias("owner"))
+                self._write(both.select("key", "owner", F.lit(True).alias("fresh"), F.lit(False).alias("repeats")), level + 1)
+                self._drop(level)
+            level += 1
+
+    def drop(self) -> None:
+        for level in list(self.levels):
+            self._drop(level)
+
 
 def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     """Cut points in doc_id that deal documents into about equal batches; any cut points give the same result."""
@@ -85,37 +105,42 @@ def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted({int(x) for x in found})
 
 
-def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), index: str | None = None) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): each document without the lines that a smaller doc_id holds.
 
-    Columns named in `carry` are kept beside these.
+    Columns named in `carry` are kept beside these. `index` names runs to open and to keep.
 
     Work and run storage follow the number of distinct keys; a key shared by very many documents is one
     row per task before anything is shuffled, and only rows of repeated keys meet their owner again.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
-    lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", line_key("line")).where(F.length("line") >= min_chars).select("doc_id", "pos", F.unhex(F.md5("line")).alias("key"))
     bounds = batch_bounds(docs, batches)
-    edges = [None, *bounds, None]
-    runs, tables = SortedRuns(spark, fanout), []
-    lines = cut(lines)
-    for low, high in zip(edges, edges[1:], strict=False):
-        part = lines
-        if low is not None:
-            part = part.where(F.col("doc_id") >= low)
-        if high is not None:
-            part = part.where(F.col("doc_id") < high)
-        tables.append(part)
-        runs.add(part.groupBy("key").agg(F.min("doc_id").alias("owner")))
-    keys = lines.select("doc_id", "key").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    repeated = merged(runs.seen(), keys.where("low < high").select("key"), "key", "left_semi")
-    dropped = cut(merged(lines, repeated, "key").where("doc_id > owner").select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("drop")))
-    runs.drop()
-    split = F.split("text", "\n", -1)
-    joined = merged(docs, dropped, "doc_id", "left")
-    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.filter(split, lambda _, i: ~F.array_contains(F.col("drop"), i))))
-    return joined.select("doc_id", kept.alias("text"), *carry, F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    batch = F.lit(0)
+    for x in bounds:
+        batch = batch + (F.col("doc_id") >= x).cast("int")
+    lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", line_key("line")).where(F.length("line") >= min_chars)
+    lines = cut(lines.select("doc_id", "pos", F.unhex(F.md5("line")).alias("key"), batch.alias("batch")), by="batch")
+    runs, dropped = SortedRuns(spark, index or f"line_runs_{uuid.uuid4().hex}", fanout), []
+    try:
+        for i in range(len(bounds) + 1):
+            part = lines.where(F.col("batch") == i)
+            repeated = runs.add(part.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+            gone = merged(part, repeated, "key").where("doc_id <> owner").select("doc_id", "pos").distinct()
+            dropped.append(cut(gone.groupBy("doc_id").agg(F.collect_list("pos").alias("drop"))))
+            runs.compact()
+    finally:
+        if index is None:
+            runs.drop()
+    discard(lines)
+    gone = dropped[0]
+    for x in dropped[1:]:
+        gone = gone.unionByName(x)
+    # the join keeps the split lines a column, so that each is read by its place once
+    each = merged(docs.select("doc_id", F.split("text", "\n", -1).alias("lines"), *carry), gone, "doc_id", "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("drop", F.array().cast("array<int>")))
+    kept = F.when(F.col("drop").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+    return each.select("doc_id", kept.alias("text"), *carry, F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 ORACLE = r"""

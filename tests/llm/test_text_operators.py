@@ -107,6 +107,42 @@ def test_lines_sql(docs, documents):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.h) for r in got.collect()} == want
 
 
+def test_runs_stay_for_later_batches(spark):
+    schema = "doc_id long, text string"
+    first = spark.createDataFrame([(5, "a common line here\nonly in five, really"), (6, "a common line here")], schema)
+    later = spark.createDataFrame([(1, "A COMMON line here \nnew in one, really"), (2, "new in one, really\nonly in five, really")], schema)
+    runs = op10.SortedRuns(spark, "kept_runs")
+    try:
+        op10.dedup_lines(first, batches=3, index="kept_runs")
+        assert op10.SortedRuns(spark, "kept_runs").tables()
+        got = {r.doc_id: (r.text, r.n_dropped) for r in op10.dedup_lines(later, batches=1, index="kept_runs").collect()}
+        assert got == {1: ("new in one, really", 1), 2: ("", 2)}
+    finally:
+        op10.SortedRuns(spark, "kept_runs").drop()
+    assert not runs.tables() and not spark.catalog.listTables(pattern="line_runs*")
+
+
+def test_runs_answer_without_a_shuffle_of_runs(spark):
+    keys = spark.range(100).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"), F.col("id").alias("low"), F.col("id").alias("high"))
+    runs = op10.SortedRuns(spark, "plan_runs", fanout=2)
+    try:
+        runs.add(keys.where("low < 60"))
+        repeated = runs.add(keys.where("low >= 50"))
+        assert sorted(r.owner for r in repeated.collect()) == list(range(50, 60))
+        one, two = (runs.run(t) for t in runs.tables())
+        assert "Exchange" not in op10.merged(one, two.withColumnRenamed("owner", "other"), "key", "full")._jdf.queryExecution().executedPlan().toString()
+        runs.compact()
+        assert list(runs.levels) == [1] and runs.run(runs.tables()[0]).count() == 100
+    finally:
+        runs.drop()
+
+
+def test_one_document_of_very_many_lines(spark):
+    text = "\n".join(f"line number {i} of many" for i in range(100_000))
+    got = op10.dedup_lines(spark.createDataFrame([(1, text), (2, text + "\nend")], "doc_id long, text string"), batches=1)
+    assert sorted((r.doc_id, len(r.text), r.n_dropped) for r in got.collect()) == [(1, len(text), 0), (2, 3, 100_000)]
+
+
 def brute_windows(documents, size=13):
     first = {}
     for i, t in documents:
