@@ -5,21 +5,27 @@ it too; words covered by a removed window go.
 
 Which text can repeat is found first. The anchor of a window is the smallest hash among its five-word
 grams, so equal windows have equal anchors; consecutive windows with one anchor form a segment. Anchors of
-one document only are set aside: their windows cannot repeat. For the others, equal segments are reduced to
-the smallest document that holds them, and anchors with one distinct segment are settled by that alone.
+one document only are set aside: their windows cannot repeat. For the others, equal segments (same anchor and
+same hash of all words) are one distinct segment, owned by the smallest document that holds it.
 
-The distinct segments of the remaining anchors are the reference. They are dealt into shards by anchor, so a
-shard holds every place where its windows may occur, and the number of shards follows the amount of text.
-Each shard's segments go into one generalised suffix automaton whose states carry the smallest document
-that reaches them; the segments are then streamed through it, and wherever the matching statistic reaches
-13, the state of that match tells the first document with the window. An anchor with very many distinct
-segments (a passage in countless contexts) would outgrow a shard: its segments are taken apart and each
-window is dealt by its own hash instead.
+The distinct segments are the reference. They are dealt into shards by anchor, so a shard holds every place
+where its windows may occur; the number of shards follows the amount of text, their size does not. Each
+shard's segments go into one generalised suffix automaton whose states carry the smallest document that
+reaches them; the segments are then streamed through it, and wherever the matching statistic reaches 13, the
+state of that match tells the first document with the window. What a document loses is decided by these
+statistics alone: a window goes where its first document is a smaller one.
+
+An anchor with very many distinct segments (a passage in countless contexts) would outgrow a shard. Its
+segments are taken apart into windows, which are dealt one by one; an automaton of texts of one window's
+length could only tell equal from different, so equal ones are found by two 64-bit hashes.
+
+The automata are not broadcast: the reference grows with the corpus, so each shard's automaton stays in the
+task that built it and the segments that may match it are sent there.
 
 Words are runs without ASCII white space, unchanged. Null and empty texts have no words. Rows without
 doc_id are kept whole and are no reference; rows that repeat a doc_id are the same document, and each gives
-an output row. Other columns are never read; an empty table gives no rows. Windows are compared by 64-bit
-word hashes (48 bits of each inside automata). Broadcasts are made only below `broadcast_rows` counted rows.
+an output row. Other columns are never read; an empty table gives no rows. Segments of one anchor are
+compared by 64-bit hashes of all their words, windows inside automata word by word (48 bits each).
 """
 
 from __future__ import annotations
@@ -28,11 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, hinted, merged, ship
-from .kernels import slices, span_hashes, text_bytes, windows, word_hashes, word_spans
+from .common import cut, discard, merged, ship
+from .kernels import mix, slices, span_hashes, text_bytes, windows, word_hashes, word_spans
 
 WINDOW, GRAM, LONGEST = 13, 5, 62  # words of a window and of an anchor; windows of a segment at most (bits of a mask)
-SHARD_SEGMENTS, HOT_SEGMENTS = 2_000, 2_000
+SHARD_SEGMENTS, HOT_SEGMENTS, SALTS = 2_000, 2_000, 16
 CODE_BYTES = 6
 
 
@@ -171,48 +177,51 @@ def segments_of(batches):
 
 
 def payloads_of(batches):
-    """(low, anchor, fp, kinds, words) of the segments that each document is asked for in `wanted`."""
+    """(low, anchor, fp, words) of the segments that each document is asked for in `wanted`."""
     for batch in slices(batches):
         s = segments(batch.column("text"))
-        asked = {(r, w["fp"]): w["kinds"] for r, wanted in enumerate(batch.column("wanted").to_pylist()) for w in wanted}
-        take, kinds = [], []
+        asked = {(r, fp) for r, wanted in enumerate(batch.column("wanted").to_pylist()) for fp in wanted}
+        take = []
         for i, key in enumerate(zip(s["row"].tolist(), s["fp"].tolist(), strict=True)):
             if key in asked:
-                kinds.append(asked.pop(key))
+                asked.remove(key)
                 take.append(i)
         take = np.array(take, np.int64)
         doc = batch.column("doc_id").to_numpy()[s["row"][take]]
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s["anchor"][take]), pa.array(s["fp"][take]), pa.array(kinds, pa.int64()), payload(s["words"], s["begin"][take], s["n"][take])], ["low", "anchor", "fp", "kinds", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s["anchor"][take]), pa.array(s["fp"][take]), payload(s["words"], s["begin"][take], s["n"][take])], ["low", "anchor", "fp", "words"])
 
 
 def match_shard(shard: pa.Table) -> pa.Table:
-    """(anchor, fp, mask): windows of each of a shard's segments that a smaller document holds."""
+    """(anchor, fp, low, mask) of a shard's segments: the document from which on every window repeats, and the windows that a smaller one than the owner holds."""
+    once = np.unique(np.stack([shard.column("anchor").to_numpy(), shard.column("fp").to_numpy()]), axis=1, return_index=True)[1]
+    shard = shard.take(once)  # rows that repeat a doc_id send a segment twice
     owner, raw = shard.column("low").to_pylist(), shard.column("words").to_pylist()
     words = [codes(x).tolist() for x in raw]
     automaton = SuffixAutomaton()
     for w, o in zip(words, owner, strict=True):
         automaton.add(w, o)
     automaton.close()
-    masks = []
+    lows, masks = [], []
     for w, o in zip(words, owner, strict=True):
-        mask = 0
+        low, mask = -(1 << 63), 0
         for i, first in automaton.statistics(w, WINDOW):
+            low = max(low, first)
             if first < o:
                 mask |= 1 << i
+        lows.append(low)
         masks.append(mask)
-    masks = np.array(masks, np.int64)
-    hit = np.flatnonzero(masks)
-    return pa.table({"anchor": shard.column("anchor").take(hit), "fp": shard.column("fp").take(hit), "mask": pa.array(masks[hit])})
+    return pa.table({"anchor": shard.column("anchor"), "fp": shard.column("fp"), "low": pa.array(lows, pa.int64()), "mask": pa.array(masks, pa.int64())})
 
 
 def windows_of(batches):
-    """(anchor, fp, low, i, window) for each window of each segment given."""
+    """(anchor, fp, low, i, window, check) for each window of each segment given: two hashes of its words."""
     for batch in batches:
-        out = {"anchor": [], "fp": [], "low": [], "i": [], "window": []}
+        out = {"anchor": [], "fp": [], "low": [], "i": [], "window": [], "check": []}
         for a, f, o, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "fp", "low", "words")), strict=True):
             w = codes(raw)
             at = np.arange(len(w) - WINDOW + 1)
             out["window"] += span_hashes(w, at, at + WINDOW).view(np.int64).tolist()
+            out["check"] += span_hashes(mix(w), at, at + WINDOW).view(np.int64).tolist()
             out["i"] += at.tolist()
             for c, v in (("anchor", a), ("fp", f), ("low", o)):
                 out[c] += [v] * len(at)
@@ -258,7 +267,7 @@ def remove(batches):
 
 # --- on Spark ------------------------------------------------------------------------------------
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_words, n_removed): each document without the words of windows that a smaller doc_id holds."""
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -267,22 +276,27 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = own.mapInArrow(segments_of, "doc_id long, anchor long, fp long")
     found = cut(merged(found, live, "anchor", "left_semi"))
     lows = cut(found.groupBy("anchor", "fp").agg(F.min("doc_id").alias("low")))
-    several = lows.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = cut(merged(lows, several, "anchor").groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("fp", "kinds")).alias("wanted")))
-    n = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    firsts = own.join(hinted(wanted.select("doc_id"), broadcast_rows), "doc_id", "left_semi")
-    words = cut(merged(firsts, wanted, "doc_id").mapInArrow(payloads_of, "low long, anchor long, fp long, kinds long, words binary"))
-    shards = max(1, -(-n // SHARD_SEGMENTS))
-    dealt = words.where(F.col("kinds") <= HOT_SEGMENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    masks = dealt.groupBy("shard").applyInArrow(match_shard, "anchor long, fp long, mask long")
-    hot = words.where(F.col("kinds") > HOT_SEGMENTS).select("anchor", "fp", "low", "words").mapInArrow(windows_of, "anchor long, fp long, low long, i int, window long")
-    firsts = hot.groupBy("window").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").select("window", "first")
-    hot = merged(hot, firsts, "window").where("first < low").groupBy("anchor", "fp").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
-    masks = masks.unionByName(hot)
-    known = merged(lows, masks, ["anchor", "fp"], "left").select("anchor", "fp", "low", F.coalesce("mask", F.lit(0)).alias("mask"))
+    wanted = lows.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list("fp").alias("wanted"))
+    words = cut(merged(own, wanted, "doc_id").mapInArrow(payloads_of, "low long, anchor long, fp long, words binary"))
+
+    # anchors that would outgrow a shard, found by counts and met by their segments in salted pieces
+    hot = lows.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT_SEGMENTS)
+    hot = hot.select("anchor", F.lit(True).alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    told = cut(merged(words.withColumn("salt", F.pmod("fp", F.lit(SALTS)).cast("int")), hot, ["anchor", "salt"], "left").drop("salt"))
+    shards = max(1, -(-lows.count() // SHARD_SEGMENTS))
+    dealt = told.where("hot IS NULL").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    known = dealt.groupBy("shard").applyInArrow(match_shard, "anchor long, fp long, low long, mask long")
+
+    apart = cut(told.where("hot").select("anchor", "fp", "low", "words").mapInArrow(windows_of, "anchor long, fp long, low long, i int, window long, check long"))
+    firsts = apart.groupBy("window", "check").agg(F.min("low").alias("first"))
+    smaller = F.expr("bit_or(CASE WHEN first < low THEN shiftleft(1L, i) ELSE 0L END)")
+    apart = merged(apart, firsts, ["window", "check"]).groupBy("anchor", "fp").agg(F.min("low").alias("low"), smaller.alias("mask"))
+    known = cut(known.unionByName(apart))
+
     marked = merged(found, known, ["anchor", "fp"]).where("doc_id > low OR mask <> 0")
-    mark = F.struct("fp", F.when(F.col("doc_id") == F.col("low"), F.col("mask")).alias("mask"))
+    mark = F.struct("fp", F.when(F.col("doc_id") <= F.col("low"), F.col("mask")).alias("mask"))
     marks = cut(marked.select("doc_id", mark.alias("mark")).distinct().groupBy("doc_id").agg(F.collect_list("mark").alias("marks")))
+    discard(found, lows, words, told, known)
     return merged(docs, marks, "doc_id", "left").mapInArrow(remove, "doc_id long, text string, n_words long, n_removed long")
 
 
