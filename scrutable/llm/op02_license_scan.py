@@ -1,11 +1,14 @@
 """Licence scan by sentence rules; DataFrame functions only.
 
-A text is cut into sentences (wrapped lines are joined first), each is normalised to lower-case letters and
-digits with single blanks, and known licence sentences become identifiers. A known sentence may lie in several
-parts in a row, because it holds a stop such as ':' or 'v. ' or because its lines are wrapped, indented or
-commented out; it must begin and end where parts do, and the longest one wins. The sequence of identifiers is
-then read by ordered rules: the first rule that finds its sequence claims it, so a full grant text is not
-reported again as a mere mention.
+A text is cut into parts at line ends and at stops before a blank; comment signs, comment words, indentation
+and list marks at the head of a line fall away, and each part is normalised to lower-case letters and digits
+with single blanks. Known licence sentences become identifiers. A sentence may lie in several parts in a row,
+because it holds a stop such as ':' or 'v. ' or because its lines are wrapped; it must begin and end where
+parts do, and the longest one wins. A mention is a sentence of a fixed form around the name of a licence
+("licensed under the ...", "SPDX-License-Identifier: ..."), or a full name by itself. The sequence of
+identifiers is then read by ordered rules: the first rule that finds its sequence claims it, so a full grant
+text is not reported again as a mere mention; what lay on the two sides of a claimed sequence never becomes
+one sequence.
 
 Nulls and empty texts have no sentence; one row comes out for each row, repeated rows repeat; other columns
 are never read; an empty table gives no rows. Everything happens within a row, without a shuffle, so hot
@@ -14,90 +17,221 @@ sources and huge groups of copies do not matter. Texts are scanned whole.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Known licence sentences, normalised, by identifier.
-SENTENCES = {
-    "MITref": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "this software is released under the mit license", "distributed under the mit license", "mit license", "the mit license", "the mit license mit", "license mit", "spdx license identifier mit"],
-    "MITgrant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
-    "MITnotice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "MITwarranty": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
-    "Apache2ref": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "released under the apache license version 2 0", "this project is licensed under the apache license version 2 0", "this work is licensed under the apache license version 2 0", "apache license version 2 0", "license apache 2 0", "spdx license identifier apache 2 0"],
-    "Apache2comply": ["you may not use this file except in compliance with the license"],
-    "Apache2copy": ["you may obtain a copy of the license at http www apache org licenses license 2 0"],
-    "Apache2warranty": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
-    "GPL3ref": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3", "gnu general public license version 3", "spdx license identifier gpl 3 0 only", "license gpl 3 0"],
-    "GPL2ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "released under the gnu general public license version 2", "gnu general public license version 2", "spdx license identifier gpl 2 0 only"],
-    "GPLfree": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "GPL2free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
-    "GPLwarranty": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
-    "CCBYNC4ref": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "released under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "CCBY4ref": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "released under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "CCBYSA4ref": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
-    "BSDgrant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "BSDsource": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
-    "BSDbinary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
-    "BSDendorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "ISCgrant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "MPL2ref": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "AllRights": ["all rights reserved"],
+#: Known licence sentences by identifier.
+_AS_IS = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE"
+_DEAL = "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+_MIT = f"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), {_DEAL}"
+_ENDORSE = "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_USE = "for any purpose with or without fee is hereby granted"
+_HOPE = "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"
+_NOTICE = "the above copyright notice and this permission notice"
+TEXTS = {
+    "MITgrant": [f"{_MIT}, subject to the following conditions"],
+    "MIT0grant": [_MIT],
+    "MITnotice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"],
+    "MITwarranty": [f"{_AS_IS} AND NONINFRINGEMENT"],
+    "BSLgrant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"],
+    "Apache2comply": ["you may not use this file except in compliance with the License"],
+    "Apache2copy": [f"You may obtain a copy of the License at {s}://www.apache.org/licenses/LICENSE-2.0" for s in ("http", "https")],
+    "Apache2warranty": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
+    "GPLwarranty": [f"This {x} {_HOPE}" for x in ("program", "library", "software", "file")],
+    "BSDgrant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSDsource": [f"Redistributions of source code must retain the {x}, this list of conditions and the following disclaimer" for x in ("above copyright notice", "copyright notice")],
+    "BSDbinary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "BSDadvert": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "BSDendorse": [f"Neither the name of {x} {_ENDORSE}" for x in ("the copyright holder", "the copyright holders", "the University", "the author", "the organization", "the project")],
+    "ISCgrant": [f"Permission to use, copy, modify, {a}distribute this software {_USE}, provided that {_NOTICE} appear in all copies" for a in ("and/or ", "and ")],
+    "0BSDgrant": [f"Permission to use, copy, modify, {a}distribute this software {_USE}" for a in ("and/or ", "and ")],
+    "PGgrant": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"],
+    "Zlibgrant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "MPL2ref": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "MPL11ref": ["The contents of this file are subject to the Mozilla Public License Version 1.1 (the License)"],
+    "CDDL1ref": ["The contents of this file are subject to the terms of the Common Development and Distribution License (the License)"],
+    "EPL1ref": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"],
+    "EPL2ref": [f"This program and the accompanying materials are made available under the terms of the Eclipse Public License {v}2.0 which is available at {s}://www.eclipse.org/legal/epl-2.0" for v in ("", "v") for s in ("http", "https")],
+    "Unlicenseref": ["This is free and unencumbered software released into the public domain"],
+    "CC0ref": [f"To the extent possible under law, the {x} dedicated all copyright and related and neighboring rights to this {y} to the public domain worldwide" for x in ("author(s) have", "author has") for y in ("software", "work")],
+    "OFL11ref": ["This Font Software is licensed under the SIL Open Font License, Version 1.1"],
+    "AllRights": ["All rights reserved"],
 }
+#: Licences of the GNU family; identifiers of the notice, of the notice without later versions and of a mention.
+for _later, _only, _ref, _name, _version in (
+    ("GPLfree", "GPL3only", "GPL3ref", "GNU General Public License", "3"),
+    ("GPL2free", "GPL2only", "GPL2ref", "GNU General Public License", "2"),
+    ("LGPL3free", "LGPL3only", "LGPL3ref", "GNU Lesser General Public License", "3"),
+    ("LGPL21free", "LGPL21only", "LGPL21ref", "GNU Lesser General Public License", "2.1"),
+    ("LGPL2free", "LGPL2only", "LGPL2ref", "GNU Library General Public License", "2"),
+    ("AGPL3free", "AGPL3only", "AGPL3ref", "GNU Affero General Public License", "3"),
+):
+    _terms = f"you can redistribute it and/or modify it under the terms of the {_name}"
+    _forms = [f"{_terms} as published by the Free Software Foundation"]
+    TEXTS[_later] = [f"{head}{x}, either version {_version} of the License, or (at your option) any later version" for x in _forms for head in ("", "This program is free software, ", "This library is free software, ")]
+    TEXTS[_only] = [f"{x}{v}" for x in _forms for v in (f", version {_version} of the License", f", version {_version}")] + [f"{_terms} version {_version} as published by the Free Software Foundation", f"{_terms} version {_version} only, as published by the Free Software Foundation"]
+#: Names that a mention may give, by identifier: full ones, that may stand by themselves, and short ones.
+FULL = {
+    "MITref": ["MIT License", "MIT License (MIT)", "Expat License"],
+    "MIT0ref": ["MIT No Attribution License", "MIT No Attribution"],
+    "Apache2ref": ["Apache License, Version 2.0", "Apache License Version 2.0 (the License)", "Apache License 2.0", "Apache License v2.0", "Apache Software License 2.0"],
+    "GPL3ref": ["GNU General Public License version 3", "GNU General Public License v3", "GNU General Public License v3.0"],
+    "GPL2ref": ["GNU General Public License version 2", "GNU General Public License v2", "GNU General Public License v2.0"],
+    "LGPL3ref": ["GNU Lesser General Public License version 3", "GNU Lesser General Public License v3", "GNU Lesser General Public License v3.0"],
+    "LGPL21ref": ["GNU Lesser General Public License version 2.1", "GNU Lesser General Public License v2.1"],
+    "LGPL2ref": ["GNU Library General Public License version 2", "GNU Library General Public License v2"],
+    "AGPL3ref": ["GNU Affero General Public License version 3", "GNU Affero General Public License v3", "GNU Affero General Public License v3.0"],
+    "MPL2ref": ["Mozilla Public License version 2.0", "Mozilla Public License v2.0", "Mozilla Public License 2.0", "Mozilla Public License v. 2.0"],
+    "MPL11ref": ["Mozilla Public License version 1.1", "Mozilla Public License 1.1"],
+    "EPL1ref": ["Eclipse Public License version 1.0", "Eclipse Public License v1.0", "Eclipse Public License 1.0"],
+    "EPL2ref": ["Eclipse Public License version 2.0", "Eclipse Public License v2.0", "Eclipse Public License 2.0"],
+    "CDDL1ref": ["Common Development and Distribution License", "Common Development and Distribution License version 1.0", "Common Development and Distribution License 1.0"],
+    "EUPL12ref": ["European Union Public License version 1.2", "European Union Public Licence version 1.2", "European Union Public Licence v1.2", "European Union Public Licence v. 1.2"],
+    "BSLref": ["Boost Software License, Version 1.0", "Boost Software License 1.0", "Boost Software License"],
+    "BSD2ref": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License"],
+    "BSD3ref": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"],
+    "ISCref": ["ISC License"],
+    "Zlibref": ["zlib License", "zlib/libpng License"],
+    "Unlicenseref": ["Unlicense"],
+    "WTFPLref": ["Do What The Fuck You Want To Public License", "Do What The Fuck You Want To Public License, Version 2"],
+    "CC0ref": ["CC0 1.0 Universal License", "Creative Commons Zero License", "Creative Commons CC0 1.0 Universal License"],
+    "Artistic2ref": ["Artistic License 2.0", "Artistic License version 2.0"],
+    "OFL11ref": ["SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"],
+    "PGref": ["PostgreSQL License"],
+    "PSFref": ["Python Software Foundation License version 2", "Python Software Foundation License"],
+    "MSPLref": ["Microsoft Public License"],
+    "NCSAref": ["University of Illinois/NCSA Open Source License", "NCSA Open Source License"],
+    "OSL3ref": ["Open Software License 3.0", "Open Software License version 3.0"],
+    "AFL3ref": ["Academic Free License 3.0", "Academic Free License version 3.0"],
+}
+SHORT = {
+    "MITref": ["MIT"],
+    "MIT0ref": ["MIT-0"],
+    "Apache2ref": ["Apache-2.0", "Apache 2", "Apache 2.0 License", "Apache License 2"],
+    "GPL3ref": ["GPL-3.0", "GPL-3.0-only", "GPLv3", "GPL v3", "GPL version 3", "GNU GPL version 3", "GNU GPL v3"],
+    "GPL3later": ["GPL-3.0-or-later", "GPL-3.0+", "GPLv3+"],
+    "GPL2ref": ["GPL-2.0", "GPL-2.0-only", "GPLv2", "GPL v2", "GPL version 2", "GNU GPL version 2", "GNU GPL v2"],
+    "GPL2later": ["GPL-2.0-or-later", "GPL-2.0+", "GPLv2+"],
+    "LGPL3ref": ["LGPL-3.0", "LGPL-3.0-only", "LGPLv3", "LGPL v3"],
+    "LGPL3later": ["LGPL-3.0-or-later"],
+    "LGPL21ref": ["LGPL-2.1", "LGPL-2.1-only", "LGPLv2.1", "LGPL v2.1"],
+    "LGPL21later": ["LGPL-2.1-or-later"],
+    "LGPL2ref": ["LGPL-2.0", "LGPL-2.0-only"],
+    "LGPL2later": ["LGPL-2.0-or-later"],
+    "AGPL3ref": ["AGPL-3.0", "AGPL-3.0-only", "AGPLv3", "AGPL v3"],
+    "AGPL3later": ["AGPL-3.0-or-later"],
+    "MPL2ref": ["MPL-2.0", "MPL 2", "MPLv2"],
+    "MPL11ref": ["MPL-1.1"],
+    "EPL1ref": ["EPL-1.0"],
+    "EPL2ref": ["EPL-2.0"],
+    "CDDL1ref": ["CDDL-1.0", "CDDL"],
+    "EUPL12ref": ["EUPL-1.2", "EUPL version 1.2", "EUPL v1.2"],
+    "BSLref": ["BSL-1.0"],
+    "BSD2ref": ["BSD-2-Clause", "2-clause BSD"],
+    "BSD3ref": ["BSD-3-Clause", "3-clause BSD"],
+    "0BSDref": ["0BSD"],
+    "ISCref": ["ISC"],
+    "Zlibref": ["zlib"],
+    "WTFPLref": ["WTFPL"],
+    "CC0ref": ["CC0", "CC0 1.0", "CC0-1.0"],
+    "Artistic2ref": ["Artistic-2.0"],
+    "OFL11ref": ["OFL-1.1"],
+    "PGref": ["PostgreSQL"],
+    "PSFref": ["PSF-2.0", "Python-2.0"],
+    "MSPLref": ["MS-PL"],
+    "NCSAref": ["NCSA"],
+    "OSL3ref": ["OSL-3.0"],
+    "AFL3ref": ["AFL-3.0"],
+}
+#: Creative Commons licences: kinds by identifier, with the kind's long name.
+CC = {"CCBY": ("CC-BY", "Attribution"), "CCBYSA": ("CC-BY-SA", "Attribution-ShareAlike"), "CCBYNC": ("CC-BY-NC", "Attribution-NonCommercial"), "CCBYND": ("CC-BY-ND", "Attribution-NoDerivatives"), "CCBYNCSA": ("CC-BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), "CCBYNCND": ("CC-BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")}
+for _id, (_short, _long) in CC.items():
+    for _v in ("4.0", "3.0", "2.0"):
+        SHORT[f"{_id}{_v[0]}ref"] = [f"{_short}-{_v}", f"Creative Commons {_long} {_v}", f"Creative Commons {_long}"] if _v == "4.0" else [f"{_short}-{_v}", f"Creative Commons {_long} {_v}"]
+        FULL[f"{_id}{_v[0]}ref"] = [f"Creative Commons {_long} {_v} {x} License" for x in ("International", "Unported", "Generic")] + [f"Creative Commons {_long} {_v} License"]
 #: Ordered rules, the identifiers in sequence and the licence they mean.
 RULES = [
     ("MIT", ["MITgrant", "MITnotice", "MITwarranty"]),
     ("MIT", ["MITgrant", "MITnotice"]),
+    ("MIT-0", ["MIT0grant", "MITwarranty"]),
+    ("MIT-0", ["MIT0grant"]),
+    ("BSL-1.0", ["BSLgrant"]),
     ("Apache-2.0", ["Apache2ref", "Apache2comply", "Apache2copy", "Apache2warranty"]),
     ("Apache-2.0", ["Apache2ref", "Apache2comply"]),
-    ("GPL-3.0-or-later", ["GPLfree", "GPLwarranty"]),
-    ("GPL-3.0-or-later", ["GPLfree"]),
-    ("GPL-2.0-or-later", ["GPL2free", "GPLwarranty"]),
-    ("GPL-2.0-or-later", ["GPL2free"]),
+    *[(f"{n}-or-later", [x, "GPLwarranty"][:k]) for n, x in (("GPL-3.0", "GPLfree"), ("GPL-2.0", "GPL2free"), ("LGPL-3.0", "LGPL3free"), ("LGPL-2.1", "LGPL21free"), ("LGPL-2.0", "LGPL2free"), ("AGPL-3.0", "AGPL3free")) for k in (2, 1)],
+    *[(f"{n}-only", [x, "GPLwarranty"][:k]) for n, x in (("GPL-3.0", "GPL3only"), ("GPL-2.0", "GPL2only"), ("LGPL-3.0", "LGPL3only"), ("LGPL-2.1", "LGPL21only"), ("LGPL-2.0", "LGPL2only"), ("AGPL-3.0", "AGPL3only")) for k in (2, 1)],
+    ("BSD-4-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDadvert", "BSDendorse"]),
     ("BSD-3-Clause", ["BSDgrant", "BSDsource", "BSDbinary", "BSDendorse"]),
     ("BSD-2-Clause", ["BSDgrant", "BSDsource", "BSDbinary"]),
     ("ISC", ["ISCgrant"]),
-    ("MPL-2.0", ["MPL2ref"]),
-    ("MIT", ["MITref"]),
-    ("Apache-2.0", ["Apache2ref"]),
-    ("GPL-3.0-only", ["GPL3ref"]),
-    ("GPL-2.0-only", ["GPL2ref"]),
-    ("CC-BY-NC-4.0", ["CCBYNC4ref"]),
-    ("CC-BY-SA-4.0", ["CCBYSA4ref"]),
-    ("CC-BY-4.0", ["CCBY4ref"]),
+    ("0BSD", ["0BSDgrant"]),
+    ("PostgreSQL", ["PGgrant"]),
+    ("Zlib", ["Zlibgrant"]),
+    *[(n, [x]) for n, x in (("MPL-2.0", "MPL2ref"), ("MPL-1.1", "MPL11ref"), ("CDDL-1.0", "CDDL1ref"), ("EPL-1.0", "EPL1ref"), ("EPL-2.0", "EPL2ref"), ("Unlicense", "Unlicenseref"), ("CC0-1.0", "CC0ref"), ("OFL-1.1", "OFL11ref"))],
+    *[(n, [x]) for n, x in (("MIT", "MITref"), ("MIT-0", "MIT0ref"), ("Apache-2.0", "Apache2ref"))],
+    *[(f"{n}-or-later", [x]) for n, x in (("GPL-3.0", "GPL3later"), ("GPL-2.0", "GPL2later"), ("LGPL-3.0", "LGPL3later"), ("LGPL-2.1", "LGPL21later"), ("LGPL-2.0", "LGPL2later"), ("AGPL-3.0", "AGPL3later"))],
+    *[(f"{n}-only", [x]) for n, x in (("GPL-3.0", "GPL3ref"), ("GPL-2.0", "GPL2ref"), ("LGPL-3.0", "LGPL3ref"), ("LGPL-2.1", "LGPL21ref"), ("LGPL-2.0", "LGPL2ref"), ("AGPL-3.0", "AGPL3ref"))],
+    *[(n, [x]) for n, x in (("EUPL-1.2", "EUPL12ref"), ("BSL-1.0", "BSLref"), ("BSD-2-Clause", "BSD2ref"), ("BSD-3-Clause", "BSD3ref"), ("0BSD", "0BSDref"), ("ISC", "ISCref"), ("Zlib", "Zlibref"), ("WTFPL", "WTFPLref"), ("Artistic-2.0", "Artistic2ref"))],
+    *[(n, [x]) for n, x in (("PostgreSQL", "PGref"), ("PSF-2.0", "PSFref"), ("MS-PL", "MSPLref"), ("NCSA", "NCSAref"), ("OSL-3.0", "OSL3ref"), ("AFL-3.0", "AFL3ref"))],
+    *[(f"{short}-{v}", [f"{i}{v[0]}ref"]) for i, (short, _) in CC.items() for v in ("4.0", "3.0", "2.0")],
     ("Proprietary", ["AllRights"]),
 ]
-#: Every known sentence holds one of these, so a text without any has no identifier.
-CUES = "licen|permi|rights|software|redistribut|copyright|warrant|cc[^a-z0-9]+by"
-assert all(re.search(CUES, s) for known in SENTENCES.values() for s in known)
+#: The words around a name in a mention.
+SUBJECTS = [f"{a} {x} is" for a in ("this", "the") for x in ("project", "software", "work", "file", "code", "source code", "program", "package", "library", "repository", "document", "content", "module")] + ["it is"]
+VERBS = ["licensed", "released", "distributed", "published", "available", "made available", "provided"]
+BEFORE = ["", "the ", "a ", "an ", "terms of the ", "the terms of the ", "the terms of ", "terms of "]
+LABELS = ["license ", "licence ", "spdx license identifier "]
+WITHOUT_LABEL = ["", "the "]
+
+
+def normal(sentence: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+SENTENCES = {normal(s): i for i, group in TEXTS.items() for s in group}
+NAMES = {normal(s): i for kind in (SHORT, FULL) for i, group in kind.items() for s in group}
+ALONE = {normal(s): i for i, group in FULL.items() for s in group}
+#: Every known sentence, and the frame of every mention, holds one of these, so a text without any has no identifier.
+CUES = "licen|permi|rights|software|redistribut|copyright|warrant|under|materials|public domain|attribution"
+assert all(re.search(CUES, s) for s in (*SENTENCES, *ALONE))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WRAPPED, SHOUTED = "([^.!?:;|\n])\n([a-z])", "([A-Z][A-Z]),?\n([A-Z][A-Z])"
-STOP = "([.!?:;])[\\x20\\x09-\\x0D]+"
-#: A known sentence in one part or several, from the start of a part to the end of one; longer ones first.
-KNOWN = "(?<=\n)(?:" + "|".join(s.replace(" ", "[ \n]") for s in sorted((s for group in SENTENCES.values() for s in group), key=len, reverse=True)) + ")(?=\n)"
+HEAD = r"\n[^a-z0-9\n(]*(?:(?:dnl|rem)(?![a-z0-9]))?[^a-z0-9\n(]*(?:\(?[0-9a-z]{1,2}[.)][ \t]+)?"
+STOP = r"[.!?:;][\x20\x09-\x0D]+"
+
+
+def _any(words) -> str:
+    return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+
+
+FRAME = f"(?:(?:{_any(SUBJECTS)} )?{_any(VERBS)} under {_any(BEFORE)}|{_any(LABELS)})"
+#: A known sentence or mention in one part or several, from the start of a part to the end of one; longer ones first.
+KNOWN = f"(?<=\n)(?:{_any(SENTENCES)}|{FRAME}{_any(NAMES)}|{_any(WITHOUT_LABEL)}{_any(ALONE)})(?=\n)".replace(" ", "[ \n]")
 
 
 def identifiers(text):
     """Array of the identifiers of a text's known sentences, in order."""
-    joined = F.regexp_replace(F.regexp_replace(text, WRAPPED, "$1 $2"), SHOUTED, "$1 $2")
-    parts = F.translate(F.regexp_replace(joined, STOP, "$1\n"), UPPER, LOWER)
-    parts = F.concat(F.lit("\n"), F.regexp_replace(F.regexp_replace(parts, "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n"), F.lit("\n"))
-    parts = F.regexp_replace(parts, "^\n[ \n]*| ?\n$", "\n")
-    known = F.create_map(*[F.lit(x) for name, group in SENTENCES.items() for s in group for x in (s, name)])
-    found = F.transform(F.regexp_extract_all(parts, F.lit(KNOWN), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
-    return F.when(F.translate(text, UPPER, LOWER).rlike(CUES), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.lit("\n"), F.translate(text, UPPER, LOWER), F.lit("\n"))
+    parts = F.regexp_replace(F.regexp_replace(F.regexp_replace(lines, HEAD, "\n"), STOP, "\n"), "[^a-z0-9\n]+", " ")
+    parts = F.regexp_replace(parts, " ?\n[ \n]*", "\n")
+    known = F.from_json(F.lit(json.dumps(NAMES | SENTENCES)), "map<string,string>")
+    name = lambda s: F.try_element_at(known, F.regexp_replace(s, f"^(?:{FRAME}|the (?={_any(ALONE)}$))", ""))
+    one = lambda s: F.coalesce(F.try_element_at(known, s), name(s))
+    found = F.transform(F.regexp_extract_all(parts, F.lit(KNOWN), F.lit(0)), lambda s: one(F.translate(s, "\n", " ")))
+    return F.when(F.translate(text, UPPER, LOWER).rlike(CUES), found).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids):
     """Licences that the ordered rules read from a sequence of identifiers, in rule order, each once."""
     sequence = F.concat(F.lit(""), F.concat_ws("", F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">")))))
-    rules = F.array(*[F.struct(F.lit("".join(f"<{x}>" for x in seq)).alias("seq"), F.lit(name).alias("name")) for name, seq in RULES])
+    rules = F.from_json(F.lit(json.dumps([{"seq": "".join(f"<{x}>" for x in seq), "name": name} for name, seq in RULES])), "array<struct<seq:string,name:string>>")
     start = F.struct(sequence.alias("left"), F.array().cast("array<string>").alias("names"))
     read = F.aggregate(
         rules,
         start,
-        lambda acc, r: F.when(F.contains(acc["left"], r["seq"]), F.struct(F.replace(acc["left"], r["seq"], F.lit("")).alias("left"), F.array_append(acc["names"], r["name"]).alias("names"))).otherwise(acc),
+        lambda acc, r: F.when(F.contains(acc["left"], r["seq"]), F.struct(F.replace(acc["left"], r["seq"], F.lit("|")).alias("left"), F.array_append(acc["names"], r["name"]).alias("names"))).otherwise(acc),
     )
     return F.array_distinct(read["names"])
 
@@ -108,19 +242,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return found.withColumn("licences", F.when(F.size("sentence_ids") > 0, licences(F.col("sentence_ids"))).otherwise(F.array().cast("array<string>")))
 
 
-def _oracle() -> str:
-    known = ", ".join(f"('{s}', '{name}')" for name, group in SENTENCES.items() for s in group)
-    norm = rf"trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
-    nl = "' || chr(10) || '"
-    sql = f"""WITH known(k, id) AS (VALUES {known}),
-joined AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{WRAPPED.replace(chr(10), nl)}', '\\1 \\2', 'g'), '{SHOUTED.replace(chr(10), nl)}', '\\1 \\2', 'g') AS t FROM documents),
-cut AS (SELECT doc_id, string_split(regexp_replace(t, '{STOP}', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM joined),
-each AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS pos FROM cut),
-seqs AS (SELECT doc_id, string_agg('<' || id || '>', '' ORDER BY pos) AS seq FROM each JOIN known ON k = {norm} GROUP BY doc_id),
-r0 AS (SELECT doc_id, coalesce(seq, '') AS ids, coalesce(seq, '') AS seq, '' AS names FROM documents LEFT JOIN seqs USING (doc_id))"""
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows) + ")"
+
+
+def _oracle(spans: int = 20) -> str:
+    """The same in SQL another way: mentions spelled out as a table, runs of up to `spans` parts looked up whole, longest first, left to right."""
+    sql = f"""WITH RECURSIVE known(k, id) AS (SELECT * FROM {_values(SENTENCES.items())} s(k, id)
+ UNION SELECT coalesce(s || ' ', '') || v || ' under ' || b || n, id FROM {_values((x,) for x in SUBJECTS)} AS subject(x), (SELECT unnest([x, NULL]) AS s), {_values((x,) for x in VERBS)} AS verb(v), {_values((x,) for x in BEFORE)} AS before(b), {_values(NAMES.items())} AS name(n, id)
+ UNION SELECT l || n, id FROM {_values((x,) for x in LABELS)} AS label(l), {_values(NAMES.items())} AS name(n, id)
+ UNION SELECT a || n, id FROM {_values((x,) for x in WITHOUT_LABEL)} AS article(a), {_values(ALONE.items())} AS name(n, id)),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ln FROM documents),
+heads AS (SELECT doc_id, ln, regexp_replace(regexp_replace(regexp_replace(ltrim(translate(line, '{UPPER}', '{LOWER}'), ' #*/;-%!|>"' || chr(9) || chr(13)), '^(dnl|rem)\\b', ''), '^[^a-z0-9(]+', ''), '^\\(?[0-9a-z]{{1,2}}[.)][ \\t]+', '') AS line FROM lines),
+cut AS (SELECT doc_id, ln, unnest(string_split_regex(line, '[.!?:;]([ \\t\\r\\f\\v]+|$)')) AS p, generate_subscripts(string_split_regex(line, '[.!?:;]([ \\t\\r\\f\\v]+|$)'), 1) AS sub FROM heads),
+part AS (SELECT doc_id, list(p ORDER BY ln, sub) AS ps FROM (SELECT doc_id, ln, sub, trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g')) AS p FROM cut) WHERE p <> '' GROUP BY doc_id),
+spot AS (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM part),
+run AS (SELECT doc_id, i, n, array_to_string(ps[i:i + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, least({spans}, len(ps) - i + 1) + 1)) AS n FROM spot)),
+best AS (SELECT doc_id, i, max(n) AS n, arg_max(id, n) AS id FROM run JOIN known USING (k) GROUP BY doc_id, i),
+walk AS (SELECT doc_id, CAST(1 AS BIGINT) AS nxt, '' AS ids FROM documents
+ UNION ALL SELECT doc_id, i + n, ids || '<' || id || '>' FROM (SELECT w.doc_id, w.ids, b.i, b.n, b.id, row_number() OVER (PARTITION BY w.doc_id ORDER BY b.i) AS first FROM walk w JOIN best b ON b.doc_id = w.doc_id AND b.i >= w.nxt) WHERE first = 1),
+r0 AS (SELECT doc_id, ids, ids AS seq, '' AS names FROM (SELECT doc_id, arg_max(ids, nxt) AS ids FROM walk GROUP BY doc_id))"""
     for i, (name, seq) in enumerate(RULES):
         p = "".join(f"<{x}>" for x in seq)
-        sql += f",\nr{i + 1} AS (SELECT doc_id, ids, replace(seq, '{p}', '') AS seq, names || CASE WHEN contains(seq, '{p}') AND NOT contains(names, '{name};') THEN '{name};' ELSE '' END AS names FROM r{i})"
+        sql += f",\nr{i + 1} AS (SELECT doc_id, ids, replace(seq, '{p}', '|') AS seq, names || CASE WHEN contains(seq, '{p}') AND NOT contains(';' || names, ';{name};') THEN '{name};' ELSE '' END AS names FROM r{i})"
     return sql + f"\nSELECT doc_id, ids AS sentence_ids, names AS licences FROM r{len(RULES)}"
 
 
