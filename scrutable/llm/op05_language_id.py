@@ -2,14 +2,19 @@
 
 Training counts every n-gram of letters (words lower-cased, padded by one space) in every training text,
 by language. An n-gram belongs to a language when its rate there is at least `share` of its highest rate
-in any language and at least `floor`; that test is on rates, so it behaves alike at every corpus size. The
-filters of all languages are one table of `slots` words whose bit L belongs to language L: the AND of an
+in any language; every n-gram of every training text takes part, and the test is on rates, so it behaves
+alike at every corpus size. The filters of all languages are one table of `slots` words whose bit L belongs to language L: the AND of an
 n-gram's k words is the set of languages that contain it. For a text, hits are counted per language, the
 hits expected of that language's false positives are taken off, and the highest corrected rate decides.
 
 Null texts and texts without a letter are `und` with score 0. One row comes out for each row; repeated
 rows repeat; only id, text and (in training) language are read, so other columns do not matter. Ties go
 to the smallest language name. Without any training row every text is `und`. Whole texts are read.
+
+The table is built by Spark (an OR over the bits of each slot) and is all that reaches the driver and the
+executors. It has `bits_per_gram` slots for each n-gram of the fullest language, and `max_slots` at most: that
+bounds it at 64 MB for each 64 languages. Nothing is left out beyond that bound; the filters only get fuller,
+`Filters.false` says how full for each language, and the correction takes that fill into account.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ship
+from .common import cut, discard, ship
 from .kernels import mix, slices
 
 SIZES = (2, 3, 4)
@@ -26,10 +31,9 @@ SIZES = (2, 3, 4)
 
 def letter_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts with every run of other characters as one space; the row of each code point."""
-    joined = " ".join(" " if x is None else x for x in texts).lower()
-    sizes = np.array([1 if x is None else len(x) if x.isascii() else len(x.lower()) for x in texts], np.int64) + 1
-    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    sizes[-1] += len(codes) - sizes.sum()
+    padded = [f" {x or ''} ".lower() for x in texts]  # each text has a space of its own at both ends
+    sizes = np.array([len(x) for x in padded], np.int64)
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
     rows = np.repeat(np.arange(len(texts)), sizes)
     letter = ((codes >= 97) & (codes <= 122)) | (codes == 0xAA) | (codes == 0xB5) | (codes == 0xBA)
     high = np.flatnonzero(codes >= 0xC0)
@@ -54,7 +58,7 @@ def ngrams(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         value = np.full(m, n, np.uint64)
         for i in range(n):
             value = value * np.uint64(0x110000 + 7) + codes[i : i + m]
-        inner = space[:m] & space[n - 1 :]
+        inner = space[:m] & space[n - 1 :] if n == 2 else np.zeros(m, bool)
         for i in range(1, n - 1):
             inner |= space[i : i + m]
         fits = (rows[:m] == rows[n - 1 :]) & ~inner
@@ -134,27 +138,30 @@ class Filters:
         return [self.langs[b] if n else "und" for b, n in zip(best, total, strict=True)], np.where(total > 0, rates.max(axis=0), 0.0)
 
 
-def fit(train: DataFrame, share: float = 0.5, floor: float = 1e-6, bits_per_gram: int = 16, hashes: int = 4, max_slots: int = 1 << 23, **columns) -> Filters:
-    """Filters over all training rows.
-
-    What reaches the driver is bounded twice: an n-gram with a rate of at least `floor` is one of at most
-    1/floor per size and language, and the table has at most `max_slots` words per 64 languages.
-    """
-    counts = count_ngrams(train, **columns).persist()
+def fit(train: DataFrame, share: float = 0.5, bits_per_gram: int = 16, hashes: int = 4, max_slots: int = 1 << 23, **columns) -> Filters:
+    """Filters over all training rows; the table is at most `max_slots` words per 64 languages."""
+    counts = cut(count_ngrams(train, **columns))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rates = counts.join(F.broadcast(totals), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("rate")).where(F.col("rate") >= floor)
-    top = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("each"))
-    kept = top.select("gram", F.explode("each").alias("e"), "top").where(F.col("e.rate") >= share * F.col("top")).select("gram", "e.lang")
-    pdf = kept.toArrow()
-    counts.unpersist()
-    grams, names = pdf.column("gram").to_numpy(), np.array(pdf.column("lang").to_pylist(), object)
-    size = max([64, *(int((names == x).sum()) for x in langs)]) * bits_per_gram
-    slots = min(max_slots, 1 << int(np.ceil(np.log2(size))))
-    words = np.zeros((max(1, -(-len(langs) // 64)), slots), np.uint64)
-    for i, lang in enumerate(langs):
-        for row in slots_of(grams[names == lang], slots, hashes):
-            words[i // 64][row] |= np.uint64(1) << np.uint64(i % 64)
+    if not langs:
+        return Filters([], np.zeros((1, 64), np.uint64), hashes)
+    totals = F.create_map(*[F.lit(x) for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect() for x in (r["lang"], float(r["total"]))])
+    places = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    rates = F.struct(F.element_at(places, F.col("lang")).alias("place"), (F.col("n") / F.element_at(totals, F.col("lang"))).alias("rate"))
+    each = counts.groupBy("gram").agg(F.collect_list(rates).alias("each")).withColumn("top", F.array_max("each.rate"))
+    kept = cut(each.select("gram", F.explode(F.filter("each", lambda e: e["rate"] >= share * F.col("top"))).alias("e")).select("gram", "e.place"))
+    fullest = kept.groupBy("place").count().agg(F.max("count")).first()[0]
+    slots = min(max_slots, 1 << int(np.ceil(np.log2(max(64, fullest) * bits_per_gram))))
+
+    def bits(batches):
+        for batch in batches:
+            grams, place = batch.column("gram").to_numpy(), batch.column("place").to_numpy().astype(np.int64)
+            for slot in slots_of(grams, slots, hashes):
+                yield pa.RecordBatch.from_arrays([pa.array(place // 64), pa.array(slot), pa.array(np.uint64(1) << (place % 64).astype(np.uint64)).view(pa.int64())], ["word", "slot", "bits"])
+
+    filled = kept.mapInArrow(bits, "word long, slot long, bits long").groupBy("word", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    discard(counts, kept)
+    words = np.zeros((-(-len(langs) // 64), slots), np.uint64)
+    words[filled.column("word").to_numpy(), filled.column("slot").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
     return Filters(langs, words, hashes)
 
 
