@@ -1,19 +1,25 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A character language model is counted over all given texts. Words that may be disguised (a letter and an
-imitating sign or digit anywhere in a word, a letter three times in a row, single letters spaced out by one
-blank or one same sign) become lattices: a run of one
-character can stand for the letters it imitates, once or twice, or for nothing, each at a channel cost.
-Viterbi decoding under the language model picks the restored word. The word as written is one reading too,
-its runs of letters as words, with signs at its end free as in ordinary writing: "no!" or "page2" stays by
-score. A word of plain letters has one path only, itself, and is left alone. The restored text is then scored by learned evidence: smoothed log odds
-of word beginnings and whole words, calibrated by a logistic curve.
-
-The classifier is fitted on at most `sample_rows` labelled rows (the lowest hashes of doc_id); the language
-model covers every text it is given. Null and empty texts have no evidence and score the calibrated
-base. One row comes out for each row, repeated rows repeat; a doc_id whose labels disagree counts as toxic
-if any label says so, null labels are ignored; other columns are never read. Without labels of both kinds
-every score is 0.
+A character language model is counted over all given texts: every trigram, however rare. Words that may be
+disguised (a letter and an imitating sign or digit anywhere in a word, a letter twice or more in a row, three
+or more short pieces spaced out by blanks, single letters spaced out by one same sign) become lattices: a run
+of one character can stand for the letters it imitates, once or twice, or for nothing, each at a channel
+cost. Viterbi decoding under the language model picks the restored word. The word as written is one reading
+too, its runs of letters as words, with signs at its end free as in ordinary writing: "no!", "page2" or
+"letter" stay by score. Other words have one path only, themselves.
+
+Decoding follows the amount of text: distinct suspicious words are a table, each asks for the trigrams of its
+lattice, these meet their probabilities by a shuffled join, and every word is decoded with just those. So
+the model may have any number of trigrams and none is sent to the driver or to every task.
+
+A document is scored by the learned evidence of its restored words: smoothed log odds of word beginnings and
+whole words, shrunk where few labelled rows hold them, calibrated by a logistic curve over the strongest and
+the summed evidence. The classifier is fitted on at most `sample_rows` labelled rows (the lowest hashes of
+doc_id); nothing else is sampled or cut. Features are 64-bit hashes, none shares a slot with another.
+
+Null and empty texts have no evidence and score the calibrated base. One row comes out for each row, repeated
+rows repeat; a doc_id whose labels disagree counts as toxic if any label says so, null labels are ignored;
+other columns are never read. Without labels of both kinds every score is 0.
 """
 
 from __future__ import annotations
@@ -26,23 +32,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Remembered
-from .common import ship
-from .kernels import _SPACE, lower_ascii, slices, span_hashes, text_bytes, word_spans
+from .common import cut, discard, merged, ship
+from .kernels import lower_ascii, slices, span_hashes, text_bytes, word_spans
 from .kernels import _BYTE
 from .op05_language_id import letter_codes
 
 #: Letters that a digit or sign imitates.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
 PUNCTUATION = ".,;:!?\"'()[]{}|*#&%-_"
-COST_LEET, COST_DROP, COST_SHRINK = -0.7, -9.0, -0.3
+COST_LEET, COST_DROP, COST_SHRINK, COST_HALVE = -0.7, -9.0, -0.3, -6.0
+PIECE = 2  # characters of a piece of a spaced-out word, at most
 _SIGNS = "".join(LEET)
 _EDGE = "".join(c for c in PUNCTUATION if c not in LEET)  # imitates nothing
 _LETTERS = re.compile(r"[^\W\d_]+")
-_THRICE = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"([^\W\d_])\1")
 _UNIT = rf"(?:[^\W\d_]|[{re.escape(_SIGNS)}])"
 _CHAIN = re.compile(rf"(?<![^\W_]){_UNIT}([^\w\s]|_){_UNIT}(?:\1{_UNIT})+(?![^\W_])")
 PREFIXES = (4, 5, 6, 8)
-BITS = 22
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -119,7 +125,7 @@ class Decoder:
         out = []
         for x in letters:
             cost = 0.0 if x == c else COST_LEET
-            out.append((x, cost + (COST_SHRINK if n > 1 else 0.0)))
+            out.append((x, cost + (0.0 if n == 1 else COST_HALVE if n == 2 and x == c else COST_SHRINK)))
             if n > 1:
                 out.append((x + x, cost + (COST_SHRINK if n > 2 else 0.0)))
         if not c.isalpha():
@@ -177,7 +183,7 @@ class Decoder:
         if not any(c.isalpha() for c in core):
             return kept
         forms = dict.fromkeys([core, text.strip(_EDGE), core.rstrip(_SIGNS + PUNCTUATION)])
-        readings = [self.path(f) for f in forms if _THRICE.search(f) or any(c in LEET for c in f)]
+        readings = [self.path(f) for f in forms if _TWICE.search(f) or any(c in LEET for c in f)]
         score, word = max(readings, default=(-math.inf, ""))
         return word if word and score > self.plain(core) else kept
 
@@ -199,8 +205,8 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
         codes[high] = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in values], "<u4")[back]
     white = (codes == 32) | ((codes >= 9) & (codes <= 13))
     unit, sign = letter | leet, ~(letter | white | ((codes >= 48) & (codes <= 57)))
-    other = np.zeros(len(codes), bool)  # three of one letter, or three single characters with one same sign between
-    other[:-2] = letter[:-2] & (codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:])
+    other = np.zeros(len(codes), bool)  # a letter twice, or three single characters with one same sign between
+    other[:-1] = letter[:-1] & (codes[:-1] == codes[1:])
     other[:-4] |= unit[:-4] & sign[1:-3] & unit[2:-2] & (codes[1:-3] == codes[3:-1]) & unit[4:]
 
     def within(flags):
@@ -211,10 +217,11 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
 
     begin, stop = np.searchsorted(at, start), np.searchsorted(at, end)
     flagged = ((within(letter) > 0) & (within(leet) > 0)) | (within(other) > 0)
-    single = (stop - begin == 1) & unit[begin]
+    single = (stop - begin <= PIECE) & (within(unit) == stop - begin)
+    ends = np.cumsum(data == 10)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     chained = np.zeros(len(start), bool)
-    chained[1:] = single[1:] & single[:-1] & (start[1:] == end[:-1] + 1) & (row[1:] == row[:-1])
+    chained[1:] = single[1:] & single[:-1] & (ends[start[1:]] == ends[end[:-1] - 1]) & (row[1:] == row[:-1])
     spans = [(int(start[i]), int(end[i])) for i in np.flatnonzero(flagged)]
     heads = np.flatnonzero(single & ~chained)
     for h in heads[np.append(chained, False)[heads + 1]]:
@@ -251,7 +258,7 @@ def restore(column, decoder: Decoder) -> tuple[list[str | None], np.ndarray]:
 # --- evidence ------------------------------------------------------------------------------------
 
 def evidence(column) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features (beginnings of words and whole words, as slots of 2**BITS) of each row, and their rows."""
+    """Distinct features (64-bit hashes of beginnings of words and of whole words) of each row, and their rows."""
     data, offsets = text_bytes(column)
     data = lower_ascii(data)
     start, end, first = word_spans(np.where(_LETTER[data], data, 32).astype(np.uint8), offsets)
@@ -260,38 +267,40 @@ def evidence(column) -> tuple[np.ndarray, np.ndarray]:
     for k in (*PREFIXES, 0):
         fits = end - start > k if k else end - start >= 3
         s = start[fits]
-        features.append((span_hashes(values, s, s + k if k else end[fits]) + np.uint64(k)) & np.uint64((1 << BITS) - 1))
+        features.append((span_hashes(values, s, s + k if k else end[fits]) + np.uint64(k)).view(np.int64))
         rows.append(row[fits])
-    key = np.unique((np.concatenate(rows).astype(np.int64) << BITS) | np.concatenate(features).astype(np.int64))
-    return key & ((1 << BITS) - 1), key >> BITS
+    features, rows = np.concatenate(features), np.concatenate(rows)
+    order = np.lexsort((features, rows))
+    features, rows = features[order], rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (features[1:] != features[:-1]) | (rows[1:] != rows[:-1])
+    return features[new], rows[new]
 
 
 class Classifier:
-    """Weights by slot, sorted, and three numbers of a logistic curve over the strongest and the summed evidence."""
+    """Weights by feature, sorted, and three numbers of a logistic curve over the strongest and the summed evidence."""
 
-    def __init__(self, slots: np.ndarray, weights: np.ndarray, curve: np.ndarray):
-        order = np.argsort(slots)
-        self.slots, self.weights, self.curve = slots[order], weights[order], curve
+    def __init__(self, features: np.ndarray, weights: np.ndarray, curve: np.ndarray):
+        order = np.argsort(features)
+        self.features, self.weights, self.curve = features[order], weights[order], curve
+
+    def hits(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, feature, weight) of the features that speak for the label."""
+        features, rows = evidence(column)
+        if not len(self.features) or not len(features):
+            return rows[:0], features[:0], np.zeros(0)
+        at = np.minimum(np.searchsorted(self.features, features), len(self.features) - 1)
+        found = self.features[at] == features
+        return rows[found], features[found], self.weights[at[found]]
 
     def strength(self, column) -> np.ndarray:
-        """Per row: the largest weight found, and the root of the sum of all."""
-        slots, rows = evidence(column)
-        n = len(column)
-        out = np.zeros((n, 2))
-        if len(self.slots) and len(slots):
-            at = np.minimum(np.searchsorted(self.slots, slots), len(self.slots) - 1)
-            hit = self.slots[at] == slots
-            rows, w = rows[hit], self.weights[at[hit]]
-            np.maximum.at(out[:, 0], rows, w)
-            out[:, 1] = np.sqrt(np.bincount(rows, w, minlength=n))
+        """Per row: the largest weight found, and the fourth root of the sum of fourth powers."""
+        rows, _, w = self.hits(column)
+        out = np.zeros((len(column), 2))
+        np.maximum.at(out[:, 0], rows, w)
+        out[:, 1] = np.bincount(rows, w**4, minlength=len(column)) ** 0.25
         return out
 
-    def score(self, column) -> np.ndarray:
-        if not len(self.curve):
-            return np.zeros(len(column))
-        x = self.strength(column) @ self.curve[1:] + self.curve[0]
-        return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
@@ -306,59 +315,181 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-class Toxicity:
-    """A fitted model: character language model and classifier."""
+class Explorer(Decoder):
+    """Walks every path that decoding may take, and notes the trigrams on the way; probabilities decide nothing here."""
+
+    def __init__(self):
+        super().__init__(self)
+        self.seen: set[str] = set()
+        self.raw = False
+
+    def log(self, before: str, c: str) -> float:
+        self.seen.add(before + c)
+        return 0.0
+
+    word = CharModel.word
+
+    def path(self, text: str) -> tuple[float, str]:
+        super().path(text)
+        return 1.0, "x"
+
+    def joined(self, m: re.Match) -> str:
+        super().joined(m)
+        return m[0][::2] if self.raw else m[0]
+
+    def explore(self, token: str) -> np.ndarray:
+        self.seen.clear()
+        for self.raw in (False, True):
+            self.decode(token)
+        codes = np.frombuffer("".join(self.seen).encode("utf-32-le"), "<u4").astype(np.int64).reshape(-1, 3)
+        return (codes[:, 0] << 42) | (codes[:, 1] << 21) | codes[:, 2]
 
-    def __init__(self, chars: tuple[np.ndarray, np.ndarray], classifier: Classifier):
-        self.chars, self.classifier = chars, classifier
 
-    def decoder(self) -> Decoder:
-        return Decoder(CharModel(*self.chars))
+class Known:
+    """Log probabilities of the trigrams that one word asks for."""
 
+    def __init__(self, grams: list[int], logs: list[float]):
+        self.logs = dict(zip(grams, logs, strict=True))
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, rate_floor: float = 2e-6, smoothing: float = 4.0, least_rows: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
+    def log(self, before: str, c: str) -> float:
+        return self.logs[(ord(before[0]) << 42) | (ord(before[1]) << 21) | ord(c)]
+
+    word = CharModel.word
+
+
+def log_probabilities(asked: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, log) of trigrams, interpolated down to single characters, from the counts of all trigrams."""
+    head, tail = F.shiftright("gram", 21), F.col("gram").bitwiseAND((1 << 42) - 1)
+    middle, last = head.bitwiseAND((1 << 21) - 1), F.col("gram").bitwiseAND((1 << 21) - 1)
+    total = float(grams.agg(F.sum("n")).first()[0] or 0) + 1.0
+    summed = lambda key, name: grams.groupBy(key.alias(name)).agg(F.sum("n").alias(f"n_{name}"))
+    ones = cut(summed(middle, "middle"), few=True)
+    rows = merged(asked, grams, "gram", "left").withColumns({"head": head, "tail": tail, "middle": middle, "last": last})
+    for side in (summed(head, "head"), summed(tail, "tail"), ones, ones.toDF("last", "n_last")):
+        rows = merged(rows, side, side.columns[0], "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    p1 = (n("n_last") + 0.5) / (total + 500)
+    p2 = (n("n_tail") + 50 * p1) / (n("n_middle") + 50)
+    return rows.select("gram", F.log((n("n") + 20 * p2) / (n("n_head") + 20)).alias("log"))
+
+
+def decode_words(words: DataFrame, grams: DataFrame) -> DataFrame:
+    """(token, word): each distinct suspicious word and what it is restored to, or itself."""
+
+    def explore(batches):
+        explorer = Explorer()
+        for batch in batches:
+            for token, key in zip(batch.column("token").to_pylist(), batch.column("key").to_pylist(), strict=True):
+                asked = explorer.explore(token)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), key, np.int64)), pa.array(asked)], ["key", "gram"])
+
+    def decode(batches):
+        for batch in batches:
+            tokens, found = batch.column("token").to_pylist(), batch.column("logs").to_pylist()
+            out = [Decoder(Known([x["gram"] for x in logs], [x["log"] for x in logs])).decode(t) for t, logs in zip(tokens, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(out, pa.string())], ["token", "word"])
+
+    words = cut(words.select("token").distinct().withColumn("key", F.xxhash64("token")), few=True)
+    asked = cut(words.mapInArrow(explore, "key long, gram long"))
+    logs = cut(log_probabilities(asked.select("gram").distinct(), grams), few=True)
+    each = merged(asked, logs, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "log")).alias("logs"))
+    decoded = cut(merged(words, each, "key").select("token", "logs").mapInArrow(decode, "token string, word string"), few=True)
+    discard(asked, logs)
+    return decoded
+
+
+def spots(column) -> list[tuple[bytes, list[tuple[int, int]]]]:
+    """Each row's UTF-8 bytes and the spans of its suspicious words in them."""
+    data, offsets = text_bytes(column)
+    found: list[list[tuple[int, int]]] = [[] for _ in range(len(column))]
+    for a, b in suspects(data, offsets):
+        r = int(np.searchsorted(offsets, a, side="right")) - 1
+        found[r].append((a - int(offsets[r]), b - int(offsets[r])))
+    raw = data.tobytes()
+    return [(raw[offsets[r] : offsets[r + 1]], spans) for r, spans in enumerate(found)]
+
+
+def one_blank(token: bytes) -> str:
+    return " ".join(token.decode().split())
+
+
+def without(raw: bytes, spans: list[tuple[int, int]], words: list[str] | None = None) -> str:
+    """A text with the given words in place of the spans, or with blanks."""
+    out, at = [], 0
+    for i, (a, b) in enumerate(spans):
+        out += [raw[at:a].decode(), words[i] if words else " "]
+        at = b
+    return "".join(out) + raw[at:].decode()
+
+
+def tokens_of(batches):
+    """(row, token): the distinct suspicious words of each row."""
+    for batch in slices(batches):
+        rows, tokens = [], []
+        for r, (raw, spans) in zip(batch.column("row").to_pylist(), spots(batch.column("text")), strict=True):
+            found = {one_blank(raw[a:b]) for a, b in spans}
+            rows += [r] * len(found)
+            tokens += found
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(tokens, pa.string())], ["row", "token"])
+
+
+def restore_texts(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """`docs`, which have columns `row` (unique) and `text`, with their texts restored; texts are shuffled by row."""
+    tokens = cut(docs.select("row", "text").mapInArrow(tokens_of, "row long, token string"))
+    words = decode_words(tokens, grams)
+    found = merged(tokens, words.where("token <> word"), "token").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("words"))
+    other = [c for c in docs.columns if c not in ("row", "text")]
+
+    def run(batches):
+        for batch in slices(batches):
+            texts = []
+            for (raw, spans), words in zip(spots(batch.column("text")), batch.column("words").to_pylist(), strict=True):
+                known, tokens = dict(words or ()), [one_blank(raw[a:b]) for a, b in spans]
+                texts.append(without(raw, spans, [known.get(t, raw[a:b].decode()) for t, (a, b) in zip(tokens, spans, strict=True)]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), *[batch.column(c) for c in other]], ["row", "text", *other])
+
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("row", "text", *other))
+    return merged(docs.select("row", "text", *other), found, "row", "left").mapInArrow(run, schema)
+
+
+class Toxicity:
+    """A fitted model: the table of trigram counts and the classifier."""
+
+    def __init__(self, grams: DataFrame, classifier: Classifier):
+        self.grams, self.classifier = grams, classifier
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, smoothing: float = 4.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
     """Language model over all texts of `docs`; classifier from at most `sample_rows` labelled ones.
 
-    The driver receives at most 1/rate_floor trigrams and at most 2**BITS weights.
+    The driver receives the features of those rows at most, and two numbers for each of them.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    grams = count_trigrams(docs).persist()
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    table = grams.where(F.col("n") >= rate_floor * total).toArrow()
-    grams.unpersist()
-    chars = table.column("gram").to_numpy(), table.column("n").to_numpy()
+    grams = cut(count_trigrams(docs), few=True)
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     sample = sample.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("text", "y", (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).alias("learn"))
-    shared = spark.sparkContext.broadcast(chars)
-
-    def restored(batches):
-        decoder = Decoder(CharModel(*shared.value))
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(restore(batch.column("text"), decoder)[0], pa.string()), batch.column("y"), batch.column("learn")], ["text", "y", "learn"])
+    rows = docs.join(F.broadcast(sample), "doc_id").select(F.monotonically_increasing_id().alias("row"), "text", (F.col("y") > 0).alias("y"), (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).alias("learn"))
+    rows = cut(restore_texts(cut(rows, few=True), grams), few=True)
+    sizes = {(r["learn"], r["y"]): r["count"] for r in rows.groupBy("learn", "y").count().collect()}
+    clean, toxic = sizes.get((True, False), 0), sizes.get((True, True), 0)
+    if not clean or not toxic:
+        return Toxicity(grams, Classifier(np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
 
     def count(batches):
-        both = np.zeros((2, 1 << BITS), np.int32)
         for batch in slices(batches):
-            slots, at = evidence(batch.column("text"))
+            features, at = evidence(batch.column("text"))
             y = batch.column("y").to_numpy(zero_copy_only=False)[at]
-            for label in (0, 1):
-                both[label] += np.bincount(slots[y == label], minlength=1 << BITS).astype(np.int32)
-        slots = np.flatnonzero(both.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(both[0, slots].astype(np.int64)), pa.array(both[1, slots].astype(np.int64))], ["slot", "clean", "toxic"])
+            features, back = np.unique(features, return_inverse=True)
+            both = [np.bincount(back, y == label, minlength=len(features)).astype(np.int64) for label in (False, True)]
+            yield pa.RecordBatch.from_arrays([pa.array(features), *map(pa.array, both)], ["feature", "clean", "toxic"])
 
-    rows = rows.mapInArrow(restored, "text string, y int, learn boolean").persist()
-    sizes = {(r["learn"], r["y"] > 0): r["count"] for r in rows.groupBy("learn", "y").count().collect()}
-    clean, toxic = sizes.get((True, False), 0), sizes.get((True, True), 0)
-    if not clean or not toxic:
-        rows.unpersist()
-        return Toxicity(chars, Classifier(np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
     base = toxic / (toxic + clean)
-    counts = rows.where("learn").select("text", F.col("y").cast("boolean").cast("int").alias("y")).mapInArrow(count, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.where("learn").select("text", "y").mapInArrow(count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + smoothing * base) / (F.col("clean") + smoothing * (1 - base))) - math.log(base / (1 - base))
-    found = counts.where(F.col("toxic") >= least_rows).withColumn("w", odds).where("w > 1").select("slot", "w").toArrow()
-    model = Classifier(found.column("slot").to_numpy(), found.column("w").to_numpy(), np.zeros(0))
+    # a weight that does not speak for the label adds to neither strength, so it need not travel
+    found = counts.withColumn("w", odds * F.col("toxic") / (F.col("toxic") + smoothing)).where("w > 0").select("feature", "w").toArrow()
+    model = Classifier(found.column("feature").to_numpy(), found.column("w").to_numpy(), np.zeros(0))
     weighed = spark.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -366,37 +497,52 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, rate_floo
             x = weighed.value.strength(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("y")], ["a", "b", "y"])
 
-    x = rows.where("NOT learn").select("text", "y").mapInArrow(measure, "a double, b double, y int").toArrow()
-    rows.unpersist()
-    model.curve = logistic(np.column_stack([x.column("a").to_numpy(), x.column("b").to_numpy()]), (x.column("y").to_numpy() > 0).astype(float))
-    return Toxicity(chars, model)
+    x = rows.where("NOT learn").select("text", "y").mapInArrow(measure, "a double, b double, y boolean").toArrow()
+    model.curve = logistic(np.column_stack([x.column("a").to_numpy(), x.column("b").to_numpy()]), x.column("y").to_numpy().astype(float))
+    discard(rows)
+    return Toxicity(grams, model)
+
+
+HITS = "array<struct<feature:bigint,w:double>>"
 
 
 def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted, n_restored) of every row's whole text."""
+    """(doc_id, score, predicted, n_restored) of every row's whole text; texts are read once and never shuffled."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.classifier)
 
-    def run(batches):
-        decoder = shared.value.decoder()
-        for batch in slices(batches):
-            texts, changed = restore(batch.column("text"), decoder)
-            scores = shared.value.classifier.score(pa.array(texts, pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(changed)], ["doc_id", "score", "n_restored"])
+    def hit_lists(column):
+        rows, features, weights = shared.value.hits(column)
+        bounds = np.searchsorted(rows, np.arange(len(column) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(features), pa.array(weights)], ["feature", "w"]))
 
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, n_restored long")
-    return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored")
+    def read(batches):
+        for batch in slices(batches):
+            found = spots(batch.column("text"))
+            plain = pa.array([without(raw, spans) for raw, spans in found], pa.string())
+            tokens = pa.array([[one_blank(raw[a:b]) for a, b in spans] for raw, spans in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), hit_lists(plain), tokens], ["doc_id", "hits", "tokens"])
+
+    def weigh(batches):
+        for batch in slices(batches, "word"):
+            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("changed"), hit_lists(batch.column("word"))], ["token", "changed", "hits"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(read, f"doc_id long, hits {HITS}, tokens array<string>")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    tokens = rows.select("row", F.explode("tokens").alias("token")).groupBy("row", "token").agg(F.count("*").alias("n"))
+    words = decode_words(tokens, model.grams).select("token", "word", (F.col("token") != F.col("word")).alias("changed"))
+    words = cut(words.mapInArrow(weigh, f"token string, changed boolean, hits {HITS}").where("changed OR size(hits) > 0"), few=True)
+    met = merged(tokens, words, "token").groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("more"), F.sum(F.when(F.col("changed"), F.col("n")).otherwise(0)).alias("n_restored"))
+    out = merged(rows.select("row", "doc_id", "hits"), met, "row", "left")
+    weights = F.transform(F.array_union("hits", F.coalesce("more", F.array().cast(HITS))), lambda h: h["w"])
+    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + F.pow(w, F.lit(4.0)))
+    curve = model.classifier.curve.tolist() or None
+    value = F.lit(0.0) if curve is None else 1 / (1 + F.exp(-(F.lit(curve[0]) + curve[1] * F.coalesce(F.array_max(weights), F.lit(0.0)) + curve[2] * F.pow(total, F.lit(0.25)))))
+    return out.select("doc_id", value.alias("score"), F.coalesce("n_restored", F.lit(0)).cast("long").alias("n_restored")).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored")
 
 
 def accepted(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns unchanged, whose whole text is not predicted toxic; nothing is shuffled."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        decoder = shared.value.decoder()
-        for batch in slices(batches, text_col):
-            texts, _ = restore(batch.column(text_col), decoder)
-            yield batch.filter(pa.array(shared.value.classifier.score(pa.array(texts, pa.string())) < 0.5))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of `docs`, all columns unchanged, whose whole text is not predicted toxic."""
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    toxic = score(numbered, model, id_col="_row", text_col=text_col).where("predicted = 1").select(F.col("doc_id").alias("_row"))
+    return merged(numbered, toxic, "_row", "left_anti").select(*docs.columns)

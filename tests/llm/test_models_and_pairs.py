@@ -170,6 +170,33 @@ def test_many_languages_need_several_words(spark):
     assert got == 0
 
 
+def test_languages_equal_exact_sets(spark):
+    """The filters against sets of n-grams that are exact: same language wherever the exact rates are not all but equal."""
+    import random
+    from collections import Counter
+
+    rng, langs = random.Random(8), ("aa", "bb", "cc")
+    letters = {"aa": "abcdeéf", "bb": "bcdefgh", "cc": "acegiß漢"}
+    text = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    train = [(i, text(lang, 30), lang) for i, lang in enumerate(langs * 20)]
+
+    def grams(t):
+        padded = [f" {w} " for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+        return [(n, w[k : k + n]) for n in (2, 3, 4) for w in padded for k in range(len(w) - n + 1)]
+
+    counts = {lang: Counter(g for _, t, x in train if x == lang for g in grams(t)) for lang in langs}
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    top = {g: max(c[g] / total[lang] for lang, c in counts.items()) for c in counts.values() for g in c}
+    sets = {lang: {g for g in c if c[g] / total[lang] >= 0.5 * top[g]} for lang, c in counts.items()}
+    asked = [(i, text(rng.choice(langs), rng.randint(1, 12))) for i in range(200)]
+    filters = op5.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in op5.predict(spark.createDataFrame(asked, "doc_id long, text string"), filters).collect()}
+    for i, t in asked:
+        rates = sorted(((sum(g in sets[lang] for g in grams(t)) / len(grams(t)), lang) for lang in langs), reverse=True)
+        if rates[0][0] - rates[1][0] > 0.02:
+            assert got[i].lang_pred == rates[0][1] and abs(got[i].score - rates[0][0]) < 0.05
+
+
 @here
 def test_held_out_accuracy(spark):
     lang = QUERIES["op5_language_id"](spark, FOLDER).where("held_out").join(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang"), "doc_id")
