@@ -21,7 +21,7 @@ def estimate(tallies: DataFrame, anchors: DataFrame) -> DataFrame:
     trop_peu_de_votants, scrutin_unanime; refused roll-calls have no measures. One shuffle by roll-call
     serves every step: tallies are summed to one row for each coordinate before anything else is done.
     """
-    covered = tallies.join(F.broadcast(anchors), "organe_id", "left")
+    covered = tallies.join(anchors, "organe_id", "left")
     by_x = covered.groupBy("scrutin_id", "coordonnee").agg(F.sum("pour").alias("p"), F.sum("contre").alias("c"))
     whole = Window.partitionBy("scrutin_id")
     known = F.col("coordonnee").isNotNull()

@@ -24,7 +24,7 @@ def row_problems(rows: DataFrame, themes: DataFrame, rollcalls: DataFrame) -> Da
     order = Window.partitionBy("scrutin_uid", "theme").orderBy("source")
     known = themes.select(F.col("slug").alias("theme"), F.col("libelle_pole_positif").isNotNull().alias("axis"), F.col("actif"))
     uids = rollcalls.select("scrutin_uid", F.lit(True).alias("found")).distinct()
-    seen = rows.withColumn("_n", F.row_number().over(order)).join(F.broadcast(known), "theme", "left").join(uids, "scrutin_uid", "left")
+    seen = rows.withColumn("_n", F.row_number().over(order)).join(known, "theme", "left").join(uids, "scrutin_uid", "left")
     is_known = F.col("axis").isNotNull()
     position = F.when(~F.col("axis") & F.col("position_pour").isNotNull(), "position_sans_axe").when(F.col("axis") & F.col("position_pour").isNull(), "position_absente").when(F.col("axis"), number_problem("position", F.col("position_pour"), -1, 1))
     problems = F.array(
@@ -98,3 +98,49 @@ def apply_plan(existing: DataFrame, rows: DataFrame, planned: DataFrame) -> Data
 def revisions(planned: DataFrame) -> DataFrame:
     """One row a roll-call that changes: its labels before and after as JSON."""
     return planned.where("classement <> 'inchange'").select("scrutin_uid", F.to_json("avant").alias("avant"), F.to_json("apres").alias("apres"))
+
+
+def replace_one(existing: DataFrame, rows: DataFrame, scrutin_uid: str, author: str) -> tuple[DataFrame, DataFrame]:
+    """Labels after one roll-call's were replaced by hand, and its revision: none if before equals after."""
+    given = rows.where(F.col("scrutin_uid") == scrutin_uid)
+    changed = plan(given, existing).where("classement <> 'inchange'")
+    after = apply_plan(existing, given, changed)
+    mine = (F.col("scrutin_uid") == scrutin_uid) & (F.col("method") == "import")
+    by_hand = after.withColumn("method", F.when(mine, "manual").otherwise(F.col("method")))
+    return by_hand, revisions(changed).withColumn("author", F.lit(author))
+
+
+#: Columns of an answer line, in order.
+ANSWER = ("scrutin_uid", "theme", "poids", "position_pour", "confiance", "justification")
+
+
+def check_answers(answers: DataFrame, themes: DataFrame, rollcalls: DataFrame) -> DataFrame:
+    """Answer lines (source, columns) with their fields and `problem`, the first rule that a line breaks, or null.
+
+    The rules are those of an import, in this order: six columns, known roll-call, known theme, first of its
+    pair, numbers, bounds, position if and only if the theme has an axis, justification.
+    """
+    fields = [F.get("columns", F.lit(i)).alias(c) for i, c in enumerate(ANSWER)]
+    known = themes.select(F.col("slug").alias("theme"), F.col("libelle_pole_negatif").isNotNull().alias("axis"))
+    rows = answers.select("source", "columns", *fields).join(known, "theme", "left").join(rollcalls.select("scrutin_uid", F.lit(True).alias("found")).distinct(), "scrutin_uid", "left")
+    whole = (F.size("columns") == len(ANSWER)) & F.col("found").isNotNull() & F.col("axis").isNotNull()
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("scrutin_uid", "theme", whole).orderBy("source")))
+    number = lambda c, low, high, **k: number_problem(c.split("_")[0], F.col(c), low, high, **k)
+    given = F.coalesce(F.trim("position_pour"), F.lit("")) != ""
+    problem = (
+        F.when(F.size("columns") != len(ANSWER), "colonnes")
+        .when(F.col("found").isNull(), "scrutin_inconnu")
+        .when(F.col("axis").isNull(), "theme_inconnu")
+        .when(F.col("_n") > 1, "doublon")
+    )
+    rest = F.coalesce(number("poids", 0, 1, open_low=True), number("confiance", 0, 1), F.when(given & ~F.col("axis"), "position_sans_axe").when(~given & F.col("axis"), "position_absente").when(given, number("position_pour", -1, 1)), F.when(F.length(F.trim("justification")) < JUSTIFICATION_MIN, "justification_courte"))
+    return rows.select("source", *ANSWER, F.coalesce(problem, rest).alias("problem"))
+
+
+def assemble(checked: DataFrame, rollcalls: DataFrame, version: int = 1) -> DataFrame:
+    """(scrutin_uid, json) of answers that passed: one exchange document entry a roll-call with its context, numbers with three decimals."""
+    three = lambda c: F.col(c).try_cast("decimal(11,3)").cast("string").alias(c)
+    entry = F.struct("theme", three("poids"), three("position_pour"), three("confiance"), F.trim("justification").alias("justification"))
+    by_uid = checked.where("problem IS NULL").groupBy("scrutin_uid").agg(F.array_sort(F.collect_list(entry)).alias("categorisation"))
+    head = rollcalls.select("scrutin_uid", "legislature", "numero", "titre")
+    return by_uid.join(head, "scrutin_uid").select("scrutin_uid", F.to_json(F.struct(F.lit(version).alias("schema_version"), "scrutin_uid", "legislature", "numero", "titre", "categorisation")).alias("json"))

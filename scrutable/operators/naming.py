@@ -24,12 +24,13 @@ def assign_slugs(persons: DataFrame, slugs: DataFrame) -> DataFrame:
     taken = slugs.select("slug", F.regexp_replace("slug", TRAILING, "").alias("stem"))
 
     def settle(family: pd.DataFrame, reserved: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(reserved["slug"]), []
+        used, nexts, out = set(reserved["slug"]), {}, []
         for row in family.sort_values("person_id").itertuples():
-            slug, n = row.base, 2
+            slug, n = row.base, nexts.get(row.base, 2)
             while slug in used:
                 slug, n = f"{row.base}-{n}", n + 1
             used.add(slug)
+            nexts[row.base] = n
             out.append((row.person_id, slug, row.from_identifier))
         return pd.DataFrame(out, columns=["person_id", "slug", "from_identifier"])
 

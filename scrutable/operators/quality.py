@@ -53,7 +53,7 @@ def weights_not_one(labels: DataFrame) -> DataFrame:
 
 def positions_against_axis(labels: DataFrame, themes: DataFrame) -> DataFrame:
     """Labels with a position on a theme without an axis, or without one on a theme with."""
-    return labels.join(F.broadcast(themes.select("theme_id", "libelle_pole_positif")), "theme_id").where("(position_pour IS NULL) <> (libelle_pole_positif IS NULL)").select("scrutin_id", "theme_id")
+    return labels.join(themes.select("theme_id", "libelle_pole_positif"), "theme_id").where("(position_pour IS NULL) <> (libelle_pole_positif IS NULL)").select("scrutin_id", "theme_id")
 
 
 def idle_revisions(revisions: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def measured_labels(labels: DataFrame, estimates: DataFrame, themes: DataFrame)
     """Labels with a position on eligible themes, beside the measure of their roll-call; unknown bipolarity drops out."""
     labels = labels.where("position_pour IS NOT NULL").select("scrutin_id", "theme_id", F.col("position_pour").cast("double").alias("label"), F.col("poids").cast("double").alias("poids_theme"), F.col("confiance").cast("double").alias("confiance"), "reviewed")
     measure = estimates.where("bipolarite IS NOT NULL").select("scrutin_id", F.col("position_pour").cast("double").alias("measured"), F.col("bipolarite").cast("double").alias("bipolarite"))
-    return labels.join(measure, "scrutin_id").join(F.broadcast(themes.select("theme_id", "axe_gauche_droite")), "theme_id")
+    return labels.join(measure, "scrutin_id").join(themes.select("theme_id", "axe_gauche_droite"), "theme_id")
 
 
 def contributions(votes: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def tally_scores(rows: DataFrame, *keys: str) -> DataFrame:
 
 def group_scores(tallies: DataFrame, groups: DataFrame, labelled: DataFrame, memberships: DataFrame) -> DataFrame:
     """(organe_id, theme_id, score, cohesion, contributions, membres) of every attached group."""
-    rows = tallies_by_group(tallies).join(F.broadcast(groups.where(~F.col("is_non_inscrit")).select("organe_id")), "organe_id").join(agreeing(labelled), "scrutin_id")
+    rows = tallies_by_group(tallies).join(groups.where(~F.col("is_non_inscrit")).select("organe_id"), "organe_id").join(agreeing(labelled), "scrutin_id")
     members = memberships.groupBy("organe_id").agg(F.countDistinct("person_id").alias("membres"))
     return tally_scores(rows, "organe_id", "theme_id").join(members, "organe_id", "left").withColumn("membres", F.coalesce("membres", F.lit(0)))
 
@@ -109,11 +109,14 @@ def mandate_scores(tallies: DataFrame, groups: DataFrame, labelled: DataFrame, m
 
     Many persons share a group and a period, so tallies are first scored once for each distinct (group,
     period, theme) and only the result is given to the memberships: the interval join sees periods, not
-    persons.
+    persons. Periods are spelled out in months, so that the join is by group and month and its tasks are small.
     """
-    periods = memberships.select("organe_id", "debut", "fin_exclusive").distinct().join(F.broadcast(groups.where(~F.col("is_non_inscrit")).select("organe_id")), "organe_id")
     dated = tallies_by_group(tallies).join(rollcalls.select("scrutin_id", "date_scrutin"), "scrutin_id")
-    rows = dated.join(periods, "organe_id").where((F.col("debut") <= F.col("date_scrutin")) & (F.col("fin_exclusive").isNull() | (F.col("date_scrutin") < F.col("fin_exclusive"))))
+    known = dated.agg(F.min("date_scrutin").alias("first"), F.max("date_scrutin").alias("last"))
+    periods = memberships.select("organe_id", "debut", "fin_exclusive").distinct().join(groups.where(~F.col("is_non_inscrit")).select("organe_id"), "organe_id").crossJoin(F.broadcast(known))
+    begin, end = F.greatest("debut", "first"), F.least(F.coalesce(F.date_sub("fin_exclusive", 1), "last"), "last")
+    periods = periods.where(begin <= end).select("organe_id", "debut", "fin_exclusive", F.explode(F.sequence(F.trunc(begin, "month"), end, F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    rows = dated.withColumn("month", F.trunc("date_scrutin", "month")).join(periods, ["organe_id", "month"]).where((F.col("debut") <= F.col("date_scrutin")) & (F.col("fin_exclusive").isNull() | (F.col("date_scrutin") < F.col("fin_exclusive"))))
     scored = tally_scores(rows.join(agreeing(labelled), "scrutin_id"), "organe_id", "debut", "fin_exclusive", "theme_id")
     m, s = memberships.alias("m"), scored.alias("s")
     same = (F.col("m.organe_id") == F.col("s.organe_id")) & (F.col("m.debut") == F.col("s.debut")) & F.col("m.fin_exclusive").eqNullSafe(F.col("s.fin_exclusive"))

@@ -20,6 +20,27 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str], keep_absent: bool = T
     return both.select(*keys, *[picked[c].alias(c) for c in values], change.alias("change"))
 
 
+def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """`new` by key whatever it holds, and the rows of `old` that it does not name."""
+    return new.unionByName(old.join(new.select(*keys), keys, "left_anti").select(*new.columns))
+
+
+def measured(old: DataFrame, new: DataFrame, key: str = "scrutin_id", status: str = "statut") -> DataFrame:
+    """Measures after a rerun: written only where they changed; a row whose subject is refused now stays as it was."""
+    return merge(old, new.where(F.col(status) == "ok"), [key])
+
+
+def replace_all(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """A seed taken whole: the rows of `new`, and the keys of `old` that are gone."""
+    return new, old.select(key).subtract(new.select(key))
+
+
+def audit(merged: DataFrame, keys: list[str], who: str) -> DataFrame:
+    """One row a change of a keyed merge: who, what, and the new values as JSON."""
+    values = [c for c in merged.columns if c not in (*keys, "change")]
+    return merged.where("change IN ('created', 'updated')").select(*keys, F.lit(who).alias("author"), F.col("change").alias("action"), F.to_json(F.struct(*values)).alias("detail"))
+
+
 def change_counts(merged: DataFrame) -> DataFrame:
     return merged.groupBy("change").agg(F.count("*").alias("n"))
 

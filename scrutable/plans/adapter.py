@@ -6,14 +6,23 @@ what became of a line says how the person voted. Nothing else in the package kno
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..sources.store import Runs, Store
+
+BY_POSITION = (("pour", "pour"), ("contre", "contre"), ("abstention", "abstentions"), ("non_votant", "non_votants"))
 
 
 class Tables:
-    """The logical tables over one folder of test tables."""
+    """The logical tables over one folder of test tables.
+
+    Votes, tallies and roll-calls are derived from the lines once, stored and read from there, as an
+    ingestion would leave them; the other tables are cheap views.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.store = spark, folder, Store(spark, folder)
+        self.runs = Runs(self.store, "scores")
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -32,22 +41,28 @@ class Tables:
         orders = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person_id"))
         return lines.join(orders, "l_orderkey")
 
-    def vote(self) -> DataFrame:
-        order = Window.partitionBy("scrutin_id", "person_id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")
-        first = self.ballots().withColumn("_n", F.row_number().over(order)).where("_n = 1")
-        return first.select("scrutin_id", "person_id", "position")
+    def vote(self, again: bool = False) -> DataFrame:
+        """The first ballot of each person in each roll-call, ordered by person."""
+        order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")
+        first = lambda: self.ballots().groupBy("scrutin_id", "person_id").agg(F.min_by("position", order).alias("position"))
+        return self.store.table("vote", first, by="person_id", again=again)
 
     def seated_vote(self) -> DataFrame:
         """Votes with the group the person sits in."""
         return self.vote().join(self.raw("customer").select(F.col("c_custkey").alias("person_id"), F.col("c_nationkey").cast("long").alias("organe_id")), "person_id")
 
-    def scrutin(self) -> DataFrame:
-        tally = self.vote().groupBy("scrutin_id").agg(*[F.count_if(F.col("position") == p).alias(n) for p, n in (("pour", "pour"), ("contre", "contre"), ("abstention", "abstentions"), ("non_votant", "non_votants"))])
-        return describe_scrutins(tally)
+    def scrutin_groupe(self, again: bool = False) -> DataFrame:
+        counts = [F.count_if(F.col("position") == p).alias(n) for p, n in BY_POSITION]
+        tally = lambda: self.seated_vote().groupBy("scrutin_id", "organe_id").agg(F.count("*").alias("nombre_membres"), *counts).withColumn("rang", F.col("organe_id") + 1)
+        return self.store.table("scrutin_groupe", tally, again=again)
+
+    def scrutin(self, again: bool = False) -> DataFrame:
+        counts = [F.count_if(F.col("position") == p).alias(n) for p, n in BY_POSITION]
+        return self.store.table("scrutin", lambda: describe_scrutins(self.vote().groupBy("scrutin_id").agg(*counts)), again=again)
 
-    def scrutin_groupe(self) -> DataFrame:
-        counts = [F.count_if(F.col("position") == p).alias(n) for p, n in (("pour", "pour"), ("contre", "contre"), ("abstention", "abstentions"), ("non_votant", "non_votants"))]
-        return self.seated_vote().groupBy("scrutin_id", "organe_id").agg(F.count("*").alias("nombre_membres"), *counts).withColumn("rang", F.col("organe_id") + 1)
+    def ingest(self) -> dict[str, DataFrame]:
+        """Derive and store the tables anew."""
+        return {name: getattr(self, name)(again=True) for name in ("vote", "scrutin_groupe", "scrutin")}
 
     def organe(self) -> DataFrame:
         key = F.col("n_nationkey").cast("long")
@@ -91,7 +106,7 @@ class Tables:
         i = F.col("scrutin_id")
         one = lambda theme, poids: F.struct((F.pmod(theme, F.lit(4)) + 1).cast("int").alias("theme_id"), F.lit(poids).cast("decimal(4,3)").alias("poids"))
         both = F.when(i % 3 == 0, F.array(one(i, "0.600"), one(i + 1, "0.400"))).otherwise(F.array(one(i, "1.000")))
-        return self.vote().select("scrutin_id").distinct().select(
+        return self.scrutin().select(
             "scrutin_id",
             F.explode(both).alias("l"),
             ((F.pmod(i * 5, F.lit(21)) - 10) / 10.0).cast("decimal(4,3)").alias("position_pour"),

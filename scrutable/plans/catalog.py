@@ -4,32 +4,17 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
-from ..operators import axis, imports, intervals, naming, quality, scoring, tables as T
+from ..operators import axis, imports, intervals, naming, quality, score_run, scoring, tables as T
 from ..sources import exchange
+from ..sources.store import Runs
 from . import reads
 from .adapter import SQL, Tables, ctes
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 PERSON, TODAY = 1, datetime.date(2000, 1, 1)
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    """Register a query over Tables, and its SQL."""
-
-    def add(f):
-        def run(spark: SparkSession, folder: str) -> DataFrame:
-            return f(Tables(spark, folder))
-
-        QUERIES[name] = run
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return f
-
-    return add
 
 
 # --- SQL of the shared pieces ---------------------------------------------------------------------
@@ -118,6 +103,18 @@ def _contributions(t: Tables) -> DataFrame:
     return scoring.contributions(t.vote(), _labelled(t))
 
 
+def recompute(t: Tables) -> dict:
+    """A whole score run over the stored votes, published: its counters."""
+    return score_run.recompute(t.runs, t.vote(), t.scrutin_groupe(), t.scrutin(), t.group_axis_entry(), t.scrutin_label(), t.theme(), t.organe(), t.mandat())
+
+
+def current(t: Tables) -> Runs:
+    """The runs of these tables; the first one is made if there is none."""
+    if t.runs.current_id() is None:
+        recompute(t)
+    return t.runs
+
+
 @query("axis_estimate", BASE + " SELECT * FROM estimate")
 def _(t):
     return _estimates(t)
@@ -176,13 +173,14 @@ def _(t):
 
 # --- reads --------------------------------------------------------------------------------------------
 
-def _overview(t: Tables) -> DataFrame:
-    return reads.person_overview(t.person(), t.vote(), t.scrutin(), t.mandat(), t.organe(), t.person_slug(), t.candidate())
+def _overview(t: Tables, again: bool = False) -> DataFrame:
+    """The stored overview, refreshed where asked: written whole, then swapped in by its name."""
+    return t.store.table("person_overview", lambda: reads.person_overview(t.person(), t.vote(), t.scrutin(), t.mandat(), t.organe(), t.person_slug(), t.candidate()), again=again)
 
 
 @query("person_overview", OVERVIEW + " SELECT * FROM overview")
 def _(t):
-    return _overview(t)
+    return _overview(t, again=True)
 
 
 @query("directory_page", OVERVIEW + " SELECT * FROM overview WHERE slug IS NOT NULL AND recherche LIKE '%1%' ORDER BY nom, prenom, person_id LIMIT 30 OFFSET 30")
@@ -217,31 +215,29 @@ def _(t):
  LEFT JOIN person_score p ON p.theme_id = t.theme_id AND p.person_id = {PERSON}
  LEFT JOIN (SELECT theme_id, count(*) FILTER (WHERE poids > 0) AS contributions, count(*) FILTER (WHERE position = 'abstention') AS abstentions FROM contribution WHERE person_id = {PERSON} GROUP BY theme_id) c ON c.theme_id = t.theme_id WHERE axe_gauche_droite""")
 def _(t):
-    rows = _contributions(t)
-    return reads.person_orientations(PERSON, _eligible(t), scoring.person_scores(rows), rows)
+    run = current(t)
+    return reads.person_orientations(PERSON, run.current("eligible"), run.current("person_score"), run.current("contribution"))
 
 
 @query("hidden_themes", BASE + ELIGIBLE + " SELECT count(*) FILTER (WHERE NOT axe_gauche_droite) AS n FROM eligible")
 def _(t):
-    return reads.hidden_themes(_eligible(t))
+    return reads.hidden_themes(current(t).current("eligible"))
 
 
 @query("theme_contributions", BASE + ELIGIBLE + CONTRIBUTION + f" SELECT scrutin_id, scrutin_uid, titre, date_scrutin, position, apport, {_r('poids')} AS poids, exclusion FROM contribution JOIN scrutin USING (scrutin_id) WHERE person_id = {PERSON} AND theme_id = 1")
 def _(t):
-    return reads.theme_contributions(PERSON, 1, _contributions(t), t.scrutin()).select("scrutin_id", "scrutin_uid", "titre", "date_scrutin", "position", "apport", axis.rounded(F.col("poids")).alias("poids"), "exclusion")
+    return reads.theme_contributions(PERSON, 1, current(t).current("contribution"), t.scrutin()).select("scrutin_id", "scrutin_uid", "titre", "date_scrutin", "position", "apport", axis.rounded(F.col("poids")).alias("poids"), "exclusion")
 
 
 @query("mandate_orientations", MANDATE + " SELECT m.mandat_id, organe_uid, o.libelle, debut, coalesce(CAST(CAST(fin_exclusive - INTERVAL 1 DAY AS DATE) AS VARCHAR), '') AS fin, count(*) AS n, sum(contributions)::BIGINT AS contributions FROM mandat m JOIN mandate_score USING (mandat_id) JOIN theme t USING (theme_id) JOIN organe o ON o.organe_id = m.organe_id WHERE person_id = 2 AND axe_gauche_droite GROUP BY ALL")
 def _(t):
-    scores = scoring.mandate_scores(t.scrutin_groupe(), t.organe(), _labelled(t), t.mandat(), t.scrutin())
-    rows = reads.mandate_orientations(2, t.mandat(), t.organe(), scores, t.theme())
+    rows = reads.mandate_orientations(2, t.mandat(), t.organe(), current(t).current("mandate_score"), t.theme())
     return rows.select("mandat_id", "organe_uid", "libelle", "debut", F.coalesce(F.col("fin").cast("string"), F.lit("")).alias("fin"), F.size("orientations").cast("long").alias("n"), F.aggregate("orientations", F.lit(0).cast("long"), lambda a, o: a + o["contributions"]).alias("contributions"))
 
 
 @query("group_orientations", GROUPED + f", s AS ({_tally('organe_id, theme_id', 'group_row')}) SELECT theme_id, slug, score, cohesion, contributions FROM s JOIN theme USING (theme_id) WHERE organe_id = 3 AND axe_gauche_droite")
 def _(t):
-    scores = scoring.group_scores(t.scrutin_groupe(), t.organe(), _labelled(t), t.mandat())
-    return reads.group_orientations(3, scores, t.theme()).select("theme_id", "slug", "score", "cohesion", "contributions")
+    return reads.group_orientations(3, current(t).current("group_score"), t.theme()).select("theme_id", "slug", "score", "cohesion", "contributions")
 
 
 @query("rollcall_detail", ctes("scrutin", "scrutin_groupe", "organe") + " SELECT s.scrutin_id, titre, count(*) AS groupes, sum(g.pour)::BIGINT AS pour, string_agg(organe_uid, ',' ORDER BY rang) AS organes FROM scrutin s JOIN scrutin_groupe g USING (scrutin_id) JOIN organe USING (organe_id) WHERE legislature = 15 AND numero = 399012 GROUP BY ALL")
@@ -263,17 +259,17 @@ def _(t):
 
 @query("agreement_by_axis", CORPUS + " SELECT CASE WHEN axe_gauche_droite THEN 'comparable' ELSE 'hors sujet' END AS sous_ensemble, count(*) AS comparables, count(*) FILTER (WHERE sign(saisie) = sign(mesuree)) AS accords, round(100.0 * count(*) FILTER (WHERE sign(saisie) = sign(mesuree)) / count(*), 1)::DOUBLE AS pct FROM comparable GROUP BY 1")
 def _(t):
-    return reads.agreement(reads.comparable(t.scrutin_label(), _estimates(t), t.theme()), F.when(F.col("axe_gauche_droite"), "comparable").otherwise("hors sujet").alias("sous_ensemble"))
+    return reads.agreement(reads.comparable(t.scrutin_label(), current(t).current("estimate"), t.theme()), F.when(F.col("axe_gauche_droite"), "comparable").otherwise("hors sujet").alias("sous_ensemble"))
 
 
 @query("agreement_by_theme", CORPUS + " SELECT slug, count(*) AS comparables, count(*) FILTER (WHERE sign(saisie) = sign(mesuree)) AS accords, round(100.0 * count(*) FILTER (WHERE sign(saisie) = sign(mesuree)) / count(*), 1)::DOUBLE AS pct FROM comparable GROUP BY 1")
 def _(t):
-    return reads.agreement(reads.comparable(t.scrutin_label(), _estimates(t), t.theme()), F.col("slug"))
+    return reads.agreement(reads.comparable(t.scrutin_label(), current(t).current("estimate"), t.theme()), F.col("slug"))
 
 
 @query("review_queue", CORPUS + " SELECT c.scrutin_id, legislature, numero, slug, saisie, mesuree, separation, method, reviewed, left(titre, 90) AS titre FROM comparable c JOIN scrutin USING (scrutin_id) WHERE sign(saisie) <> sign(mesuree) ORDER BY separation DESC, abs(mesuree) DESC, c.scrutin_id, theme_id LIMIT 50")
 def _(t):
-    return reads.review_queue(reads.comparable(t.scrutin_label(), _estimates(t), t.theme()), t.scrutin())
+    return reads.review_queue(reads.comparable(t.scrutin_label(), current(t).current("estimate"), t.theme()), t.scrutin())
 
 
 def _corpus(t: Tables) -> DataFrame:
@@ -490,5 +486,5 @@ def _(t):
 
 @query("display_labels")
 def _(t):
-    scores = scoring.person_scores(_contributions(t)).join(F.broadcast(t.theme()), "theme_id")
+    scores = current(t).current("person_score").join(t.theme(), "theme_id")
     return scores.select("person_id", "theme_id", X.orientation_label(F.col("score"), F.col("libelle_pole_negatif"), F.col("libelle_pole_positif")).alias("orientation"), X.evidence_label(F.col("contributions"), F.col("relues")).alias("preuve"), X.set_aside_label(F.col("ecartes_desaccord")).alias("ecartes"))

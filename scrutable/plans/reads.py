@@ -20,10 +20,10 @@ def person_overview(persons: DataFrame, votes: DataFrame, rollcalls: DataFrame,
     Votes are counted before they meet persons; the last group is one row a person before its name is joined.
     """
     kept = rollcalls.where("chambre = 'assemblee'").select("scrutin_id", "date_scrutin")
-    totals = votes.join(F.broadcast(kept), "scrutin_id").groupBy("person_id").agg(F.count("*").alias("votes_total"), F.min("date_scrutin").alias("premier_vote"), F.max("date_scrutin").alias("dernier_vote"))
+    totals = votes.join(kept, "scrutin_id").groupBy("person_id").agg(F.count("*").alias("votes_total"), F.min("date_scrutin").alias("premier_vote"), F.max("date_scrutin").alias("dernier_vote"))
     last = latest(memberships, ["person_id"], F.col("fin_exclusive").desc_nulls_first(), F.col("debut").desc_nulls_last(), F.col("mandat_id").desc()).select("person_id", F.col("organe_id").alias("dernier_groupe_id"))
     names = groups.select(F.col("organe_id").alias("dernier_groupe_id"), F.col("libelle").alias("dernier_groupe_libelle"))
-    out = persons.join(slugs.where("is_current").select("person_id", "slug"), "person_id", "left").join(totals, "person_id", "left").join(last, "person_id", "left").join(F.broadcast(names), "dernier_groupe_id", "left")
+    out = persons.join(slugs.where("is_current").select("person_id", "slug"), "person_id", "left").join(totals, "person_id", "left").join(last, "person_id", "left").join(names, "dernier_groupe_id", "left")
     out = out.join(candidates.select("person_id", F.lit(True).alias("est_candidat")), "person_id", "left")
     return out.select("person_id", "slug", "civilite", "prenom", "nom", F.coalesce("votes_total", F.lit(0)).alias("votes_total"), "premier_vote", "dernier_vote", "dernier_groupe_id", "dernier_groupe_libelle", F.coalesce("est_candidat", F.lit(False)).alias("est_candidat"), search_text(F.col("prenom"), F.col("nom")).alias("recherche"))
 
@@ -82,30 +82,30 @@ def theme_contributions(person_id: int, theme_id: int, contributions: DataFrame,
 
 def mandate_orientations(person_id: int, memberships: DataFrame, groups: DataFrame, scores: DataFrame, themes: DataFrame) -> DataFrame:
     """A person's memberships with the scores of their group in that period, one row a membership."""
-    rows = memberships.where(F.col("person_id") == person_id).join(scores, "mandat_id").join(F.broadcast(themes.where("axe_gauche_droite").select("theme_id", "rang")), "theme_id").join(F.broadcast(groups.select("organe_id", "organe_uid", "libelle")), "organe_id")
+    rows = memberships.where(F.col("person_id") == person_id).join(scores, "mandat_id").join(themes.where("axe_gauche_droite").select("theme_id", "rang"), "theme_id").join(groups.select("organe_id", "organe_uid", "libelle"), "organe_id")
     item = F.struct("rang", "theme_id", "score", "cohesion", "contributions")
     return rows.groupBy("mandat_id", "organe_uid", "libelle", "debut", F.date_sub("fin_exclusive", 1).alias("fin")).agg(F.array_sort(F.collect_list(item)).alias("orientations")).orderBy(F.col("debut").asc_nulls_first(), F.col("fin").asc_nulls_last())
 
 
 def group_orientations(organe_id: int, scores: DataFrame, themes: DataFrame) -> DataFrame:
-    return scores.where(F.col("organe_id") == organe_id).join(F.broadcast(themes.where("axe_gauche_droite").select("theme_id", "slug", "rang")), "theme_id").orderBy("rang")
+    return scores.where(F.col("organe_id") == organe_id).join(themes.where("axe_gauche_droite").select("theme_id", "slug", "rang"), "theme_id").orderBy("rang")
 
 
 def rollcall_detail(rollcalls: DataFrame, tallies: DataFrame, groups: DataFrame, legislature: int | None = None, number: int | None = None, uid: str | None = None) -> DataFrame:
     """One roll-call, by uid or by legislature and number, with its groups in order of rank."""
     one = rollcalls.where(F.col("scrutin_uid") == uid) if uid is not None else rollcalls.where((F.col("legislature") == legislature) & (F.col("numero") == number))
     item = F.struct("rang", "organe_uid", "libelle", "nombre_membres", "pour", "contre", "abstentions", "non_votants")
-    rows = tallies.join(one.select("scrutin_id"), "scrutin_id", "left_semi").join(F.broadcast(groups.select("organe_id", "organe_uid", "libelle")), "organe_id", "left")
+    rows = tallies.join(one.select("scrutin_id"), "scrutin_id", "left_semi").join(groups.select("organe_id", "organe_uid", "libelle"), "organe_id", "left")
     return one.join(rows.groupBy("scrutin_id").agg(F.array_sort(F.collect_list(item)).alias("groupes")), "scrutin_id", "left")
 
 
 def labelled(rollcalls: DataFrame, labels: DataFrame, themes: DataFrame, theme: str | None = None, legislature: int | None = None, page: int = 1) -> DataFrame:
     """A page of labelled roll-calls with their theme names, newest first."""
-    named = labels.join(F.broadcast(themes.select("theme_id", "slug", "libelle")), "theme_id")
+    named = labels.join(themes.select("theme_id", "slug", "libelle"), "theme_id")
     rows = rollcalls.join(named.where(F.col("slug") == theme) if theme is not None else named, "scrutin_id", "left_semi")
     rows = rows.where(F.col("legislature") == legislature) if legislature is not None else rows
     cut = rows.orderBy(F.col("date_scrutin").desc(), "scrutin_id").offset((max(page, 1) - 1) * LABELLED_PAGE).limit(LABELLED_PAGE)
-    names = named.join(F.broadcast(cut.select("scrutin_id")), "scrutin_id", "left_semi").groupBy("scrutin_id").agg(F.concat_ws(";", F.array_sort(F.collect_list("libelle"))).alias("themes"))
+    names = named.join(cut.select("scrutin_id"), "scrutin_id", "left_semi").groupBy("scrutin_id").agg(F.concat_ws(";", F.array_sort(F.collect_list("libelle"))).alias("themes"))
     return cut.join(names, "scrutin_id", "left").select("scrutin_id", "legislature", "numero", "titre", "date_scrutin", "themes")
 
 
@@ -116,7 +116,7 @@ def active_themes(themes: DataFrame) -> DataFrame:
 def comparable(labels: DataFrame, estimates: DataFrame, themes: DataFrame) -> DataFrame:
     """Labels and measures of one roll-call that both have a sign."""
     measure = estimates.where("position_pour <> 0").select("scrutin_id", F.col("position_pour").alias("mesuree"), "separation")
-    return labels.where("position_pour IS NOT NULL AND position_pour <> 0").select("scrutin_id", "theme_id", F.col("position_pour").cast("double").alias("saisie"), "method", "reviewed").join(measure, "scrutin_id").join(F.broadcast(themes.select("theme_id", "slug", "axe_gauche_droite")), "theme_id")
+    return labels.where("position_pour IS NOT NULL AND position_pour <> 0").select("scrutin_id", "theme_id", F.col("position_pour").cast("double").alias("saisie"), "method", "reviewed").join(measure, "scrutin_id").join(themes.select("theme_id", "slug", "axe_gauche_droite"), "theme_id")
 
 
 def agreement(rows: DataFrame, *keys: Column) -> DataFrame:
@@ -147,3 +147,64 @@ def next_to_label(corpus: DataFrame, skipped: list[int] = ()) -> DataFrame:
 
 def coverage(corpus: DataFrame) -> DataFrame:
     return corpus.agg(F.count("*").alias("corpus"), F.count_if("est_categorise").alias("categorises"), F.count_if(~F.col("est_categorise")).alias("restants"))
+
+
+def with_legislatures(overview: DataFrame, votes: DataFrame, rollcalls: DataFrame) -> DataFrame:
+    """The overview with the legislatures in which a person voted, in order."""
+    seen = votes.join(rollcalls.select("scrutin_id", "legislature"), "scrutin_id").groupBy("person_id").agg(F.array_sort(F.collect_set("legislature")).alias("legislatures"))
+    return overview.join(seen, "person_id", "left").withColumn("legislatures", F.coalesce("legislatures", F.array().cast("array<int>")))
+
+
+def in_legislature(overview: DataFrame, legislature: int) -> DataFrame:
+    return overview.where(F.array_contains("legislatures", legislature))
+
+
+def page_total(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("total"))
+
+
+def person_detail(persons: DataFrame, slugs: DataFrame, photos: DataFrame, candidates: DataFrame, documents: DataFrame, person_id: int | None = None) -> DataFrame:
+    """Persons (or one) with current slug, photo, candidacy and the latest source document of the actor."""
+    rows = persons if person_id is None else persons.where(F.col("person_id") == person_id)
+    last = documents.where("source = 'an_acteur'").groupBy(F.col("uid").alias("an_uid")).agg(F.max_by(F.struct("url", "fetched_at"), F.struct("fetched_at", "document_id")).alias("d"))
+    out = rows.join(slugs.where("is_current").select("person_id", "slug"), "person_id", "left").join(photos, "person_id", "left").join(candidates, "person_id", "left").join(last, "an_uid", "left")
+    return out.select("person_id", "slug", "civilite", "prenom", "nom", "an_uid", "photo_url", "licence", "statut", F.col("d.url").alias("source_url"), F.col("d.fetched_at").alias("source_fetched_at"))
+
+
+def rollcall_labels(labels: DataFrame, themes: DataFrame, authors: DataFrame, files: DataFrame, scrutin_id: int | None = None) -> DataFrame:
+    """Labels of a roll-call (or of all) with theme, author, file and reviewer by name, in order of theme."""
+    rows = labels if scrutin_id is None else labels.where(F.col("scrutin_id") == scrutin_id)
+    rows = rows.join(themes.select("theme_id", "slug", "libelle"), "theme_id").join(authors.select("author_id", F.col("display_name").alias("author")), "author_id")
+    rows = rows.join(authors.select(F.col("author_id").alias("reviewed_by"), F.col("display_name").alias("reviewer")), "reviewed_by", "left").join(files, "import_id", "left")
+    return rows.select("scrutin_id", "slug", "libelle", F.col("poids").cast("double").alias("poids"), F.col("position_pour").cast("double").alias("position_pour"), "method", "author", "filename", "reviewer").orderBy("scrutin_id", "slug")
+
+
+def rollcall_revisions(revisions: DataFrame, authors: DataFrame, scrutin_id: int | None = None) -> DataFrame:
+    """Revisions of a roll-call (or of all) with their authors, newest first."""
+    rows = revisions if scrutin_id is None else revisions.where(F.col("scrutin_id") == scrutin_id)
+    return rows.join(authors.select("author_id", "display_name"), "author_id").orderBy("scrutin_id", F.col("created_at").desc(), F.col("revision_id").desc())
+
+
+def current_estimate(estimates: DataFrame, axis_versions: DataFrame, scrutin_id: int | None = None) -> DataFrame:
+    """The measure of a roll-call (or of all) under the axis version that is current."""
+    rows = estimates if scrutin_id is None else estimates.where(F.col("scrutin_id") == scrutin_id)
+    return rows.join(axis_versions.where("is_current").select(F.col("version").alias("axis_version")), "axis_version").where("statut = 'ok'").select("scrutin_id", "position_pour", "separation", "couverture", "axis_version")
+
+
+def theme_by_slug(themes: DataFrame, slug: str) -> DataFrame:
+    return themes.where(F.col("slug") == slug)
+
+
+def group_by_uid(groups: DataFrame, uid: str) -> DataFrame:
+    """A group by its uid; the non-attached one is no group."""
+    return groups.where((F.col("organe_uid") == uid) & ~F.col("is_non_inscrit"))
+
+
+def corpus_by_parameter(rollcalls: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Roll-calls of the corpus, its threshold from the one-row parameter table."""
+    one = parameters.select("participation_min").limit(1)
+    return rollcalls.crossJoin(F.broadcast(one)).where("chambre = 'assemblee' AND participation >= participation_min").drop("participation_min")
+
+
+def recent_jobs(jobs: DataFrame, size: int = 50) -> DataFrame:
+    return jobs.orderBy(F.col("scheduled_at").desc(), F.col("job_id").desc()).limit(size)

@@ -102,7 +102,7 @@ RETAINED = ("GP", "PARPOL", "ASSEMBLEE")
 def classify_memberships(people: DataFrame, known: DataFrame) -> DataFrame:
     """Memberships of retained types with `statut`: ok, organe_inconnu, sans_debut or dates_inversees."""
     rows = people.select("an_uid", F.explode("mandats").alias("m")).select(F.col("an_uid").alias("person_uid"), "m.*").where(F.col("type_organe").isin(*RETAINED))
-    rows = rows.join(F.broadcast(known.select(F.col("an_uid").alias("organe_uid"), F.lit(True).alias("known"))), "organe_uid", "left")
+    rows = rows.join(known.select(F.col("an_uid").alias("organe_uid"), F.lit(True).alias("known")), "organe_uid", "left")
     status = F.when(F.col("known").isNull(), "organe_inconnu").when(F.col("debut").isNull(), "sans_debut").when(F.col("fin") < F.col("debut"), "dates_inversees").otherwise("ok")
     return rows.withColumn("statut", status).drop("known")
 
@@ -192,18 +192,18 @@ def corrections(parsed: DataFrame) -> DataFrame:
 def anomalies(parsed: DataFrame, groups: DataFrame, cast: DataFrame, known_organs: DataFrame) -> DataFrame:
     """(kind, subject_uid, detail): unknown blocks, unknown causes, phantom groups, tallies that do not add up."""
     blocks = _blocks(groups.select("an_uid", "rang", "blocs"), "blocs")
-    unknown = blocks.where(~F.col("bloc").isin(*BLOCKS)).select(F.lit("bloc_inconnu").alias("kind"), "an_uid", F.to_json(F.struct("rang", "bloc")).alias("detail"))
-    causes = cast.where((F.col("position") == "non_votant") & F.col("cause_non_vote").isNotNull() & ~F.col("cause_non_vote").isin(*CAUSES)).select(F.lit("cause_inconnue").alias("kind"), "an_uid", F.to_json(F.struct("acteur_uid", "cause_non_vote")).alias("detail"))
+    unknown = blocks.where(~F.col("bloc").isin(*BLOCKS)).select(F.lit("bloc_nominatif_inconnu").alias("kind"), "an_uid", F.to_json(F.struct("rang", "bloc")).alias("detail"))
+    causes = cast.where((F.col("position") == "non_votant") & F.col("cause_non_vote").isNotNull() & ~F.col("cause_non_vote").isin(*CAUSES)).select(F.lit("cause_non_vote_inconnue").alias("kind"), "an_uid", F.to_json(F.struct("acteur_uid", "cause_non_vote")).alias("detail"))
     phantom = phantom_groups(groups, known_organs).select(F.lit("groupe_fantome").alias("kind"), "an_uid", F.to_json(F.struct("rang", "organe_uid")).alias("detail"))
     n = cast.groupBy("an_uid").agg(F.count("*").alias("nominatifs"))
     odd = parsed.join(n, "an_uid", "left").withColumn("nominatifs", F.coalesce("nominatifs", F.lit(0))).where("nominatifs <> nombre_votants + non_votants")
-    odd = odd.select(F.lit("decompte_incoherent").alias("kind"), "an_uid", F.to_json(F.struct("nominatifs", "nombre_votants", "non_votants")).alias("detail"))
+    odd = odd.select(F.lit("compteurs_incoherents").alias("kind"), "an_uid", F.to_json(F.struct("nominatifs", "nombre_votants", "non_votants")).alias("detail"))
     return unknown.unionByName(causes).unionByName(phantom).unionByName(odd).withColumnRenamed("an_uid", "subject_uid")
 
 
 def phantom_groups(groups: DataFrame, known_organs: DataFrame) -> DataFrame:
     """Group rows whose organ is missing, PO0 or not in the registry."""
-    known = F.broadcast(known_organs.select(F.col("an_uid").alias("organe_uid"), F.lit(True).alias("_known")))
+    known = known_organs.select(F.col("an_uid").alias("organe_uid"), F.lit(True).alias("_known"))
     return groups.join(known, "organe_uid", "left").where("organe_uid IS NULL OR organe_uid = 'PO0' OR _known IS NULL").drop("_known")
 
 

@@ -104,11 +104,15 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return s.select(F.format_string("scrutins[%d].categorisation[%d]", "i", "j").alias("source"), "scrutin_uid", "c.theme", "c.poids", "c.position_pour", "c.confiance", F.coalesce("c.justification", F.lit("")).alias("justification"))
 
 
+def parse_answers(lines: DataFrame) -> DataFrame:
+    """(source, columns) of tab-separated answer lines (source, value): blank lines, comments, fences and stray headers are skipped."""
+    value = F.trim("value")
+    kept = lines.where((value != "") & ~value.startswith("#") & ~value.startswith("```") & ~F.lower(value).startswith("uid\t") & ~F.lower(value).startswith("scrutin_uid\t"))
+    return kept.select("source", F.split(value, "\t").alias("columns"))
+
+
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """(source, columns) of tab-separated answers: blank lines, comments, fences and stray headers are skipped."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("source"), F.trim("value").alias("value"))
-    kept = lines.where((F.col("value") != "") & ~F.col("value").startswith("#") & ~F.col("value").startswith("```") & ~F.lower("value").startswith("uid\t") & ~F.lower("value").startswith("scrutin_uid\t"))
-    return kept.select("source", F.split("value", "\t").alias("columns"))
+    return parse_answers(spark.read.text(path).select(F.input_file_name().alias("source"), "value"))
 
 
 def lots(rollcalls: DataFrame, size: int, key: Column, without: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from scrutable.plans import catalog
+from scrutable.plans import catalog, ingest_queries, run_queries  # noqa: F401
 from scrutable.streaming import events
 
 FOLDER = "/root/testdata/sf0.001"

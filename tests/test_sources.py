@@ -83,7 +83,7 @@ def test_rollcalls(spark, archive):
     assert sorted((r.acteur_uid, r.position, r.par_delegation) for r in cast.collect()) == [("PA1", "pour", False), ("PA2", "pour", True), ("PA3", "contre", False), ("PA4", "non_votant", False)]
     assert sorted(tuple(r) for r in documents.corrections(one).collect()) == [("VTANR5L17V1", "PA3", "pour"), ("VTANR5L17V1", "PA4", "non_votant_volontaire")]
     kinds = sorted(r.kind for r in documents.anomalies(one, groups, cast, known).collect())
-    assert kinds == ["bloc_inconnu", "cause_inconnue", "decompte_incoherent", "groupe_fantome"]
+    assert kinds == ["bloc_nominatif_inconnu", "cause_non_vote_inconnue", "compteurs_incoherents", "groupe_fantome"]
     assert documents.strength(groups).first().effectif == 15
 
 
