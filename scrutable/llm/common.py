@@ -8,7 +8,7 @@ import uuid
 import weakref
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SHIPPED: dict[str, str] = {}
 _WRITTEN: dict[int, str] = {}  # where each frame that cut() gave was written
@@ -77,7 +77,10 @@ def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFra
     return left.join(right.hint("merge"), on, how)
 
 
-def hinted(df: DataFrame, limit: int) -> DataFrame:
-    """A side to broadcast where its counted rows allow it, to shuffle otherwise."""
-    return df.hint("broadcast" if df.count() <= limit else "merge")
-
+def hinted(written: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """A table made by `cut`: to broadcast if its measured bytes are at most `most_bytes`, to shuffle otherwise."""
+    wide = [c for c in written.columns if written.schema[c].dataType.simpleString() in ("string", "binary")]
+    size = F.count("*") * 8 * len(written.columns)
+    for c in wide:
+        size = size + F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+    return written.hint("broadcast" if written.agg(size).first()[0] <= most_bytes else "merge")

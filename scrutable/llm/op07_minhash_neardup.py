@@ -34,7 +34,6 @@ from .kernels import mix, shingles, slices
 
 COORDINATES, TREES, LEAF, DEPTH = 48, 4, 512, 3
 LEAST_MATCHES = COORDINATES // 2  # four standard deviations below 0.75 * COORDINATES
-BROADCAST_ROWS = 2_000_000  # most document ids that are broadcast to pick out candidates' texts
 BLOCK, BLOCK_BYTES = 512, 16 << 20  # members and bytes of text of one side of a block comparison
 MEMBERS = 500  # documents that share one copy of a pivot's text while candidates are confirmed
 
@@ -74,7 +73,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, num: int = 75, den: int = 100) ->
     streamed past it; no group of partners is ever held in memory.
     """
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), few=True)
-    docs = cut(docs.join(hinted(ids, BROADCAST_ROWS), "doc_id", "left_semi"))
+    docs = cut(docs.join(hinted(ids), "doc_id", "left_semi"))
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
     dealt = merged(pairs, counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     others = merged(dealt, docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "salt", "b", "text")
@@ -152,7 +151,7 @@ def exhaust(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     other: they are linked already, so a tight group costs by its outsiders, not by its square.
     """
     ids = cut(nodes.select(F.col("rep").alias("doc_id")).distinct(), few=True)
-    texts = docs.join(hinted(ids, BROADCAST_ROWS), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    texts = docs.join(hinted(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
     rows = cut(merged(nodes, texts, "rep"))
     blocks = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES)).cast("int")
     parts = rows.groupBy("node", "comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))

@@ -1,26 +1,31 @@
 """Benchmark decontamination by size-partitioned MinHash containment search; DataFrame functions only.
 
-An item of q distinct five-word shingles is contained in a document that holds at least 0.75 q of them.
-Items are partitioned by set size (powers of two). Every item of a partition has a MinHash signature of the
-same length: its smallest shingle hashes, one more of them than the partition's largest item may miss. A
-document that contains an item therefore always shares a signature value with it, however long the document
-is, and documents too short for a partition's items never meet them. Matching pairs are candidates; they are
-verified by counting shared shingles as text, exactly.
+An item of q distinct five-word shingles is contained in a document that holds at least 0.75 q of them, so the
+document misses at most floor(q / 4). The MinHash signature of an item is its floor(q / 4) + 1 smallest shingle
+hashes: a document that contains the item shares at least one of them, however long it is, so no pair is lost.
+Items are partitioned by set size (powers of two), and each partition has a ceiling, its largest signature
+hash. A document's signature is the set of its shingle hashes up to the highest ceiling among the partitions
+whose items it is long enough to contain; only those hashes leave the document. Shared signature hashes make
+candidates, which are verified on the shingles as text, pair by pair, exactly.
+
+A shingle that more than `common` items hold is no good signature: an item takes the smallest of its other
+shingles first. A common one is used only by an item that consists of common shingles for over three quarters,
+which a document with those shingles contains indeed, so posting lists stay short where pairs would be false.
 
 Texts are lower-cased (A-Z) and split at ASCII white space. A text of one to four words has its whole word
 sequence as its one shingle; null or empty texts have none, contain nothing and are contained in nothing.
 Repeated rows of a document or item count once, rows without an id match nothing. Other columns are
-never read; empty tables give no rows. The item side is broadcast only below `broadcast_rows` rows, and
+never read; empty tables give no rows. The item side is broadcast only up to `most_bytes` measured bytes, and
 shuffled beyond it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut, hinted
 
-SIZE, THRESHOLD = 5, 0.75
+SIZE = 5  # words of a shingle
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,12 +34,10 @@ def words(text):
     return F.split(F.trim(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WHITE)), "[ \\t-\\r]+")
 
 
-def with_shingles(df: DataFrame, value) -> DataFrame:
-    """Explode the shingle positions of column `words`; `value(i)` says what stands for the shingle at i."""
-    n = F.size("words")
-    last = F.greatest(n - SIZE, F.lit(0))
-    at = F.when(F.col("words")[0] != "", F.transform(F.sequence(F.lit(0), last), value)).otherwise(F.array().cast("array<string>" if value is as_text else "array<bigint>"))
-    return df.select(*[c for c in df.columns if c != "words"], F.explode(at).alias("shingle"))
+def places(df: DataFrame):
+    """The starts of the shingles of column `words`, none for an empty text."""
+    last = F.greatest(F.size("words") - SIZE, F.lit(0))
+    return F.when(F.col("words")[0] != "", F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
 def as_hash(i):
@@ -45,32 +48,51 @@ def as_text(i):
     return F.concat_ws(" ", F.slice("words", i + 1, SIZE))
 
 
-def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+def signatures(full: DataFrame, common: int) -> DataFrame:
+    """(item_id, hash, n_item, part): the smallest hashes of each item, one more than a document may miss."""
+    held = full.groupBy("hash").agg((F.count("*") > common).alias("common"))
+    each = full.join(held, "hash")
+    item = Window.partitionBy("item_id")
+    ranked = each.withColumns({"n_item": F.count("*").over(item), "rank": F.row_number().over(item.orderBy("common", "hash"))})
+    return ranked.where(F.col("rank") <= F.floor(F.col("n_item") / 4) + 1).select("item_id", "hash", F.col("n_item").cast("int").alias("n_item"), F.floor(F.log2("n_item")).cast("int").alias("part"))
+
+
+def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", common: int = 1000, most_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of every pair with containment of 0.75 or more."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(doc_text)).alias("words"))
-    items = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("words"))
-    full = with_shingles(items, as_text).distinct()
-    sizes = full.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    # one partition for each power of two: what its largest item may miss, plus one, is the signature length
-    sizes = sizes.withColumn("allowed", F.floor((1 - THRESHOLD) * (F.pow(2, F.floor(F.log2("n_item")) + 1) - 1))).withColumn("least", F.ceil(THRESHOLD * F.pow(2, F.floor(F.log2("n_item")))).cast("int"))
-    hashed = with_shingles(items, as_hash).distinct()
-    signature = hashed.groupBy("item_id").agg(F.array_sort(F.collect_list("shingle")).alias("all")).join(sizes, "item_id")
-    signature = signature.select("item_id", "least", F.explode(F.slice("all", 1, (F.col("allowed") + 1).cast("int"))).alias("shingle"))
-    signature = signature.groupBy("shingle").agg(F.collect_set(F.struct("item_id", "least")).alias("items"))
-    long = with_shingles(docs.withColumn("n", F.size("words")), as_hash)
-    pairs = cut(long.join(hinted(signature, broadcast_rows), "shingle").select("doc_id", "n", F.explode("items").alias("i")).where(F.greatest(F.col("n") - SIZE + 1, F.lit(1)) >= F.col("i.least")).select("doc_id", "i.item_id").distinct())
-    wanted = pairs.select("doc_id").distinct()
-    again = with_shingles(docs.join(hinted(wanted, broadcast_rows), "doc_id", "left_semi"), as_text)
-    shared = again.join(hinted(full, broadcast_rows), "shingle").select("doc_id", "item_id", "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    verified = shared.join(pairs, ["doc_id", "item_id"], "left_semi").join(hinted(sizes.select("item_id", "n_item"), broadcast_rows), "item_id")
-    found = cut(verified.where(F.col("n_shared") * 4 >= F.col("n_item") * 3).select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")))
-    return found
+    docs = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(doc_text)).alias("words")).where("doc_id IS NOT NULL")
+    items = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("words")).where("item_id IS NOT NULL")
+    both = F.transform(places(items), lambda i: F.struct(as_hash(i).alias("hash"), as_text(i).alias("shingle")))
+    full = cut(items.select("item_id", F.explode(both).alias("s")).select("item_id", "s.hash", "s.shingle").distinct())
+    signed = cut(signatures(full, common))
+
+    # one row for each power of two of item sizes: from how many shingles on, and up to which hash, a document takes part
+    parts = signed.groupBy("part").agg(F.max("hash").alias("ceiling")).orderBy("part").collect()
+    ceiling = F.lit(None).cast("long")
+    for k in range(len(parts)):
+        ceiling = F.when(F.size(places(docs)) * 4 >= 3 * 2 ** parts[k]["part"], F.lit(max(x["ceiling"] for x in parts[: k + 1]))).otherwise(ceiling)
+    hashes = F.transform(places(docs), as_hash)
+    own = docs.select("doc_id", hashes.alias("hashes"), ceiling.alias("ceiling")).select("doc_id", F.size("hashes").alias("n"), F.explode(F.filter("hashes", lambda h: h <= F.col("ceiling"))).alias("hash"))
+    pairs = own.join(hinted(signed.select("item_id", "hash", "n_item"), most_bytes), "hash").where(F.col("n") * 4 >= F.col("n_item") * 3).select("doc_id", "item_id", "n_item").distinct()
+    pairs = cut(pairs)
+
+    # each pair's item shingles against the document's, as text
+    wanted = cut(pairs.select("doc_id").distinct())
+    again = docs.join(hinted(wanted, most_bytes), "doc_id", "left_semi").select("doc_id", F.explode(F.transform(places(docs), as_text)).alias("shingle"))
+    known = hinted(cut(full.select("shingle").distinct()), most_bytes)
+    again = again.join(known, "shingle", "left_semi").distinct()
+    asked = pairs.join(full.select("item_id", "shingle"), "item_id")
+    shared = asked.join(again, ["doc_id", "shingle"]).groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    found = shared.where(F.col("n_shared") * 4 >= F.col("n_item") * 3)
+    return cut(found.select("doc_id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item"), (F.col("n_shared") / F.col("n_item")).alias("containment")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """`docs` without the documents that contain an item."""
-    hit = find_contained(docs, items, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(options.get("doc_id", "doc_id")) == F.col("_hit"), "left_anti")
+    """`docs` without the documents that contain an item; rows without an id stay."""
+    name = "_hit"
+    while name in docs.columns:
+        name += "_"
+    hit = find_contained(docs, items, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.col(options.get("doc_id", "doc_id")) == F.col(name), "left_anti")
 
 
 def _sql_shingles(table: str, key: str) -> str:

@@ -378,11 +378,29 @@ def test_decontamination(spark, docs, documents, no_docs):
     got = rows(op9.find_contained(docs, bench))
     want = sql(op9.ORACLE, documents, items(documents))
     assert got == rows(spark.createDataFrame(want)) and {(82, 0), (82, 1), (82, 7), (3, 2), (4, 2), (5, 2)} <= {x[:2] for x in got}
-    assert rows(op9.find_contained(docs, bench, broadcast_rows=0)) == got
+    assert rows(op9.find_contained(docs, bench, most_bytes=-1)) == got and rows(op9.find_contained(docs, bench, common=1)) == got
     kept = op9.decontaminate(docs, bench)
     assert kept.count() == len([x for x in documents if x[0] not in {g[0] for g in got}]) and kept.columns == docs.columns
     assert op9.find_contained(no_docs, bench).count() == 0 and op9.find_contained(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_with_shared_boilerplate(spark):
+    """Shingles that all items share: still exactly the pairs of SQL, with few candidates from the shared part."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    common = " ".join(word() for _ in range(12))
+    bench = [(i, f"{common} {' '.join(word() for _ in range(rng.randint(0, 20)))}") for i in range(60)]
+    texts = [(i, f"{word()} {common} {word()}") for i in range(40)] + [(100 + i, f"{word()} {bench[i][1]} {word()}") for i in range(20)] + [(None, bench[0][1])]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, _hit int")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    want = {(r.doc_id, r.item_id, r.n_shared) for r in sql(op9.ORACLE, texts, bench).itertuples()}
+    for common_items in (1000, 5):
+        assert {(r.doc_id, r.item_id, r.n_shared) for r in op9.find_contained(docs, items, common=common_items).collect()} == want
+    hit = {d for d, *_ in want}
+    assert sorted(r.doc_id or -1 for r in op9.decontaminate(docs, items).collect()) == sorted(i or -1 for i, _ in texts if i is None or i not in hit)
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
