@@ -307,16 +307,24 @@ def _raw_mandates(t: Tables) -> DataFrame:
     return span.join(orders, "l_orderkey").select("person_id", "organe_id", F.concat(F.lit("M"), F.col("l_orderkey")).alias("mandat_uid"), "debut", F.when(F.col("l_orderkey") % 50 != 0, F.col("fin")).alias("fin"))
 
 
-@query("normalised_memberships")
+FAR = "DATE '9999-12-31'"
+FOLDED = """, RECURSIVE_ AS (SELECT 1), m AS (SELECT person_id, organe_id, {'uid': mandat_uid, 'debut': debut, 'fin': coalesce(fin, DATE '9999-12-31')} AS x, row_number() OVER (PARTITION BY person_id, organe_id ORDER BY debut, coalesce(fin, DATE '9999-12-31'), mandat_uid) AS i FROM raw),
+fold AS (SELECT DISTINCT person_id, organe_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(uid VARCHAR, debut DATE, fin DATE)[]) AS k, CAST(0 AS INT) AS n FROM m
+ UNION ALL SELECT f.person_id, f.organe_id, m.i, CASE WHEN len(k) = 0 OR x.debut > k[len(k)].fin THEN list_append(k, x) WHEN x.fin <= k[len(k)].fin THEN k WHEN x.debut = k[len(k)].debut THEN list_append(k[:len(k) - 1], x)
+  WHEN x.debut = k[len(k)].fin THEN list_append(list_append(k[:len(k) - 1], {'uid': k[len(k)].uid, 'debut': k[len(k)].debut, 'fin': CAST(k[len(k)].fin - INTERVAL 1 DAY AS DATE)}), x) WHEN date_diff('day', x.debut, x.fin) < date_diff('day', k[len(k)].debut, k[len(k)].fin) THEN k ELSE list_append(k[:len(k) - 1], x) END,
+  n + CASE WHEN len(k) = 0 OR x.debut > k[len(k)].fin THEN 0 ELSE 1 END FROM fold f JOIN m ON m.person_id = f.person_id AND m.organe_id = f.organe_id AND m.i = f.i + 1),
+done AS (SELECT person_id, organe_id, arg_max(k, i) AS k, arg_max(n, i) AS n FROM fold GROUP BY person_id, organe_id)"""
+RAW = """WITH raw AS (SELECT o_custkey AS person_id, CAST(left(o_orderpriority, 1) AS BIGINT) AS organe_id, 'M' || o_orderkey AS mandat_uid, CAST(min(l_shipdate) AS DATE) AS debut,
+ CASE WHEN o_orderkey % 50 <> 0 THEN CAST(max(l_shipdate) AS DATE) END AS fin FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey, o_orderpriority)"""
+FOLD = (RAW + FOLDED).replace("WITH raw", "WITH RECURSIVE raw").replace(", RECURSIVE_ AS (SELECT 1)", "")
+
+
+@query("normalised_memberships", FOLD + f" SELECT person_id, organe_id, e.uid AS mandat_uid, e.debut, CASE WHEN e.fin < {FAR} THEN CAST(e.fin + INTERVAL 1 DAY AS DATE) END AS fin_exclusive, n AS n_events FROM (SELECT person_id, organe_id, unnest(k) AS e, n FROM done)")
 def _(t):
     kept = intervals.normalise(_raw_mandates(t))
     return kept.select("person_id", "organe_id", F.explode("retained").alias("m"), F.size("events").alias("n_events")).select("person_id", "organe_id", "m.mandat_uid", "m.debut", "m.fin_exclusive", "n_events")
 
 
-RAW = """WITH raw AS (SELECT o_custkey AS person_id, CAST(left(o_orderpriority, 1) AS BIGINT) AS organe_id, 'M' || o_orderkey AS mandat_uid, CAST(min(l_shipdate) AS DATE) AS debut,
- CASE WHEN o_orderkey % 50 <> 0 THEN CAST(max(l_shipdate) AS DATE) END AS fin FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey, o_orderpriority)"""
-
-
 @query("cross_group_overlaps", RAW + """, p AS (SELECT *, CAST(fin + INTERVAL 1 DAY AS DATE) AS fx FROM raw WHERE organe_id <> 5)
 SELECT a.person_id, a.mandat_uid AS mandat_a, b.mandat_uid AS mandat_b, CASE WHEN date_diff('day', b.debut, coalesce(b.fx, DATE '9999-12-31')) < date_diff('day', a.debut, coalesce(a.fx, DATE '9999-12-31')) THEN b.mandat_uid ELSE a.mandat_uid END AS plus_court
 FROM p a JOIN p b ON a.person_id = b.person_id AND a.organe_id <> b.organe_id AND (a.debut, a.mandat_uid) < (b.debut, b.mandat_uid) AND (a.fx IS NULL OR b.debut < a.fx) AND (b.fx IS NULL OR a.debut < b.fx)""")
@@ -335,7 +343,15 @@ def _segments(t: Tables) -> DataFrame:
     return _raw_mandates(t).select("person_id", F.col("organe_id").cast("string").alias("piste"), F.col("mandat_uid").alias("key"), "debut", "fin")
 
 
-@query("timeline_rows")
+PLACED = RAW.replace("WITH raw", "WITH RECURSIVE raw") + """, d AS (SELECT person_id, min(year(debut) * 12 + month(debut) - 1) AS m0, max(year(coalesce(fin, DATE '2000-01-01')) * 12 + month(coalesce(fin, DATE '2000-01-01')) - 1) + 1 AS m1 FROM raw GROUP BY person_id),
+item AS (SELECT person_id, CAST(organe_id AS VARCHAR) AS piste, mandat_uid AS key, year(debut) * 12 + month(debut) - m0 AS s, CASE WHEN fin IS NULL THEN m1 - m0 + 1 ELSE greatest(year(fin) * 12 + month(fin) - m0, year(debut) * 12 + month(debut) - m0 + 1) END AS e,
+ row_number() OVER (PARTITION BY person_id, organe_id ORDER BY debut, coalesce(fin, DATE '9999-12-31'), mandat_uid) AS i FROM raw JOIN d USING (person_id)),
+put AS (SELECT DISTINCT person_id, piste, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ends, CAST(NULL AS BIGINT) AS spot, '' AS key, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e FROM item
+ UNION ALL SELECT person_id, piste, i, CASE WHEN spot <= len(ends) THEN list_concat(list_concat(ends[:spot - 1], [e]), ends[spot + 1:]) ELSE list_append(ends, e) END, spot, key, s, e
+ FROM (SELECT p.person_id, p.piste, x.i, p.ends, coalesce(nullif(list_position(list_transform(p.ends, lambda y: y <= x.s), TRUE), 0), len(p.ends) + 1) AS spot, x.key, x.s, x.e FROM put p JOIN item x ON x.person_id = p.person_id AND x.piste = p.piste AND x.i = p.i + 1))"""
+
+
+@query("timeline_rows", PLACED + " SELECT person_id, piste, key, CAST(s AS INT) AS column_start, CAST(e AS INT) AS column_end, CAST(spot - 1 AS INT) AS row FROM put WHERE i > 0")
 def _(t):
     return naming.place(_segments(t), TODAY)
 
@@ -355,7 +371,7 @@ def _(t):
 
 # --- text, quality, tables --------------------------------------------------------------------------------
 
-@query("slugs_of_texts")
+@query("slugs_of_texts", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def _(t):
     return t.raw("documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
@@ -484,7 +500,9 @@ def _(t):
     return t.raw("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("debut"), "event_type", "n")
 
 
-@query("display_labels")
+@query("display_labels", SCORED + """ SELECT person_id, p.theme_id, 'plutôt ' || CASE WHEN score >= 0 THEN libelle_pole_positif ELSE libelle_pole_negatif END || ' (' || CASE WHEN score < 0 THEN '-' ELSE '+' END || CAST(CAST(abs(CAST(score AS DECIMAL(4,3))) AS DECIMAL(4,2)) AS VARCHAR) || ')' AS orientation,
+ contributions || ' scrutin' || CASE WHEN contributions <> 1 THEN 's' ELSE '' END || CASE WHEN relues = 0 THEN ' — aucune de ces catégorisations n''a encore été relue par un humain' ELSE ', dont ' || relues || ' relu' || CASE WHEN relues <> 1 THEN 's' ELSE '' END || ' par un humain' END AS preuve,
+ CASE WHEN ecartes_desaccord <> 0 THEN ecartes_desaccord || ' scrutin' || CASE WHEN ecartes_desaccord <> 1 THEN 's' ELSE '' END || ' écarté' || CASE WHEN ecartes_desaccord <> 1 THEN 's' ELSE '' END || ' : notre mesure automatique contredit la catégorisation' END AS ecartes FROM person_score p JOIN theme USING (theme_id)""")
 def _(t):
     scores = current(t).current("person_score").join(t.theme(), "theme_id")
     return scores.select("person_id", "theme_id", X.orientation_label(F.col("score"), F.col("libelle_pole_negatif"), F.col("libelle_pole_positif")).alias("orientation"), X.evidence_label(F.col("contributions"), F.col("relues")).alias("preuve"), X.set_aside_label(F.col("ecartes_desaccord")).alias("ecartes"))
