@@ -75,4 +75,4 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_bpe_codec, op4_substring_dedup, op5_language_id, op6_embedding_neardup, op7_minhash_neardup, op8_token_counts, op9_decontamination, op10_line_dedup)}
-ORACLES = {"op2_license_scan": op2.ORACLE, "op4_substring_dedup": op4.ORACLE, "op9_decontamination": op9.ORACLE, "op10_line_dedup": op10.ORACLE}
+ORACLES = {"op2_license_scan": op2.ORACLE, "op4_substring_dedup": op4.ORACLE, "op6_embedding_neardup": op6.ORACLE, "op7_minhash_neardup": op7.ORACLE, "op9_decontamination": op9.ORACLE, "op10_line_dedup": op10.ORACLE}
