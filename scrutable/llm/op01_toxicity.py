@@ -8,9 +8,10 @@ cost. Viterbi decoding under the language model picks the restored word. The wor
 too, its runs of letters as words, with signs at its end free as in ordinary writing: "no!", "page2" or
 "letter" stay by score. Other words have one path only, themselves.
 
-Decoding follows the amount of text: distinct suspicious words are a table, each asks for the trigrams of its
-lattice, these meet their probabilities by a shuffled join, and every word is decoded with just those. So
-the model may have any number of trigrams and none is sent to the driver or to every task.
+All trigrams are kept. As long as they are at most `broadcast_trigrams`, counted first, every task gets the
+model and restores the texts it reads; nothing is shuffled. Beyond that, distinct suspicious words become a
+table, each asks for the trigrams of its lattice, these meet their probabilities by a shuffled join, every
+word is decoded with just those, and texts meet their restored words by a shuffle. Both ways restore alike.
 
 A document is scored by the learned evidence of its restored words: smoothed log odds of word beginnings and
 whole words, shrunk where few labelled rows hold them, calibrated by a logistic curve over the strongest and
@@ -29,7 +30,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bpe import Remembered
 from .common import cut, discard, merged, ship
@@ -78,29 +79,41 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def gram(text: str) -> int:
+    return (ord(text[0]) << 42) | (ord(text[1]) << 21) | ord(text[2])
+
+
+M21, M42 = (1 << 21) - 1, (1 << 42) - 1
+
+
 class CharModel:
     """Trigram model with interpolation down to single characters."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        a, b, c = grams >> 42, (grams >> 21) & 0x1FFFFF, grams & 0x1FFFFF
         self.total = float(counts.sum()) + 1.0
-        self.n1, self.n2, self.n3 = {}, {}, {}
-        for x, y, z, n in zip(a.tolist(), b.tolist(), c.tolist(), counts.tolist(), strict=True):
-            x, y, z = chr(x), chr(y), chr(z)
-            self.n3[x + y + z] = self.n3.get(x + y + z, 0) + n
-            self.n2[x + y] = self.n2.get(x + y, 0) + n
-            self.n1[y] = self.n1.get(y, 0) + n
-        self.next = {}
-        for t, n in self.n3.items():
-            self.next[t[1:]] = self.next.get(t[1:], 0) + n
+        self.tables = []  # sorted keys and sums: trigrams, first two, last two, middle
+        for key in (grams, grams >> 21, grams & M42, (grams >> 21) & M21):
+            keys, back = np.unique(key, return_inverse=True)
+            self.tables.append((keys, np.bincount(back, counts, minlength=len(keys))))
         self.known: dict[str, float] = {}
 
+    def count(self, table: int, keys: np.ndarray) -> np.ndarray:
+        known, sums = self.tables[table]
+        if not len(known):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, sums[at], 0.0)
+
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """Log probabilities of the last characters of trigrams after their first two."""
+        p1 = (self.count(3, keys & M21) + 0.5) / (self.total + 500)
+        p2 = (self.count(2, keys & M42) + 50 * p1) / (self.count(3, (keys >> 21) & M21) + 50)
+        return np.log((self.count(0, keys) + 20 * p2) / (self.count(1, keys >> 21) + 20))
+
     def log(self, before: str, c: str) -> float:
         key = before + c
         if key not in self.known:
-            p1 = (self.n1.get(c, 0) + 0.5) / (self.total + 500)
-            p2 = (self.next.get(before[1] + c, 0) + 50 * p1) / (self.n1.get(before[1], 0) + 50)
-            self.known[key] = math.log((self.n3.get(key, 0) + 20 * p2) / (self.n2.get(before, 0) + 20))
+            self.known[key] = float(self.logs(np.array([gram(key)]))[0])
         return self.known[key]
 
     def word(self, text: str) -> float:
@@ -188,8 +201,11 @@ class Decoder:
         return word if word and score > self.plain(core) else kept
 
 
-def suspects(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Byte spans of words that may be disguised, in order: every word or chain that has another reading."""
+def suspects(data: np.ndarray, offsets: np.ndarray, model: CharModel | None = None) -> list[tuple[int, int]]:
+    """Byte spans of words that may be disguised, in order: every word or chain that has another reading.
+
+    With a model, a word with nothing but a doubled letter is left out if halving gains less than it costs.
+    """
     start, end, first = word_spans(data, offsets)
     if not len(start):
         return []
@@ -207,6 +223,8 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
     unit, sign = letter | leet, ~(letter | white | ((codes >= 48) & (codes <= 57)))
     other = np.zeros(len(codes), bool)  # a letter twice, or three single characters with one same sign between
     other[:-1] = letter[:-1] & (codes[:-1] == codes[1:])
+    if model is not None:
+        other = worth_halving(codes, letter, other, model)
     other[:-4] |= unit[:-4] & sign[1:-3] & unit[2:-2] & (codes[1:-3] == codes[3:-1]) & unit[4:]
 
     def within(flags):
@@ -233,11 +251,26 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
+def worth_halving(codes: np.ndarray, letter: np.ndarray, twice: np.ndarray, model: CharModel) -> np.ndarray:
+    """Which doubled letters the model would rather see once; runs of three and doubles close to others all stay."""
+    at = np.flatnonzero(twice)
+    around = np.concatenate([[32, 32], np.where(letter, codes, 32), [32, 32]]).astype(np.int64)
+    before, x, after = around[at + 1], around[at + 2], around[at + 4]
+    pair = lambda a, b, c: model.logs((a << 42) | (b << 21) | c)
+    gain = pair(before, x, after) - pair(before, x, x) - pair(x, x, after)
+    close = np.zeros(len(at), bool)
+    close[1:] = np.diff(at) <= 3
+    close[:-1] |= np.diff(at) <= 3
+    out = np.zeros(len(codes), bool)
+    out[at[close | (gain + COST_HALVE > 0)]] = True
+    return out
+
+
 def restore(column, decoder: Decoder) -> tuple[list[str | None], np.ndarray]:
     """Texts with disguised words restored, and how many spans were rewritten in each."""
     texts, (data, offsets) = column.to_pylist(), text_bytes(column)
     changed = np.zeros(len(texts), np.int64)
-    spans = suspects(data, offsets)
+    spans = suspects(data, offsets, decoder.model)
     by_row: dict[int, list[tuple[int, int]]] = {}
     for a, b in spans:
         by_row.setdefault(int(np.searchsorted(offsets, a, side="right")) - 1, []).append((a, b))
@@ -301,6 +334,12 @@ class Classifier:
         out[:, 1] = np.bincount(rows, w**4, minlength=len(column)) ** 0.25
         return out
 
+    def score(self, column) -> np.ndarray:
+        if not len(self.curve):
+            return np.zeros(len(column))
+        x = self.strength(column) @ self.curve[1:] + self.curve[0]
+        return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
@@ -352,7 +391,7 @@ class Known:
         self.logs = dict(zip(grams, logs, strict=True))
 
     def log(self, before: str, c: str) -> float:
-        return self.logs[(ord(before[0]) << 42) | (ord(before[1]) << 21) | ord(c)]
+        return self.logs[gram(before + c)]
 
     word = CharModel.word
 
@@ -413,11 +452,11 @@ def one_blank(token: bytes) -> str:
     return " ".join(token.decode().split())
 
 
-def without(raw: bytes, spans: list[tuple[int, int]], words: list[str] | None = None) -> str:
-    """A text with the given words in place of the spans, or with blanks."""
+def with_words(raw: bytes, spans: list[tuple[int, int]], words: list[str]) -> str:
+    """A text with the given words in place of the spans."""
     out, at = [], 0
-    for i, (a, b) in enumerate(spans):
-        out += [raw[at:a].decode(), words[i] if words else " "]
+    for (a, b), word in zip(spans, words, strict=True):
+        out += [raw[at:a].decode(), word]
         at = b
     return "".join(out) + raw[at:].decode()
 
@@ -433,44 +472,73 @@ def tokens_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(tokens, pa.string())], ["row", "token"])
 
 
-def restore_texts(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """`docs`, which have columns `row` (unique) and `text`, with their texts restored; texts are shuffled by row."""
-    tokens = cut(docs.select("row", "text").mapInArrow(tokens_of, "row long, token string"))
-    words = decode_words(tokens, grams)
-    found = merged(tokens, words.where("token <> word"), "token").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("words"))
-    other = [c for c in docs.columns if c not in ("row", "text")]
+def restored(docs: DataFrame, grams: "Trigrams") -> DataFrame:
+    """`docs`, which have a column `text`, with their texts restored, and `n_restored`: spans rewritten in each."""
+    ship(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_restored", T.LongType())])
+    if grams.model is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(grams.model)
+
+        def within(batches):
+            decoder = Decoder(CharModel(*shared.value))
+            for batch in slices(batches):
+                texts, changed = restore(batch.column("text"), decoder)
+                yield replaced(batch, texts, changed)
 
-    def run(batches):
+        return docs.mapInArrow(within, schema)
+
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    tokens = cut(rows.select(F.col("_row").alias("row"), "text").mapInArrow(tokens_of, "row long, token string"))
+    words = decode_words(tokens, grams.table)
+    found = merged(tokens, words.where("token <> word"), "token").groupBy(F.col("row").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("_words"))
+
+    def apart(batches):
         for batch in slices(batches):
-            texts = []
-            for (raw, spans), words in zip(spots(batch.column("text")), batch.column("words").to_pylist(), strict=True):
-                known, tokens = dict(words or ()), [one_blank(raw[a:b]) for a, b in spans]
-                texts.append(without(raw, spans, [known.get(t, raw[a:b].decode()) for t, (a, b) in zip(tokens, spans, strict=True)]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), *[batch.column(c) for c in other]], ["row", "text", *other])
+            texts, changed = [], []
+            for (raw, spans), words in zip(spots(batch.column("text")), batch.column("_words").to_pylist(), strict=True):
+                known = dict(words or ())
+                new = [known.get(one_blank(raw[a:b]), raw[a:b].decode()) for a, b in spans]
+                changed.append(sum(w != raw[a:b].decode() for w, (a, b) in zip(new, spans, strict=True)))
+                texts.append(with_words(raw, spans, new))
+            yield replaced(batch.drop_columns(["_row", "_words"]), texts, np.array(changed, np.int64))
 
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("row", "text", *other))
-    return merged(docs.select("row", "text", *other), found, "row", "left").mapInArrow(run, schema)
+    return merged(rows, found, "_row", "left").select(*docs.columns, "_row", "_words").mapInArrow(apart, schema)
+
+
+def replaced(batch: pa.RecordBatch, texts: list[str | None], changed: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(changed)], [*batch.schema.names, "n_restored"])
+
+
+class Trigrams:
+    """The counted trigrams as a table, and as arrays for every task where they are few enough."""
+
+    def __init__(self, table: DataFrame, most: int):
+        self.table, self.model = table, None
+        if table.count() <= most:
+            arrow = table.toArrow()
+            self.model = arrow.column("gram").to_numpy(), arrow.column("n").to_numpy()
 
 
 class Toxicity:
-    """A fitted model: the table of trigram counts and the classifier."""
+    """A fitted model: the trigrams and the classifier."""
 
-    def __init__(self, grams: DataFrame, classifier: Classifier):
+    def __init__(self, grams: Trigrams, classifier: Classifier):
         self.grams, self.classifier = grams, classifier
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, smoothing: float = 4.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, smoothing: float = 4.0, broadcast_trigrams: int = 500_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
     """Language model over all texts of `docs`; classifier from at most `sample_rows` labelled ones.
 
     The driver receives the features of those rows at most, and two numbers for each of them.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    grams = cut(count_trigrams(docs), few=True)
+    grams = Trigrams(cut(count_trigrams(docs), few=True), broadcast_trigrams)
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     sample = sample.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(sample), "doc_id").select(F.monotonically_increasing_id().alias("row"), "text", (F.col("y") > 0).alias("y"), (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).alias("learn"))
-    rows = cut(restore_texts(cut(rows, few=True), grams), few=True)
+    rows = docs.join(F.broadcast(sample), "doc_id").select("text", (F.col("y") > 0).alias("y"), (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).alias("learn"))
+    rows = cut(restored(rows, grams))
     sizes = {(r["learn"], r["y"]): r["count"] for r in rows.groupBy("learn", "y").count().collect()}
     clean, toxic = sizes.get((True, False), 0), sizes.get((True, True), 0)
     if not clean or not toxic:
@@ -503,46 +571,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, smoothing
     return Toxicity(grams, model)
 
 
-HITS = "array<struct<feature:bigint,w:double>>"
-
-
 def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted, n_restored) of every row's whole text; texts are read once and never shuffled."""
-    ship(docs.sparkSession)
+    """(doc_id, score, predicted, n_restored) of every row's whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model.classifier)
 
-    def hit_lists(column):
-        rows, features, weights = shared.value.hits(column)
-        bounds = np.searchsorted(rows, np.arange(len(column) + 1)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(features), pa.array(weights)], ["feature", "w"]))
-
-    def read(batches):
+    def run(batches):
         for batch in slices(batches):
-            found = spots(batch.column("text"))
-            plain = pa.array([without(raw, spans) for raw, spans in found], pa.string())
-            tokens = pa.array([[one_blank(raw[a:b]) for a, b in spans] for raw, spans in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), hit_lists(plain), tokens], ["doc_id", "hits", "tokens"])
-
-    def weigh(batches):
-        for batch in slices(batches, "word"):
-            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("changed"), hit_lists(batch.column("word"))], ["token", "changed", "hits"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(read, f"doc_id long, hits {HITS}, tokens array<string>")
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    tokens = rows.select("row", F.explode("tokens").alias("token")).groupBy("row", "token").agg(F.count("*").alias("n"))
-    words = decode_words(tokens, model.grams).select("token", "word", (F.col("token") != F.col("word")).alias("changed"))
-    words = cut(words.mapInArrow(weigh, f"token string, changed boolean, hits {HITS}").where("changed OR size(hits) > 0"), few=True)
-    met = merged(tokens, words, "token").groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("more"), F.sum(F.when(F.col("changed"), F.col("n")).otherwise(0)).alias("n_restored"))
-    out = merged(rows.select("row", "doc_id", "hits"), met, "row", "left")
-    weights = F.transform(F.array_union("hits", F.coalesce("more", F.array().cast(HITS))), lambda h: h["w"])
-    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + F.pow(w, F.lit(4.0)))
-    curve = model.classifier.curve.tolist() or None
-    value = F.lit(0.0) if curve is None else 1 / (1 + F.exp(-(F.lit(curve[0]) + curve[1] * F.coalesce(F.array_max(weights), F.lit(0.0)) + curve[2] * F.pow(total, F.lit(0.25)))))
-    return out.select("doc_id", value.alias("score"), F.coalesce("n_restored", F.lit(0)).cast("long").alias("n_restored")).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(batch.column("text"))), batch.column("n_restored")], ["doc_id", "score", "n_restored"])
+
+    rows = restored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model.grams)
+    out = rows.mapInArrow(run, "doc_id long, score double, n_restored long")
+    return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_restored")
 
 
 def accepted(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns unchanged, whose whole text is not predicted toxic."""
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    toxic = score(numbered, model, id_col="_row", text_col=text_col).where("predicted = 1").select(F.col("doc_id").alias("_row"))
-    return merged(numbered, toxic, "_row", "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model.classifier)
+    rows = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def run(batches):
+        for batch in slices(batches):
+            yield batch.select(["row"]).filter(pa.array(shared.value.score(batch.column("text")) < 0.5))
+
+    kept = restored(rows, model.grams).select("text", "row").mapInArrow(run, T.StructType([rows.schema["row"]]))
+    return kept.select("row.*")

@@ -104,6 +104,19 @@ def test_embeddings(spark, monkeypatch, kind, cell, block):
     assert op6.link(df.limit(0)).count() == 0
 
 
+def test_recall_on_many_vectors(spark):
+    """Twelve thousand vectors, half of them close to the threshold of another: nearly all true links found, none false."""
+    rng = np.random.RandomState(9)
+    x = rng.normal(size=(6000, 32))
+    near = x / np.linalg.norm(x, axis=1, keepdims=True) + rng.normal(size=x.shape) * (0.45 / np.sqrt(32)) * rng.uniform(0.2, 1.1, size=(6000, 1))
+    x = np.concatenate([x, near]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(u[a : a + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for a in range(0, len(u), 1000)])
+    got = {r.vec_id: r.n_links for r in op6.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert want.sum() > 5000 and (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
 def test_viterbi_restores_disguises(spark):
     texts = ["an idiot and a clown said that the moron is pathetic and worthless trash"] * 50
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -139,6 +152,52 @@ def test_every_disguise_reaches_the_decoder(spark):
     assert all(op1.suspects(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])) for w in ("a$$", "a55", "ki11", "fr33", "shi7", "a€", "ééé", "É.é.é", "no!"))
 
 
+def test_both_ways_restore_alike(spark, docs):
+    texts = ["an idiot and a clown said that the moron is pathetic and worthless trash; coffee letters good fuck"] * 50
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    given = [None, "", "the 1d10t has coffee and l3tters, good", "a clo wn i d  io t, cl00wn!!", "fuuck i.d.i.o.t (t r a s h) 7ra$h mor0n", "m o r o n\nm o r o n", "worth1e$$ idi0t2 \u20ac漢 letterrr"]
+    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(given)], "doc_id long, text string, row int")
+    grams = op1.count_trigrams(train)
+    near = op1.restored(rows, op1.Trigrams(grams, 10**6)).collect()
+    far = op1.restored(rows, op1.Trigrams(grams, 0)).collect()
+    say = lambda rs: sorted((r.doc_id, r.text or "", r.row, r.n_restored) for r in rs)
+    assert say(near) == say(far)
+    got = {r.doc_id: r.text for r in near}
+    assert "idiot has coffee and letters good" in got[2] and got[4].startswith("fuck idiot") and "trash" in got[4] and "moron" in got[4]
+
+
+def test_scores_equal_brute_force(spark):
+    """Weights and strengths by hand: distinct word beginnings and words, log odds, shrinkage, the largest and the fourth root."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 40 if i % 3 else 60]) for _ in range(12)), int(i % 3 == 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = op1.fit(df, df.select("doc_id", "toxic"))
+
+    def features(t):
+        words = {w for w in re.findall(r"[a-z]+", t)}
+        return {(k, w[:k]) for w in words for k in (4, 5, 6, 8) if len(w) > k} | {(0, w) for w in words if len(w) >= 3}
+
+    learn = {r.doc_id for r in df.where("xxhash64(doc_id, 1) % 2 = 0").collect()}
+    clean, toxic = (sum(y == v for i, _, y in rows if i in learn) for v in (0, 1))
+    base, counts = toxic / (toxic + clean), {}
+    for i, t, y in rows:
+        if i in learn:
+            for f in features(t):
+                counts.setdefault(f, [0, 0])[y] += 1
+    weigh = lambda c, x: (math.log((x + 4 * base) / (c + 4 * (1 - base))) - math.log(base / (1 - base))) * x / (x + 4)
+    weights = {f: weigh(*n) for f, n in counts.items()}
+    curve = model.classifier.curve
+    for r in op1.score(df, model).join(df, "doc_id").collect():
+        if r.n_restored == 0:
+            w = [weights[f] for f in features(r.text) if weights.get(f, 0) > 0]
+            x = curve[0] + curve[1] * max(w, default=0) + curve[2] * sum(v**4 for v in w) ** 0.25
+            assert abs(r.score - 1 / (1 + math.exp(-x))) < 1e-9
+
+
 def test_toxicity_edges(docs, documents, no_docs, spark):
     labels = spark.createDataFrame([(i, None if i % 7 == 0 else int(i % 3 == 0)) for i in range(70)] + [(None, 1)], "doc_id long, toxic int")
     model = op1.fit(docs, labels)
@@ -242,3 +301,48 @@ def test_pipeline_keeps_rows_without_id(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in one.collect()), key=key) == sorted([(1, a + " end"), (None, b), (5, c), (5, d), (None, None), (None, ""), (None, f"x {item} y"), (6, f"z {item}")], key=key)
     clean = stages["benchmark decontamination"](spark, docs, str(tmp_path))
     assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=key) == sorted(rows[:-2], key=key)
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls in every column, rows and ids that repeat, clashing names, empty tables: defined results, stage by stage."""
+    clean, near, toxic = (" ".join(f"{x}{chr(97 + i)}" for i in range(26)) for x in ("clean", "near", "idiot"))
+    item, line = " ".join(f"item{chr(97 + i)}" for i in range(12)), "a line that many documents share"
+    rows = [(1, f"{clean}\n{line}"), (1, f"{clean}\n{line}"), (2, f"{near}\n{line}"), (2, near), (3, None), (3, ""), (None, None), (None, f"{line}\nx"), (4, f"{item}\n{line}"), (None, item), (5, line)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, rest string, lines string, `drop` int, hash int, _hit int, n_lines int, component_id int"
+    docs = spark.createDataFrame([(i, t, None if k % 2 else "en", None, k, k, "r", None, 1, 2, 3, 4, 5) for k, (i, t) in enumerate(rows)], schema)
+    spark.createDataFrame([(0, item), (None, clean), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 0), (2, None), (None, 1), (7, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "BPE encoding and decoding" or out.columns == docs.columns
+        got[name] = out.collect()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    texts = {k: t for k, (_, t) in enumerate(rows)}
+    assert len(got["toxicity"]) == len(rows) == len(got["BPE encoding and decoding"])
+    assert {r.row: r.text for r in got["line dedup"]} == texts | {2: near, 8: item, 10: ""} and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got["line dedup"])
+    kept = {r.row for r in got["MinHash near-dedup"]}
+    assert len(kept & {0, 1}) == 1 and len(kept & {2, 3}) == 1 and {4, 5, 6} <= kept
+    assert {r.row for r in got["benchmark decontamination"]} == set(texts) - {8, 9}
+    assert stages["toxicity"](spark, docs.drop("n_chars"), str(tmp_path)).columns == docs.drop("n_chars").columns
+
+
+@here
+def test_pipeline_finds_the_near_copies_of_its_input(spark):
+    """Near-dedup finds every link that brute force finds in what line dedup left, on ten times the smallest table."""
+    folder = FOLDER.replace("0.1", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets, holders, uf = {i: shingle_set(t) for i, t in rows}, {}, Sets()
+    for i, x in sets.items():
+        uf.find(i)
+        for g in x:
+            holders.setdefault(g, []).append(i)
+    pairs = {(a, b) for ids in holders.values() if len(ids) > 1 for k, a in enumerate(sorted(ids)) for b in sorted(ids)[k + 1 :]}
+    for a, b in pairs:
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            uf.link(a, b)
+    got = {r.doc_id: r.component_id for r in op7.cluster(docs).collect()}
+    lost = [i for i in sets if got[i] != uf.find(i)]
+    assert not lost
