@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import axis, imports, intervals, naming, quality, score_run, scoring, tables as T
 from ..sources import exchange
 from ..sources.store import Runs
+from ..streaming import events as streaming
 from . import reads
 from .adapter import SQL, Tables, ctes
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -369,6 +370,14 @@ def _(t):
     return naming.assign_slugs(people, t.person_slug().limit(0))
 
 
+@query("assigned_slugs_reserved", "WITH b AS (SELECT p_partkey AS person_id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM part) SELECT person_id, base || '-' || (row_number() OVER (PARTITION BY base ORDER BY person_id) + 1) AS slug, FALSE AS from_identifier FROM b")
+def _(t):
+    """Every plain name is an old slug of someone else and stays reserved, so numbering starts at two."""
+    people = t.raw("part").select(F.col("p_partkey").alias("person_id"), F.concat(F.lit("PA"), F.col("p_partkey")).alias("an_uid"), F.lit(None).cast("string").alias("wikidata_qid"), F.lit(None).cast("string").alias("prenom"), F.col("p_name").alias("nom"))
+    reserved = people.select((F.col("person_id") + 1_000_000_000_000).alias("person_id"), X.slugify(F.col("nom")).alias("slug"), F.lit(False).alias("is_current"))
+    return naming.assign_slugs(people, reserved)
+
+
 # --- text, quality, tables --------------------------------------------------------------------------------
 
 @query("slugs_of_texts", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
@@ -416,11 +425,12 @@ def _(t):
     return quality.slug_conflicts(t.person_slug().withColumn("slug", F.regexp_replace("slug", "[0-9]$", "")))
 
 
-@query("upsert_changes", "SELECT CASE WHEN s_suppkey > 90 THEN 'created' WHEN s_suppkey <= 10 THEN 'absent' WHEN s_suppkey % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS change, count(*) AS n FROM supplier GROUP BY 1")
+@query("upsert_changes", "WITH o AS (SELECT max(s_suppkey) AS m FROM supplier), k AS (SELECT s_suppkey AS k FROM supplier UNION SELECT s_suppkey + 10 FROM supplier) SELECT CASE WHEN k > m THEN 'created' WHEN k < 10 THEN 'absent' WHEN k % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS change, count(*) AS n FROM k, o GROUP BY 1")
 def _(t):
-    rows = t.raw("supplier").select("s_suppkey", "s_name", "s_acctbal")
-    new = rows.where("s_suppkey > 10").withColumn("s_acctbal", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")))
-    return T.change_counts(T.merge(rows.where("s_suppkey <= 90"), new, ["s_suppkey"]))
+    """All suppliers against all of them ten keys on: the last ten are new, the first ten absent, a third of the others changed."""
+    old = t.raw("supplier").select("s_suppkey", F.lit(0).alias("v"))
+    new = t.raw("supplier").select((F.col("s_suppkey") + 10).alias("s_suppkey")).withColumn("v", F.when(F.col("s_suppkey") % 3 == 0, 1).otherwise(0))
+    return T.change_counts(T.merge(old, new, ["s_suppkey"]))
 
 
 @query("latest_documents", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
@@ -434,9 +444,9 @@ def _(t):
     return T.run_status(last.select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), F.col("event_type").alias("status")))
 
 
-@query("external_ids", "WITH p AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS q FROM lineitem WHERE l_quantity > 49 AND l_discount < 0.01), u AS (SELECT u FROM p GROUP BY u HAVING count(*) = 1), q AS (SELECT q FROM p GROUP BY q HAVING count(*) = 1) SELECT 'PA' || u AS an_uid, 'Q' || q AS qid FROM p WHERE u IN (SELECT u FROM u) AND q IN (SELECT q FROM q)")
+@query("external_ids", "WITH p AS (SELECT DISTINCT l_orderkey AS u, CAST(round(l_extendedprice * 100) AS BIGINT) AS q FROM lineitem), u AS (SELECT u FROM p GROUP BY u HAVING count(*) = 1), q AS (SELECT q FROM p GROUP BY q HAVING count(*) = 1) SELECT 'PA' || u AS an_uid, 'Q' || q AS qid FROM p WHERE u IN (SELECT u FROM u) AND q IN (SELECT q FROM q)")
 def _(t):
-    hits = t.raw("lineitem").where("l_quantity > 49 AND l_discount < 0.01").select(F.concat(F.lit("PA"), F.col("l_suppkey")).alias("an_uid"), F.concat(F.lit("Q"), F.col("l_partkey")).alias("qid"), F.lit(None).cast("string").alias("image_url"))
+    hits = t.raw("lineitem").select(F.concat(F.lit("PA"), F.col("l_orderkey")).alias("an_uid"), F.concat(F.lit("Q"), F.round(F.col("l_extendedprice") * 100).cast("long")).alias("qid"), F.lit(None).cast("string").alias("image_url"))
     return naming.resolve_external_ids(hits)[0].select("an_uid", "qid")
 
 
@@ -497,7 +507,14 @@ def _(t):
 
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS debut, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
-    return t.raw("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("debut"), "event_type", "n")
+    """The streaming windows, over a table that is all there."""
+    return streaming.windowed(t.raw("events")).select("debut", "event_type", "n")
+
+
+@query("event_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS debut, max(ts) + INTERVAL 30 MINUTE AS fin, count(*) AS n FROM s GROUP BY user_id, k""")
+def _(t):
+    return streaming.sessions(t.raw("events"))
 
 
 @query("display_labels", SCORED + """ SELECT person_id, p.theme_id, 'plutôt ' || CASE WHEN score >= 0 THEN libelle_pole_positif ELSE libelle_pole_negatif END || ' (' || CASE WHEN score < 0 THEN '-' ELSE '+' END || CAST(CAST(abs(CAST(score AS DECIMAL(4,3))) AS DECIMAL(4,2)) AS VARCHAR) || ')' AS orientation,
