@@ -15,13 +15,20 @@ def assign_slugs(persons: DataFrame, slugs: DataFrame) -> DataFrame:
 
     Takes (person_id, an_uid, wikidata_qid, prenom, nom) and existing (person_id, slug, is_current). A slug once
     given stays reserved. A name that leaves nothing falls back to the identifier. Only slugs that differ in
-    trailing numbers can collide, so each such family is settled by itself and families run in parallel.
+    trailing numbers can collide; families of such slugs without a name that occurs twice or is reserved need no
+    number and are done at once, each of the others is settled by itself and they run in parallel.
     """
     current = slugs.where("is_current").select("person_id")
     name = slugify(F.concat_ws(" ", F.coalesce("prenom", F.lit("")), F.coalesce("nom", F.lit(""))))
     new = persons.join(current, "person_id", "left_anti").select("person_id", F.when(name == "", F.lower(F.coalesce("an_uid", "wikidata_qid"))).otherwise(name).alias("base"), (name == "").alias("from_identifier"))
     new = new.withColumn("stem", F.regexp_replace("base", TRAILING, ""))
     taken = slugs.select("slug", F.regexp_replace("slug", TRAILING, "").alias("stem"))
+    reserved = slugs.select(F.col("slug").alias("base"), F.lit(True).alias("reserved")).distinct()
+    names = new.groupBy("stem", "base").agg(F.count("*").alias("n")).join(reserved, "base", "left")
+    disputed = names.groupBy("stem").agg(F.max((F.col("n") > 1) | F.col("reserved").isNotNull()).alias("d")).where("d").select("stem")
+    plain = new.join(disputed, "stem", "left_anti").select("person_id", F.col("base").alias("slug"), "from_identifier")
+    new = new.join(disputed, "stem", "left_semi")
+    taken = taken.join(disputed, "stem", "left_semi")
 
     def settle(family: pd.DataFrame, reserved: pd.DataFrame) -> pd.DataFrame:
         used, nexts, out = set(reserved["slug"]), {}, []
@@ -34,7 +41,8 @@ def assign_slugs(persons: DataFrame, slugs: DataFrame) -> DataFrame:
             out.append((row.person_id, slug, row.from_identifier))
         return pd.DataFrame(out, columns=["person_id", "slug", "from_identifier"])
 
-    return new.groupBy("stem").cogroup(taken.groupBy("stem")).applyInPandas(settle, "person_id long, slug string, from_identifier boolean")
+    settled = new.groupBy("stem").cogroup(taken.groupBy("stem")).applyInPandas(settle, "person_id long, slug string, from_identifier boolean")
+    return plain.unionByName(settled)
 
 
 def place(segments: DataFrame, today) -> DataFrame:
