@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from os.path import commonprefix
 
 import regex
 
@@ -105,6 +106,11 @@ class Remembered(dict):
         return value
 
 
+def special_mark(special) -> str | None:
+    """What all special strings begin with: a text without it holds none. None where there are no special strings."""
+    return commonprefix(list(special)) if special else None
+
+
 def special_splitter(special):
     return regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")")
 

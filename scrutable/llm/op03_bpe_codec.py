@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import WORD_PATTERN, Remembered, Vocabulary, normal, special_splitter
+from .bpe import WORD_PATTERN, Remembered, Vocabulary, normal, special_mark, special_splitter
 from .common import ship
 from .kernels import slices
 
@@ -30,7 +30,7 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.inside = vocabulary, vocabulary.forced_pairs()
-        self.split = special_splitter(vocabulary.special)
+        self.split, self.mark = special_splitter(vocabulary.special), special_mark(vocabulary.special)
         self.find = regex.compile(WORD_PATTERN).findall
         self.fragment = Remembered(lambda key: self.v.merge(self.v.symbols(key[1:], key[0] == "e")))
         self.word = Remembered(self.encode_word)
@@ -49,7 +49,7 @@ class Codec:
     def encode(self, text: str | None) -> list[bytes]:
         """The ids of each pre-token of a whole text."""
         out: list[bytes] = []
-        parts = self.split.split(text or "") if "<|" in (text or "") else [text or ""]
+        parts = self.split.split(text or "") if self.mark is not None and self.mark in (text or "") else [text or ""]
         for part in parts:
             if part in self.v.special:
                 out.append(np.array([self.v.special[part]], "<u4").tobytes())

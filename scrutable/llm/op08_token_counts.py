@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import BYTE_PATTERN, Remembered, Vocabulary, special_splitter
+from .bpe import BYTE_PATTERN, Remembered, Vocabulary, special_mark, special_splitter
 from .common import ship
 from .kernels import slices
 
@@ -35,7 +35,7 @@ def whole_tokens(vocabulary: Vocabulary) -> dict[str, int]:
 class Counter:
     def __init__(self, vocabulary: Vocabulary, whole: dict[str, int]):
         self.v = vocabulary
-        self.split = special_splitter(vocabulary.special)
+        self.split, self.mark = special_splitter(vocabulary.special), special_mark(vocabulary.special)
         self.find = regex.compile(BYTE_PATTERN).findall
         self.known = Remembered(self.merged)
         self.whole = whole
@@ -46,7 +46,7 @@ class Counter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if "<|" not in text:
+        if self.mark is None or self.mark not in text:
             return sum(map(self.known.__getitem__, self.find(text)))
         return sum(1 if part in self.v.special else sum(map(self.known.__getitem__, self.find(part))) for part in self.split.split(text))
 
