@@ -25,12 +25,13 @@ from scrutable.llm.queries import tokenizer
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, rest): all columns of each row as one, so that no name of theirs can meet another."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"))
+    """(doc_id, text, rest): all columns but the text as one, so that no name of theirs can meet another."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
 
 
 def unpacked(rows: DataFrame, columns: list[str], **changed) -> DataFrame:
-    return rows.select(*[changed.get(c, F.col("rest").getField(c)).alias(c) for c in columns])
+    changed = {"text": F.col("text")} | changed
+    return rows.select(*[(changed[c] if c in changed else F.col("rest").getField(c)).alias(c) for c in columns])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -55,8 +56,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Rows without doc_id are kept whole and own no line; rows that share a doc_id are one document and keep their
     lines alike; a null text stays null.
     """
-    kept = lines.dedup_lines(packed(docs), carry=("rest",))
-    text = F.when(F.col("rest").getField("text").isNotNull(), F.col("text"))
+    kept = lines.dedup_lines(packed(docs).withColumn("given", F.col("text").isNotNull()), carry=("rest", "given"))
+    text = F.when(F.col("given"), F.col("text"))
     return unpacked(kept, docs.columns, text=text, n_chars=F.length(text).cast("long"))
 
 
