@@ -64,6 +64,18 @@ def test_near_duplicates(docs, documents, no_docs, monkeypatch, leaf, block):
         assert op7.cluster(no_docs).count() == 0
 
 
+def test_one_id_with_different_texts(spark, monkeypatch):
+    """An id that repeats with other texts is one document in both groups, whichever way nodes are compared."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (5, b), (7, a + " end"), (9, b + " end"), (11, "quite another text that is near nothing here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for leaf, block in ((512, 512), (2, 2)):
+        monkeypatch.setattr(op7, "LEAF", leaf)
+        monkeypatch.setattr(op7, "BLOCK", block)
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in op7.cluster(docs).collect())
+        assert got == [(5, 5, True)] * 3 + [(7, 5, False), (9, 5, False), (11, 11, True)]
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(64)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.v: r.comp for r in graph.components(links).collect()}
