@@ -14,6 +14,9 @@ from . import op07_minhash_neardup as op7
 from . import op08_token_counts as op8
 from . import op09_decontamination as op9
 from . import op10_line_dedup as op10
+from . import op11_pii as op11
+from . import op12_conversation_repair as op12
+from . import op13_centroid_clustering as op13
 from .common import table
 
 
@@ -74,5 +77,21 @@ def op10_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_bpe_codec, op4_substring_dedup, op5_language_id, op6_embedding_neardup, op7_minhash_neardup, op8_token_counts, op9_decontamination, op10_line_dedup)}
-ORACLES = {"op2_license_scan": op2.ORACLE, "op4_substring_dedup": op4.ORACLE, "op6_embedding_neardup": op6.ORACLE, "op7_minhash_neardup": op7.ORACLE, "op9_decontamination": op9.ORACLE, "op10_line_dedup": op10.ORACLE}
+def op11_pii(spark, sf_dir):
+    found = op11.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.concat_ws(",", F.concat(*[op11.listed(k) for k in op11.KINDS]))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in op11.KINDS]
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.concat(*[op11.listed(k) for k in (*op11.KINDS, "term")])).alias("spans"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return op12.summarise(op12.damage(rows), rows)
+
+
+def op13_centroid_clustering(spark, sf_dir):
+    return op13.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding")).drop("centroid")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_bpe_codec, op4_substring_dedup, op5_language_id, op6_embedding_neardup, op7_minhash_neardup, op8_token_counts, op9_decontamination, op10_line_dedup, op11_pii, op12_conversation_repair, op13_centroid_clustering)}
+ORACLES = {"op2_license_scan": op2.ORACLE, "op4_substring_dedup": op4.ORACLE, "op6_embedding_neardup": op6.ORACLE, "op7_minhash_neardup": op7.ORACLE, "op9_decontamination": op9.ORACLE, "op10_line_dedup": op10.ORACLE, "op11_pii": op11.ORACLE, "op12_conversation_repair": op12.ORACLE, "op13_centroid_clustering": op13.ORACLE}
