@@ -11,7 +11,9 @@ They are marked wherever they occur, also where the entity itself is absent, sin
 
 All counts are over all texts; equal texts count once, so that copies are no evidence. Pairs are made of an
 entity's surroundings only, so they follow the number of entities, and are counted before they are shuffled.
-Every text's words meet the candidate terms in one pass, which leaves (text, term) rows of candidates alone.
+How many texts of a sixteenth, by hash, hold a term is a lower bound of n_t; most words are by that too common
+to disclose anything. Every text's words then meet the terms that are left in one pass, which leaves (text, term)
+rows of these alone, and the counts that decide are taken from all texts.
 Candidates, disclosing terms and texts that hold them are broadcast up to `most_bytes` measured bytes and
 shuffled beyond. Texts are known by their SHA-256 between passes.
 
@@ -133,22 +135,31 @@ def disclosing(docs: DataFrame, base: DataFrame, contexts: int = 3, generalise:
     told = cut(entities(base).distinct())
     terms = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("near"), F.lit(TERM), F.lit(0))))
     pairs = cut(told.select("entity", "key", F.xxhash64("near").alias("context"), terms.alias("term")).distinct())
-    often = cut(pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("n")).where(F.col("n") >= contexts).select("entity", "term"))
-    candidates = cut(often.select("term").distinct())
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(scrubbed(F.col("text"))), F.lit(TERM), F.lit(0))))
-    held = keyed(docs, id_col, text_col).select("key", words.alias("term"))
-    held = cut(held.join(hinted(candidates, most_bytes), "term", "left_semi").distinct())
     n = base.select("key").distinct().count()
-    n_e = told.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_e = told.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n)
+    share = lambda both, t: 1 + F.log2(both / t) / F.log2(F.lit(n) / F.col("n_e"))
+    often = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("n"), F.count_distinct("key").alias("n_most")).where(F.col("n") >= contexts)
+    often = cut(merged(often.select("entity", "term", "n_most"), n_e, "entity"))
+    least = occurrences(docs, cut(often.select("term").distinct()), most_bytes, id_col, text_col, F.hex("key").startswith("0")).groupBy("term").agg(F.count("*").alias("n_least"))
+    able = merged(often, least, "term", "left").where(share(F.col("n_most"), F.greatest("n_most", "n_least")) >= generalise)
+    able = cut(able.select("entity", "term", "n_e"))
+    held = cut(occurrences(docs, cut(able.select("term").distinct()), most_bytes, id_col, text_col))
     n_t = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    seen = merged(pairs.select("entity", "term", "key").distinct(), often, ["entity", "term"], "left_semi")
-    both = merged(seen, held, ["key", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    share = 1 + F.log2(F.col("n_both") / F.col("n_t")) / F.log2(F.lit(n) / F.col("n_e"))
-    known = merged(merged(both, n_e.where(F.col("n_e") < n), "entity"), n_t, "term")
-    flagged = cut(known.select("term", share.alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise))
+    seen = merged(pairs.select("entity", "term", "key").distinct(), able, ["entity", "term"])
+    both = merged(seen, held, ["key", "term"], "left_semi").groupBy("entity", "term", "n_e").agg(F.count("*").alias("n_both"))
+    known = merged(both, n_t, "term").select("term", share(F.col("n_both"), F.col("n_t")).alias("disclosure"))
+    flagged = cut(known.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise))
     return flagged, cut(held.join(hinted(flagged, most_bytes), "term").select("key", "term", "disclosure"))
 
 
+def occurrences(docs: DataFrame, terms: DataFrame, most_bytes: int, id_col: str, text_col: str, among: Column | None = None) -> DataFrame:
+    """(key, term): which texts, of those with `among` where it is given, hold which of the terms; equal texts once."""
+    rows = keyed(docs, id_col, text_col)
+    rows = rows if among is None else rows.where(among)
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(scrubbed(F.col("text"))), F.lit(TERM), F.lit(0))))
+    return rows.select("key", words.alias("term")).join(hinted(terms, most_bytes), "term", "left_semi").distinct()
+
+
 def term_spans(docs: DataFrame, where: DataFrame, most_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, term): the places of disclosing terms in each text that holds some, with their disclosure."""
     texts = cut(where.groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("disclosure").alias("shares")))
