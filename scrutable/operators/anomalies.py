@@ -19,10 +19,10 @@ def refusals(estimates: DataFrame) -> DataFrame:
     return found(estimates.where("statut <> 'ok'"), F.col("statut"), F.col("scrutin_id"), "statut")
 
 
-def membership_events(normalised: DataFrame) -> DataFrame:
+def membership_events(cleaned: DataFrame) -> DataFrame:
+    """Events among the rows of intervals.cleaned."""
     names = F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv])
-    rows = normalised.select("person_id", "organe_id", F.explode("events").alias("e"))
-    return found(rows, F.element_at(names, F.col("e.kind")), F.col("e.uid"), "person_id", "organe_id")
+    return found(cleaned.where(F.col("kind").isin(*EVENTS)), F.element_at(names, F.col("kind")), F.col("mandat_uid"), "person_id", "organe_id")
 
 
 def derived_slugs(assigned: DataFrame) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ordered import running
+
 
 def far() -> Column:
     """A day after every other, for periods that are open."""
@@ -35,18 +41,170 @@ def as_of(points: DataFrame, periods: DataFrame, key: str, day: str, start: str,
     return p.join(q, hit, "left").groupBy(f"p.{key}", f"p.{day}").agg(F.max_by(F.col(f"q.{value}"), order).alias(value))
 
 
+def changes(periods: DataFrame, key: str, start: str, end: str, value: str, tie: str) -> DataFrame:
+    """(key, day, now): from which day on which value holds, that of the latest-starting period that covers the day.
+
+    `now` is a struct of the value, null inside where no period covers. Starts and ends of a key stream through a
+    task in order of days; the state is a heap of the periods that have begun and are not known to be over.
+    """
+    day = lambda c: F.datediff(c, F.lit("1970-01-01")).alias("day")
+    rows = periods.dropna(subset=[key, start]).select(F.col(key).alias("key"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(value).alias("value"), F.col(tie).alias("tie"))
+    begin = rows.select("key", day(F.col("s")), F.lit(True).alias("begins"), F.datediff("e", F.lit("1970-01-01")).alias("until"), "tie", "value")
+    stop = rows.where("e IS NOT NULL").select("key", day(F.col("e")), F.lit(False).alias("begins"))
+    both = begin.unionByName(stop, allowMissingColumns=True).repartition("key").sortWithinPartitions("key", "day", "begins", "tie")
+    schema = both.select("key", "day", "value").schema
+
+    def sweep(batches):
+        arrow, now, at, held, top, n = None, None, None, [], None, 0
+
+        def settle(out):
+            nonlocal top
+            while held and held[0][3] is not None and held[0][3] <= at:
+                heapq.heappop(held)
+            best = held[0] if held else None
+            if best != top:
+                out.append((now, at, best and best[4]))
+                top = best
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            arrow = arrow or pa.schema([batch.schema.field(c) for c in ("key", "day", "value")])
+            out = []
+            for key_, day_, begins, until, tie_, value_ in zip(*(batch.column(c).to_pylist() for c in ("key", "day", "begins", "until", "tie", "value")), strict=True):
+                if (key_, day_) != (now, at) and now is not None:
+                    settle(out)
+                if key_ != now:
+                    held, top = [], None
+                now, at = key_, day_
+                if begins and (until is None or until > day_):
+                    n += 1
+                    heapq.heappush(held, (-day_, tie_, n, until, value_))
+            if out:
+                yield batch_of(out)
+        if now is not None:
+            out = []
+            settle(out)
+            if out:
+                yield batch_of(out)
+
+    swept = both.mapInArrow(sweep, schema)
+    return swept.select(F.col("key").alias(key), F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).alias("day"), F.struct(F.col("value").alias("value")).alias("now"))
+
+
+def as_of_sorted(points: DataFrame, periods: DataFrame, key: str, day: str, start: str, end: str, value: str, tie: str) -> DataFrame:
+    """What `as_of` gives, without a join of points and periods: both in one sorted stream, the last value carried along.
+
+    Work follows the number of points and periods, also for a key with very many of both, which is spread over
+    partitions. Points without key or day have no value.
+    """
+    p = points.select(F.col(key).alias("_key"), F.col(day).alias("_day")).distinct().withColumn("_kind", F.lit(1))
+    c = changes(periods, key, start, end, value, tie).select(F.col(key).alias("_key"), F.col("day").alias("_day"), F.lit(0).alias("_kind"), "now")
+    carried = running(p.unionByName(c, allowMissingColumns=True), ["_key"], ["_day", "_kind"], _now=("last", F.col("now"))).where("_kind = 1")
+    held = F.when(F.col("_key").isNotNull() & F.col("_day").isNotNull(), F.col("_now.value"))
+    return carried.select(F.col("_key").alias(key), F.col("_day").alias(day), held.alias(value))
+
+
+def groups_from_memberships(votes: DataFrame, memberships: DataFrame) -> DataFrame:
+    """`votes` with the group of those whose file names none filled by the membership of the day.
+
+    Votes have (person_id, date_scrutin, organe_id, fantome), memberships (person_id, mandat_id, organe_id, debut,
+    fin_exclusive). The file's group stays wherever it is no phantom. `groupe_from_mandat` is true only where a
+    membership was found.
+    """
+    asked = votes.where("fantome")
+    found = as_of_sorted(asked, memberships.withColumnRenamed("organe_id", "_groupe"), "person_id", "date_scrutin", "debut", "fin_exclusive", "_groupe", "mandat_id").where("_groupe IS NOT NULL")
+    filled = votes.join(found, ["person_id", "date_scrutin"], "left")
+    ghost = F.coalesce("fantome", F.lit(False))
+    return filled.withColumns({"organe_id": F.when(ghost, F.col("_groupe")).otherwise(F.col("organe_id")), "groupe_from_mandat": ghost & F.col("_groupe").isNotNull()}).drop("_groupe", "fantome")
+
+
+def overlapping_pairs(periods: DataFrame, keys: list[str], uid: str, start: str = "debut", end: str = "fin_exclusive") -> DataFrame:
+    """Pairs of half-open periods of a key that overlap, as (keys, a, b), structs of all columns; a is the first by start and `uid`.
+
+    A sweep over the sorted starts and ends: a running count numbers the starts and tells each end how many starts
+    lie before it, so the periods that begin within one are those of consecutive numbers. Each period meets just
+    these by number. The work follows the number of pairs, no key is gathered, and the join has no hot key.
+    `uid` tells the periods of a key apart; those without a key or a start meet nothing.
+    """
+    rows = periods.dropna(subset=[*keys, start])
+    begin = rows.select(*keys, F.col(uid).alias("_uid"), F.col(start).alias("_day"), F.lit(1).alias("_kind"), F.struct(*periods.columns).alias("_row"))
+    open_end = F.col(end).isNull()
+    stop = rows.select(*keys, F.col(uid).alias("_uid"), F.coalesce(end, far()).alias("_day"), F.when(open_end, 2).otherwise(0).alias("_kind"))
+    swept = running(begin.unionByName(stop, allowMissingColumns=True), keys, ["_day", "_kind", "_uid"], _n=("sum", (F.col("_kind") == 1).cast("long")))
+    starts = swept.where("_kind = 1").select(*keys, "_uid", F.col("_n").alias("_from"), F.col("_row").alias("a"))
+    ends = swept.where("_kind <> 1").select(*keys, "_uid", F.col("_n").alias("_to"))
+    reach = starts.join(ends, [*keys, "_uid"]).where("_to > _from")
+    met = reach.select(*keys, "a", F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias("_from"))
+    pairs = met.join(starts.select(*keys, "_from", F.col("a").alias("b")), [*keys, "_from"])
+    return pairs.where(f"b.{end} IS NULL OR a.{start} < b.{end}").select(*keys, "a", "b")
+
+
 def cross_overlaps(periods: DataFrame) -> DataFrame:
     """Pairs of memberships of one person in different groups that overlap, non-attached ones aside; the shorter is named.
 
     Takes (person_id, mandat_uid, organe_id, debut, fin_exclusive, is_non_inscrit).
     """
     days = lambda t: F.datediff(F.coalesce(F.col(f"{t}.fin_exclusive"), far()), F.col(f"{t}.debut"))
-    rows = periods.where(~F.col("is_non_inscrit"))
-    a, b = rows.alias("a"), rows.alias("b")
-    meet = (F.col("a.fin_exclusive").isNull() | (F.col("b.debut") < F.col("a.fin_exclusive"))) & (F.col("b.fin_exclusive").isNull() | (F.col("a.debut") < F.col("b.fin_exclusive")))
-    pairs = a.join(b, (F.col("a.person_id") == F.col("b.person_id")) & (F.struct("a.debut", "a.mandat_uid") < F.struct("b.debut", "b.mandat_uid")) & (F.col("a.organe_id") != F.col("b.organe_id")) & meet)
+    pairs = overlapping_pairs(periods.where(~F.col("is_non_inscrit")), ["person_id"], "mandat_uid").where("a.organe_id <> b.organe_id")
     shorter = F.when(days("b") < days("a"), F.col("b.mandat_uid")).otherwise(F.col("a.mandat_uid"))
-    return pairs.select(F.col("a.person_id").alias("person_id"), F.col("a.mandat_uid").alias("mandat_a"), F.col("b.mandat_uid").alias("mandat_b"), shorter.alias("plus_court"))
+    return pairs.select("person_id", F.col("a.mandat_uid").alias("mandat_a"), F.col("b.mandat_uid").alias("mandat_b"), shorter.alias("plus_court"))
+
+
+def cleaned(memberships: DataFrame) -> DataFrame:
+    """The rules of `normalise` as rows, for keys of any size: (person_id, organe_id, kind, mandat_uid, debut, fin_exclusive).
+
+    A kept membership has the kind `retenu` and its period; an event has its kind and the membership that it names.
+    Memberships stream through their task in order; the state is the one period that is carried.
+    """
+    end = far()
+    rows = memberships.select("person_id", "organe_id", "mandat_uid", "debut", F.coalesce("fin", end).alias("fin"))
+    sorted_ = rows.repartition("person_id", "organe_id").sortWithinPartitions("person_id", "organe_id", "debut", "fin", "mandat_uid")
+    schema = "person_id long, organe_id long, kind string, mandat_uid string, debut date, fin_exclusive date"
+
+    def fold(batches):
+        last, key, day, out = datetime.date(9999, 12, 31), None, datetime.timedelta(days=1), []
+        arrow = pa.schema([("person_id", pa.int64()), ("organe_id", pa.int64()), ("kind", pa.string()), ("mandat_uid", pa.string()), ("debut", pa.date32()), ("fin_exclusive", pa.date32())])
+
+        def keep(x):
+            out.append((*key, "retenu", x[0], x[1], None if x[2] >= last else x[2] + day))
+
+        def tell(kind, x):
+            out.append((*key, kind, x[0], None, None))
+
+        now = None
+        for batch in batches:
+            for person, organe, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (person, organe) != key:
+                    if now:
+                        keep(now)
+                    key, now = (person, organe), x
+                elif x[1] > now[2]:
+                    keep(now)
+                    now = x
+                elif x[2] <= now[2]:
+                    tell("inclusion", x)
+                elif x[1] == now[1]:
+                    tell("inclusion", now)
+                    now = x
+                elif x[1] == now[2]:
+                    tell("charniere", now)
+                    keep([now[0], now[1], now[2] - day])
+                    now = x
+                elif x[2] - x[1] < now[2] - now[1]:
+                    tell("chevauchement", x)
+                else:
+                    tell("chevauchement", now)
+                    now = x
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                out.clear()
+        if now:
+            keep(now)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return sorted_.mapInArrow(fold, schema)
 
 
 def normalise(memberships: DataFrame) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .intervals import overlapping_pairs
+
 DECLARED = ("pour", "contre", "abstention", "non_votant", "non_votant_volontaire")
 
 
 def overlapping_memberships(memberships: DataFrame) -> DataFrame:
-    a, b = memberships.alias("a"), memberships.alias("b")
-    meet = (F.col("a.fin_exclusive").isNull() | (F.col("b.debut") < F.col("a.fin_exclusive"))) & (F.col("b.fin_exclusive").isNull() | (F.col("a.debut") < F.col("b.fin_exclusive")))
-    same = (F.col("a.person_id") == F.col("b.person_id")) & (F.col("a.organe_id") == F.col("b.organe_id")) & (F.col("a.mandat_id") < F.col("b.mandat_id"))
-    return a.join(b, same & meet).select("a.person_id", "a.organe_id", F.col("a.mandat_id").alias("mandat_a"), F.col("b.mandat_id").alias("mandat_b"))
+    """Pairs of memberships of one person in one group that overlap, the smaller id first."""
+    pairs = overlapping_pairs(memberships, ["person_id", "organe_id"], "mandat_id")
+    ids = (F.col("a.mandat_id"), F.col("b.mandat_id"))
+    return pairs.select("person_id", "organe_id", F.least(*ids).alias("mandat_a"), F.greatest(*ids).alias("mandat_b"))
 
 
 def causes_on_voters(votes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,6 +26,61 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back: what depends on partitions stays as it was written."""
+    path = f"{shared_base(df.sparkSession)}/scrutable-steps-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Versions:
+    """Numbered folders of which readers see the last complete one.
+
+    A writer claims a number by a file that must not exist yet, so two writers never share one; it fills the
+    number's folder, and a second such file, written last, makes it current. A writer that fails leaves readers
+    where they were. The version before the current one stays for readers that have begun on it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _numbers(self, kind: str) -> list[int]:
+        at = self._path(f"{self.folder}/{kind}")
+        return sorted(int(x.getPath().getName()) for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def claim(self) -> int:
+        n = (self._numbers("_claimed") or [0])[-1] + 1
+        while not self._fs.createNewFile(self._path(f"{self.folder}/_claimed/{n:09d}")):
+            n += 1
+        return n
+
+    def complete(self, n: int) -> None:
+        self._fs.createNewFile(self._path(f"{self.folder}/_complete/{n:09d}"))
+
+    def current(self) -> int | None:
+        return (self._numbers("_complete") or [None])[-1]
+
+    def path(self, n: int) -> str:
+        return f"{self.folder}/v={n}"
+
+    def write(self, fill: Callable[[str], None], keep: int = 2) -> int:
+        """Fill a new version's folder and make it current; only the last `keep` complete ones stay."""
+        n = self.claim()
+        fill(self.path(n))
+        self.complete(n)
+        for old in self._numbers("_complete")[:-keep]:
+            self._fs.delete(self._path(self.path(old)), True)
+            self._fs.delete(self._path(f"{self.folder}/_complete/{old:09d}"), False)
+        return n
+
+    def folders(self, pattern: str) -> list[str]:
+        """Folders below this one that match, in order."""
+        found = self._fs.globStatus(self._path(f"{self.folder}/{pattern}"))
+        return sorted(x.getPath().toString() for x in found or [])
+
+
 class Store:
     """The tables derived from one dataset, for one application."""
 
@@ -33,14 +89,16 @@ class Store:
         self.folder = f"{shared_base(spark)}/scrutable-store-{spark.sparkContext.applicationId}/{hashlib.md5(dataset.encode()).hexdigest()}"
 
     def table(self, name: str, derive: Callable[[], DataFrame], by: str | None = None, again: bool = False) -> DataFrame:
-        """The stored table, written first if it is missing; ordered by `by`, so that readers of one key skip the rest."""
-        path = f"{self.folder}/{name}"
-        if again or path not in _DONE:
+        """The stored table, written first if it is missing; ordered by `by`, so that readers of one key skip the rest.
+
+        With `again` a new version is written beside the old one and takes its place when it is whole.
+        """
+        versions = Versions(self.spark, f"{self.folder}/{name}")
+        if again or versions.current() is None:
             rows = derive()
             rows = rows.repartitionByRange(by).sortWithinPartitions(by) if by else rows
-            rows.write.mode("overwrite").parquet(path)
-            _DONE.add(path)
-        return self.spark.read.parquet(path)
+            versions.write(lambda path: rows.write.parquet(path))
+        return self.spark.read.parquet(versions.path(versions.current()))
 
 
 class Runs:
@@ -67,7 +125,7 @@ class Runs:
         row.coalesce(1).write.mode("append").parquet(f"{self.folder}/ledger")
 
     def open(self) -> int:
-        run_id = (self.ledger().agg(F.max("run_id")).first()[0] or 0) + 1
+        run_id = Versions(self.spark, f"{self.folder}/ids").claim()
         self._note(run_id, "started")
         return run_id
 
