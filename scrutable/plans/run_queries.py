@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import anomalies, imports, intervals, naming, score_run, tables as T
 from ..sources import exchange, metadata
+from ..sources.keyed import KeyedTable
+from ..sources.search import SearchIndex
 from ..streaming import events as streaming
 from . import reads
 from .adapter import Tables, ctes
@@ -332,4 +335,79 @@ _KINDS = FOLD.replace("CAST(0 AS INT) AS n", "CAST([] AS VARCHAR[]) AS n").repla
 @query("membership_events", _KINDS + " SELECT kind, count(*) AS n FROM (SELECT unnest(n) AS kind FROM done) WHERE kind <> '' GROUP BY kind")
 def _(t):
     """Clean-up events of memberships by kind."""
-    return anomalies.membership_events(intervals.normalise(_raw_mandates(t))).groupBy("kind").agg(F.count("*").alias("n"))
+    return anomalies.membership_events(intervals.cleaned(_raw_mandates(t))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# --- reclaiming, keyed writes, search -------------------------------------------------------------------------
+
+@query("reclaimed_jobs", """WITH alive AS (SELECT user_id FROM events WHERE ts > TIMESTAMP '2024-01-01 23:59:00' AND ts < TIMESTAMP '2024-01-02'),
+ j AS (SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'running' ELSE 'done' END AS status, CASE WHEN event_id % 10 <> 0 THEN user_id END AS owner, event_id % 4 AS attempts, CASE WHEN event_id % 6 = 0 THEN 'earlier' END AS error FROM events),
+ s AS (SELECT *, status = 'running' AND owner IS NOT NULL AND owner NOT IN (SELECT user_id FROM alive) AS stale FROM j)
+ SELECT id, CASE WHEN NOT stale THEN status WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN NOT stale THEN owner END AS owner, CASE WHEN stale THEN coalesce(error, 'reclaimed: worker heartbeat expired') ELSE error END AS error FROM s""")
+def _(t):
+    """Running jobs of silent owners put back, or failed after their last attempt; a job without an owner is left alone."""
+    rows, k = t.raw("events"), F.col("event_id")
+    jobs = rows.select(k.alias("id"), F.when(F.col("event_type") == "click", "running").otherwise("done").alias("status"), F.when(k % 10 != 0, F.col("user_id")).alias("owner"), (k % 4).alias("attempts"), F.lit(3).alias("max_attempts"), F.when(k % 6 == 0, "earlier").alias("error"))
+    beats = rows.where(F.col("ts") < F.lit(NOW).cast("timestamp_ntz")).select(F.col("user_id").alias("worker_id"), F.col("ts").cast("timestamp").alias("last_seen_at"))
+    return streaming.reclaim(jobs, beats, NOW).select("id", "status", "owner", "error")
+
+
+def _orders(t: Tables, name: str) -> KeyedTable:
+    """Every order, put into a fresh table by key."""
+    table = KeyedTable(t.store, f"{name}-{uuid.uuid4().hex}", ["o_orderkey"])
+    table.merge(t.raw("orders").select("o_orderkey", "o_orderstatus", "o_custkey"))
+    return table
+
+
+@query("bulk_upserts", "SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders UNION ALL SELECT -o_orderkey, 'N', o_custkey FROM orders WHERE o_orderkey % 200 = 1")
+def _(t):
+    """A keyed table after a batch of changed, equal and new orders, merged twice; the second time writes nothing."""
+    table, rows, k = _orders(t, "orders_keyed"), t.raw("orders"), F.col("o_orderkey")
+    changed = rows.where(k % 50 == 7).select("o_orderkey", F.when(k % 100 == 7, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_custkey")
+    batch = changed.unionByName(rows.where(k % 200 == 1).select((-k).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_custkey"))
+    table.merge(batch)
+    table.merge(batch)
+    return table.read()
+
+
+@query("bulk_upsert_changes", "SELECT 2 AS v, 'updated' AS change, count(*) AS n FROM orders WHERE o_orderkey % 100 = 7 AND o_orderstatus <> 'X' HAVING count(*) > 0 UNION ALL SELECT 2, 'created', count(*) FROM orders WHERE o_orderkey % 200 = 1 HAVING count(*) > 0 UNION ALL SELECT 1, 'created', count(*) FROM orders")
+def _(t):
+    """What each merge changed, from the change table beside the keyed one."""
+    table, rows, k = _orders(t, "orders_changes"), t.raw("orders"), F.col("o_orderkey")
+    changed = rows.where(k % 50 == 7).select("o_orderkey", F.when(k % 100 == 7, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_custkey")
+    table.merge(changed.unionByName(rows.where(k % 200 == 1).select((-k).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_custkey")))
+    return table.changes().groupBy("v", "change").agg(F.count("*").alias("n"))
+
+
+def _text_index(t: Tables, again: bool = False) -> SearchIndex:
+    index = SearchIndex(t.store, "document_search")
+    return index if index.built() and not again else index.build(t.raw("documents"), "doc_id", F.col("text"))
+
+
+FOLDED = "strip_accents(lower(text))"
+
+
+@query("search_grams", f"SELECT gram, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3))) AS gram FROM (SELECT doc_id, {FOLDED} AS f FROM documents)) GROUP BY gram")
+def _(t):
+    """The index built anew: how many texts hold each run of three characters."""
+    return _text_index(t, again=True).counts()
+
+
+@query("indexed_search", f"SELECT doc_id FROM documents WHERE {FOLDED} LIKE '%cionrr%'")
+def _(t):
+    return _text_index(t).search("cIÓnrr").select(F.col("key").alias("doc_id"))
+
+
+@query("indexed_search_wildcards", f"SELECT doc_id FROM documents WHERE {FOLDED} LIKE '%the%ou_nt%'")
+def _(t):
+    return _text_index(t).search("ThÉ%où_nt").select(F.col("key").alias("doc_id"))
+
+
+@query("directory_search", OVERVIEW + " SELECT person_id, slug, nom FROM overview WHERE slug IS NOT NULL AND recherche LIKE '%building customer#0000000%'")
+def _(t):
+    """Persons of the directory by part of their name, through the index of names."""
+    overview, index = _overview(t), SearchIndex(t.store, "person_search", buckets=16, shards=16)
+    if not index.built():
+        index.build(overview, "person_id", F.col("recherche"))
+    found = index.search("Buïlding CUSTOMER#0000000").select(F.col("key").alias("person_id"))
+    return overview.where("slug IS NOT NULL").join(found, "person_id", "left_semi").select("person_id", "slug", "nom")
