@@ -65,11 +65,15 @@ def cut(df: DataFrame, few: bool = False, by: str | None = None) -> DataFrame:
     return written
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def discard(*written: DataFrame) -> None:
     """Delete tables made by `cut` that nothing reads any more; what a result still reads has to stay."""
     for df in written:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_WRITTEN[id(df)]).getParent()
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(df.sparkSession, _WRITTEN[id(df)].rpartition("/")[0])
 
 
 def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:

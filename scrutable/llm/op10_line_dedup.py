@@ -25,7 +25,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, discard, merged
+from .common import cut, delete, discard, merged, shared_folder
 
 BLANK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,7 +36,7 @@ def line_key(line):
 
 
 class SortedRuns:
-    """Levelled runs of (key, owner, fresh): bucketed and sorted tables of the session's catalogue.
+    """Levelled runs of (key, owner, fresh): bucketed and sorted tables of the session's catalogue, in the shared folder.
 
     Table names hold index and level, so the same name opens the same runs again. Only rows with `fresh`
     belong to a run; the others serve the batch that wrote them and go at the next merge.
@@ -54,13 +54,15 @@ class SortedRuns:
 
     def _write(self, keys: DataFrame, level: int) -> str:
         t = f"{self.name}_level{level}_{uuid.uuid4().hex}"
-        keys.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(t)
+        keys.write.format("parquet").option("path", shared_folder(self.spark)).bucketBy(self.buckets, "key").sortBy("key").saveAsTable(t)
         self.levels.setdefault(level, []).append(t)
         return t
 
     def _drop(self, level: int) -> None:
         for t in self.levels.pop(level):
+            (row,) = self.spark.sql(f"DESCRIBE FORMATTED {t}").where("col_name = 'Location'").collect()
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            delete(self.spark, row["data_type"])
 
     def run(self, t: str) -> DataFrame:
         return self.spark.table(t).where("fresh").select("key", "owner")
@@ -125,9 +127,11 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2, min_chars: i
     try:
         for i in range(len(bounds) + 1):
             part = lines.where(F.col("batch") == i)
-            repeated = runs.add(part.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+            # written plainly: with both sides shuffled, the join's hot keys are split, which a bucketed side would prevent
+            repeated = cut(runs.add(part.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))))
             gone = merged(part, repeated, "key").where("doc_id <> owner").select("doc_id", "pos").distinct()
             dropped.append(cut(gone.groupBy("doc_id").agg(F.collect_list("pos").alias("drop"))))
+            discard(repeated)
             runs.compact()
     finally:
         if index is None:

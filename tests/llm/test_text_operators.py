@@ -137,6 +137,30 @@ def test_runs_answer_without_a_shuffle_of_runs(spark):
         runs.drop()
 
 
+def test_a_line_that_most_rows_hold_is_split(spark, monkeypatch):
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    sizes, real = [], op10.merged
+
+    def join(left, right, on, how="inner"):
+        out = real(left, right, on, how)
+        if how == "inner":
+            sizes.append(out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        return out
+
+    monkeypatch.setattr(op10, "merged", join)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("line number "), F.col("id") % 9000)).otherwise("the line of nearly all").alias("text")).repartition(40)
+        got = op10.dedup_lines(docs, batches=1)
+        assert got.where("n_dropped = 1").count() == 54_000 - 1 + 6000 - 900
+        assert sum(sizes[0]) >= 54_000 and max(sizes[0]) <= sum(sizes[0]) / 10
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_one_document_of_very_many_lines(spark):
     text = "\n".join(f"line number {i} of many" for i in range(100_000))
     got = op10.dedup_lines(spark.createDataFrame([(1, text), (2, text + "\nend")], "doc_id long, text string"), batches=1)
