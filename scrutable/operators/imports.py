@@ -144,3 +144,31 @@ def assemble(checked: DataFrame, rollcalls: DataFrame, version: int = 1) -> Data
     by_uid = checked.where("problem IS NULL").groupBy("scrutin_uid").agg(F.array_sort(F.collect_list(entry)).alias("categorisation"))
     head = rollcalls.select("scrutin_uid", "legislature", "numero", "titre")
     return by_uid.join(head, "scrutin_uid").select("scrutin_uid", F.to_json(F.struct(F.lit(version).alias("schema_version"), "scrutin_uid", "legislature", "numero", "titre", "categorisation")).alias("json"))
+
+
+def delete_labels(existing: DataFrame, scrutins: DataFrame, author: str) -> tuple[DataFrame, DataFrame]:
+    """Labels without those of the roll-calls in `scrutins`, and a revision for each that had some: nothing after."""
+    keys = scrutins.select("scrutin_uid").distinct()
+    before = existing.join(keys, "scrutin_uid", "left_semi").groupBy("scrutin_uid").agg(F.to_json(snapshot(*FIELDS)).alias("avant"))
+    return existing.join(keys, "scrutin_uid", "left_anti"), before.select("scrutin_uid", "avant", F.lit("[]").alias("apres"), F.lit(author).alias("author"))
+
+
+def life_cycle(requests: DataFrame) -> DataFrame:
+    """`requests` with their outcome: pending, stale, applied, rejected, decided or unknown.
+
+    Takes (import_id, at, action, preview): a file is staged with the preview that was shown, then accepted or
+    rejected; accepting brings the preview as it is by then. If that differs from the one shown last, nothing is
+    applied, the new one counts as shown, and accepting it again may succeed (`stale`). The first success decides;
+    later requests are refused (`decided`), and so are those for an import that was never staged (`unknown`).
+    """
+    order = Window.partitionBy("import_id").orderBy("at")
+    until, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    staged = requests.withColumn("_known", F.max(F.col("action") == "stage").over(until))
+    # what an unknown import was asked shows nothing
+    shown = F.last(F.when(F.col("_known"), F.col("preview")), ignorenulls=True).over(earlier)
+    same = (F.col("action") == "accept") & F.col("preview").eqNullSafe(F.col("_shown"))
+    ends = F.col("_known") & ((F.col("action") == "reject") | same)
+    rows = staged.withColumn("_shown", shown).withColumn("_ends", ends)
+    rows = rows.withColumn("_over", F.coalesce(F.max("_ends").over(earlier), F.lit(False)))
+    outcome = F.when(~F.col("_known"), "unknown").when(F.col("_over"), "decided").when(F.col("action") == "stage", "pending").when(F.col("action") == "reject", "rejected").when(F.col("_ends"), "applied").otherwise("stale")
+    return rows.withColumn("outcome", outcome).drop("_known", "_shown", "_ends", "_over")

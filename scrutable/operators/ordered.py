@@ -23,7 +23,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], **values: tuple[st
     """`df` with a column for each value: its sum, maximum or last non-null one over the key's rows up to and with this one.
 
     Rows are in ascending order of the columns `order`, nulls first, which must tell the rows of a key apart. The
-    rows are written once to the shared folder, so that all reads see the same partitions. Null keys are a key.
+    rows are written once to the shared folder, so that all reads see the same partitions. Null keys are a key;
+    without keys all rows are of one.
     """
     named = df.withColumns({f"_{n}": c for n, (_, c) in values.items()})
     rows = settled(named.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))

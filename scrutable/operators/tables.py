@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -78,3 +80,24 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """Order-free digest of a table: row count and sums of two row hashes; equal tables have equal digests."""
     row = [F.col(c) for c in sorted(df.columns)]
     return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*row).cast("decimal(38,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(1), *row).cast("decimal(38,0)")).alias("h2"))
+
+
+def totals(votes: DataFrame) -> DataFrame:
+    """(person_id, votes_total, premier_vote, dernier_vote) of votes with (person_id, date_scrutin)."""
+    return votes.groupBy("person_id").agg(F.count("*").alias("votes_total"), F.min("date_scrutin").alias("premier_vote"), F.max("date_scrutin").alias("dernier_vote"))
+
+
+def totals_after(old: DataFrame, added: DataFrame, removed: DataFrame, now: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Totals brought up to date from the votes that came and went, equal to those of all votes as they are now.
+
+    Counts are added and taken off, the first and last day move outwards with what came. Only where a vote went
+    that was a person's first or last are that person's votes read again: `now` gives the votes of the persons it
+    is asked for. Persons left without votes go.
+    """
+    named = lambda rows, sign: totals(rows).select("person_id", *[F.col(c).alias(f"{c}{sign}") for c in ("votes_total", "premier_vote", "dernier_vote")])
+    both = old.join(named(added, "_in"), "person_id", "full").join(named(removed, "_out"), "person_id", "left")
+    n = F.coalesce("votes_total", F.lit(0)) + F.coalesce("votes_total_in", F.lit(0)) - F.coalesce("votes_total_out", F.lit(0))
+    moved = both.select("person_id", n.alias("votes_total"), F.least("premier_vote", "premier_vote_in").alias("premier_vote"), F.greatest("dernier_vote", "dernier_vote_in").alias("dernier_vote"), "premier_vote_out", "dernier_vote_out").where("votes_total > 0")
+    edge = F.coalesce((F.col("premier_vote_out") <= F.col("premier_vote")) | (F.col("dernier_vote_out") >= F.col("dernier_vote")), F.lit(False))
+    again = totals(now(moved.where(edge).select("person_id")))
+    return moved.where(~edge).select("person_id", "votes_total", "premier_vote", "dernier_vote").unionByName(again)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
 from ..operators import imports, intervals, naming, quality, tables as T
+from ..operators.ordered import running
 from ..sources import archives, documents as D, exchange
 from .adapter import Tables, ctes
 from .catalog import _import_rows
@@ -316,13 +317,11 @@ def _(t):
 @query("import_preview", IMPORT + """, p AS (SELECT scrutin_uid, CASE WHEN scrutin_id % 4 = 0 THEN 'creation' WHEN scrutin_id % 4 = 1 THEN 'inchange' WHEN scrutin_id % 2 = 1 OR scrutin_id % 3 = 1 THEN 'conflit' ELSE 'modification' END AS classement FROM scrutin WHERE scrutin_id % 5 <> 0)
  SELECT CAST(row_number() OVER (ORDER BY CASE classement WHEN 'conflit' THEN 0 WHEN 'creation' THEN 1 WHEN 'modification' THEN 2 ELSE 3 END, scrutin_uid) AS INT) AS place, scrutin_uid, classement FROM p""")
 def _(t):
-    """The plan in order of display: conflicts first."""
-    from pyspark.sql import Window
-
+    """The plan in order of display: conflicts first; the place is a running sum over ranges of the order."""
     old, new = _labels(t)
-    shown = imports.display_order(imports.plan(new, old))
     rank = F.expr("CASE classement WHEN 'conflit' THEN 0 WHEN 'creation' THEN 1 WHEN 'modification' THEN 2 ELSE 3 END")
-    return shown.select(F.row_number().over(Window.orderBy(rank, "scrutin_uid")).alias("place"), "scrutin_uid", "classement")
+    shown = imports.plan(new, old).select("scrutin_uid", "classement", rank.alias("rang"))
+    return running(shown, [], ["rang", "scrutin_uid"], place=("sum", F.lit(1))).select(F.col("place").cast("int").alias("place"), "scrutin_uid", "classement")
 
 
 @query("label_export_columns", ctes("scrutin", "scrutin_label") + """ SELECT '1' AS schema_version, scrutin_uid, CAST(legislature AS VARCHAR) AS legislature, CAST(numero AS VARCHAR) AS numero, CAST(date_scrutin AS VARCHAR) AS date, titre, type_code AS type, '' AS sort, CAST(pour AS VARCHAR) AS pour, CAST(contre AS VARCHAR) AS contre, CAST(abstentions AS VARCHAR) AS abstentions, CAST(CAST(participation AS DECIMAL(9,3)) AS VARCHAR) AS participation,

@@ -7,14 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import anomalies, imports, intervals, naming, score_run, tables as T
+from ..operators import anomalies, imports, intervals, naming, quality, score_run, tables as T
 from ..sources import exchange, metadata
 from ..sources.keyed import KeyedTable
 from ..sources.search import SearchIndex
 from ..streaming import events as streaming
 from . import reads
 from .adapter import Tables, ctes
-from .catalog import BASE, CONTRIBUTION, ELIGIBLE, FOLD, GROUPED, MANDATE, OVERVIEW, PERSON_SCORE, SCORED, _overview, _raw_mandates, _tally, current, recompute
+from .catalog import BASE, CONTRIBUTION, ELIGIBLE, FOLD, GROUPED, MANDATE, OVERVIEW, PERSON_SCORE, SCORED, _contributions, _overview, _raw_mandates, _tally, current, recompute
 from .registry import query
 
 NOW = datetime.datetime(2024, 1, 2)
@@ -411,3 +411,48 @@ def _(t):
         index.build(overview, "person_id", F.col("recherche"))
     found = index.search("Buïlding CUSTOMER#0000000").select(F.col("key").alias("person_id"))
     return overview.where("slug IS NOT NULL").join(found, "person_id", "left_semi").select("person_id", "slug", "nom")
+
+
+@query("totals_refreshed", ctes("scrutin") + " SELECT person_id, count(*) AS votes_total, min(date_scrutin) AS premier_vote, max(date_scrutin) AS dernier_vote FROM vote JOIN scrutin USING (scrutin_id) WHERE scrutin_id % 10 NOT IN (1, 3) GROUP BY person_id")
+def _(t):
+    """Vote totals after votes came (those of roll-calls ending in 0 or 2) and went (1 or 3), from the totals before and these alone."""
+    votes = t.vote().join(t.scrutin().select("scrutin_id", "date_scrutin"), "scrutin_id")
+    last = F.col("scrutin_id") % 10
+    now = votes.where(~last.isin(1, 3))
+    return T.totals_after(T.totals(votes.where(~last.isin(0, 2))), votes.where(last.isin(0, 2)), votes.where(last.isin(1, 3)), lambda persons: now.join(persons, "person_id", "left_semi"))
+
+
+@query("contribution_rules_broken", BASE + ELIGIBLE + CONTRIBUTION + """ SELECT person_id, theme_id, scrutin_id FROM contribution WHERE (position = 'abstention' AND scrutin_id % 4 IN (0, 1)) OR (position <> 'abstention' AND (scrutin_id % 4 = 2 OR (exclusion IS NOT NULL AND scrutin_id % 4 = 3)))""")
+def _(t):
+    """Contributions made to break the rules one way or another, and those that are found to."""
+    rows = _contributions(t)
+    k, absent = F.col("scrutin_id") % 4, F.col("position") == "abstention"
+    broken = rows.withColumns({
+        "poids": F.when(absent & (k == 0), 0.5).when(~absent & F.col("exclusion").isNotNull() & (k == 3), 0.25).otherwise(F.col("poids")),
+        "apport": F.when(~absent & (k == 2), None).otherwise(F.col("apport")),
+        "exclusion": F.when(absent & (k == 1), None).otherwise(F.col("exclusion")),
+    })
+    return quality.contribution_rules(broken).select("person_id", "theme_id", "scrutin_id")
+
+
+@query("import_life_cycle", """WITH RECURSIVE r AS (SELECT user_id AS import_id, event_id, CASE WHEN event_type = 'click' THEN 'stage' WHEN event_id % 17 = 0 THEN 'reject' ELSE 'accept' END AS action, event_id % 3 AS preview, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ s AS (SELECT DISTINCT import_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, '' AS outcome, FALSE AS known, FALSE AS done, CAST(NULL AS BIGINT) AS shown FROM r
+ UNION ALL SELECT s.import_id, r.i, r.event_id, CASE WHEN NOT (s.known OR r.action = 'stage') THEN 'unknown' WHEN s.done THEN 'decided' WHEN r.action = 'stage' THEN 'pending' WHEN r.action = 'reject' THEN 'rejected' WHEN r.preview = s.shown THEN 'applied' ELSE 'stale' END,
+  s.known OR r.action = 'stage', s.done OR (s.known AND (r.action = 'reject' OR (r.action = 'accept' AND r.preview = s.shown))), CASE WHEN s.known OR r.action = 'stage' THEN r.preview END FROM s JOIN r ON r.import_id = s.import_id AND r.i = s.i + 1)
+ SELECT event_id, outcome FROM s WHERE i > 0""")
+def _(t):
+    """Every event as a request on the import of its user: staged, accepted with the preview of the moment, or rejected."""
+    k = F.col("event_id")
+    action = F.when(F.col("event_type") == "click", "stage").when(k % 17 == 0, "reject").otherwise("accept")
+    requests = t.raw("events").select(F.col("user_id").alias("import_id"), F.struct("ts", "event_id").alias("at"), action.alias("action"), (k % 3).alias("preview"), k)
+    return imports.life_cycle(requests).select("event_id", "outcome")
+
+
+@query("deleted_labels", ctes("scrutin", "scrutin_label") + " SELECT scrutin_uid, count(*) AS avant, CAST(0 AS BIGINT) AS apres, (SELECT count(*) FROM scrutin_label WHERE scrutin_id % 6 <> 0) AS restants FROM scrutin_label JOIN scrutin USING (scrutin_id) WHERE scrutin_id % 6 = 0 GROUP BY scrutin_uid")
+def _(t):
+    """The labels of every sixth roll-call deleted: a revision each, and how many labels stay."""
+    three = lambda c: F.col(c).cast("decimal(4,3)").cast("string").alias(c)
+    labels = t.scrutin_label().join(t.scrutin().select("scrutin_id", "scrutin_uid"), "scrutin_id").select("scrutin_uid", F.concat(F.lit("theme-"), F.col("theme_id")).alias("theme"), three("poids"), three("position_pour"), three("confiance"), F.lit("une raison").alias("justification"))
+    after, told = imports.delete_labels(labels, t.scrutin().where("scrutin_id % 6 = 0"), "admin")
+    n = lambda c: F.size(F.from_json(c, "array<struct<theme:string>>")).cast("long").alias(c)
+    return told.select("scrutin_uid", n("avant"), n("apres")).crossJoin(F.broadcast(after.agg(F.count("*").alias("restants"))))

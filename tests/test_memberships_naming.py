@@ -179,3 +179,20 @@ def test_quality_rules_both_ways(spark):
     people = spark.createDataFrame([("PA1", None), (None, None)], "an_uid string, wikidata_qid string")
     assert quality.persons_without_identifier(people).count() == 1
     assert quality.bad_threshold(spark.createDataFrame([(0.0,), (0.5,)], "participation_min double")).count() == 1
+
+
+def test_import_life_cycle(spark):
+    asked = [
+        (1, 1, "accept", 7), (1, 2, "stage", 1), (1, 3, "accept", 2), (1, 4, "accept", 2), (1, 5, "reject", None), (1, 6, "accept", 2),
+        (2, 1, "stage", 1), (2, 2, "reject", None), (2, 3, "stage", 3),
+        (3, 1, "reject", None), (4, 1, "stage", None), (4, 2, "accept", 5), (4, 3, "accept", 6), (4, 4, "accept", 6),
+    ]
+    got = imports.life_cycle(spark.createDataFrame(asked, "import_id long, at long, action string, preview long")).orderBy("import_id", "at").collect()
+    assert [r.outcome for r in got] == ["unknown", "pending", "stale", "applied", "decided", "decided", "pending", "rejected", "decided", "unknown", "pending", "stale", "stale", "applied"]
+
+
+def test_deleted_labels_leave_a_revision(spark):
+    labels = spark.createDataFrame([("a", "t", "1.000", "0.500", "0.500", "because of it"), ("b", "t", "1.000", "0.500", "0.500", "because of it")], "scrutin_uid string, theme string, poids string, position_pour string, confiance string, justification string")
+    after, told = imports.delete_labels(labels, spark.createDataFrame([("a",), ("c",)], "scrutin_uid string"), "me")
+    assert [r.scrutin_uid for r in after.collect()] == ["b"]
+    assert [(r.scrutin_uid, r.apres, r.author) for r in told.collect()] == [("a", "[]", "me")] and "because" in told.first().avant

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from scrutable.operators import intervals, naming, ordered
+from scrutable.operators import intervals, naming, ordered, tables
 
 DAY = datetime.date(2000, 1, 1)
 
@@ -166,3 +166,17 @@ def test_phantom_groups_are_filled_only_where_a_membership_is_found(spark):
     seats = spark.createDataFrame([(1, 1, 44, DAY, None)], "person_id long, mandat_id long, organe_id long, debut date, fin_exclusive date")
     got = intervals.groups_from_memberships(votes, seats).collect()
     assert sorted(((r.person_id, r.organe_id, r.groupe_from_mandat) for r in got), key=str) == sorted([(1, 5, False), (1, 44, True), (2, None, False), (None, None, False), (1, 9, False)], key=str)
+
+
+def test_totals_follow_what_came_and_went(spark):
+    rng = random.Random(9)
+    votes = [(rng.randint(1, 30), DAY + datetime.timedelta(days=rng.randint(0, 40)), rng.choice(["old", "old", "new", "gone"])) for _ in range(400)]
+    df = spark.createDataFrame(votes, "person_id long, date_scrutin date, what string")
+    asked = []
+
+    def now(persons):
+        asked.append(persons.count())
+        return df.where("what <> 'gone'").join(persons, "person_id", "left_semi")
+
+    got = tables.totals_after(tables.totals(df.where("what <> 'new'")), df.where("what = 'new'"), df.where("what = 'gone'"), now)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tables.totals(df.where("what <> 'gone'")).collect())) and 0 < asked[0] < 30
