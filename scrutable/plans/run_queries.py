@@ -456,3 +456,14 @@ def _(t):
     after, told = imports.delete_labels(labels, t.scrutin().where("scrutin_id % 6 = 0"), "admin")
     n = lambda c: F.size(F.from_json(c, "array<struct<theme:string>>")).cast("long").alias(c)
     return told.select("scrutin_uid", n("avant"), n("apres")).crossJoin(F.broadcast(after.agg(F.count("*").alias("restants"))))
+
+
+@query("csv_round_trip", ctes("scrutin", "scrutin_label") + """ SELECT scrutin_uid, 'theme-' || theme_id AS theme, CAST(poids AS VARCHAR) AS poids, CAST(position_pour AS VARCHAR) AS position_pour, CAST(confiance AS VARCHAR) AS confiance, 'dit "ainsi", et' || chr(10) || 'pas autrement' AS justification
+ FROM scrutin JOIN scrutin_label USING (scrutin_id) WHERE chambre = 'assemblee' AND participation >= 0.5""")
+def _(t):
+    """The label file written whole and read back as an import: what a file keeps of the labels, line breaks and quotes too."""
+    groups = t.scrutin_groupe().join(t.organe(), "organe_id").select("scrutin_id", "rang", F.col("libelle_abrege").alias("abrege"), F.lit(None).cast("string").alias("position_majoritaire"))
+    labels = t.scrutin_label().select("scrutin_id", F.concat(F.lit("theme-"), F.col("theme_id")).alias("theme"), "poids", "position_pour", "confiance", F.lit('dit "ainsi", et\npas autrement').alias("justification"))
+    path = f"{t.store.folder}/label_files/{uuid.uuid4().hex}"
+    exchange.csv_rows(exchange.export(t.scrutin(), groups, labels)).write.csv(path, header=True, escape='"')
+    return exchange.read_csv(t.spark, path).drop("source")

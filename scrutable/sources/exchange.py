@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.ordered import running
+
 VERSION, MAX_ROWS = 1, 25_000
 #: Columns of the CSV exchange file, in order.
 COLUMNS = ["schema_version", "scrutin_uid", "legislature", "numero", "date", "titre", "type", "sort", "pour", "contre", "abstentions", "participation", "positions_groupes", "url_an", "theme", "poids", "position_pour", "confiance", "justification"]
@@ -118,11 +120,9 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 def lots(rollcalls: DataFrame, size: int, key: Column, without: Column | None = None) -> DataFrame:
     """Roll-calls dealt into lots: texts in order of their first date, `size` texts a lot: (lot, texte, scrutins).
 
-    The rank of a text is found by a range-partitioned sort and counts of whole partitions, not in one task.
+    The rank of a text is a running sum over range partitions of that order.
     """
     rows = rollcalls if without is None else rollcalls.where(~without)
     texts = rows.groupBy(key.alias("texte")).agg(F.min("date_scrutin").alias("debut"), F.array_sort(F.collect_list(F.struct("date_scrutin", "scrutin_uid", "titre"))).alias("scrutins"))
-    ordered = texts.repartitionByRange("debut", "texte").sortWithinPartitions("debut", "texte").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)).persist()
-    counts = ordered.groupBy("_p").agg(F.count("*").alias("n"))
-    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return ordered.join(F.broadcast(before), "_p").select((F.floor((F.col("before") + F.col("_i")) / size) + 1).cast("int").alias("lot"), "texte", "scrutins")
+    ranked = running(texts, [], ["debut", "texte"], rang=("sum", F.lit(1).cast("long")))
+    return ranked.select((F.floor((F.col("rang") - 1) / size) + 1).cast("int").alias("lot"), "texte", "scrutins")
