@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from os.path import commonprefix
 
@@ -93,13 +94,15 @@ class Vocabulary:
 
 
 class Remembered(dict):
-    """A bounded memory of a function of strings: looked up in C, computed where missing."""
+    """A bounded memory of a function of strings: looked up in C, computed where missing; keys over `longest` are not kept."""
 
-    def __init__(self, function, limit: int = CACHE):
+    def __init__(self, function, limit: int = CACHE, longest: int = 1 << 16):
         super().__init__()
-        self.function, self.limit = function, limit
+        self.function, self.limit, self.longest = function, limit, longest
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.function(key)
         if len(self) >= self.limit:
             self.clear()
         self[key] = value = self.function(key)
@@ -115,6 +118,15 @@ def special_splitter(special):
     return regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")")
 
 
+def newer_characters() -> re.Pattern:
+    """Characters that Unicode tables of different years may read differently: assigned since 3.2 or not at all.
+
+    Signs and emoji are the same in all of them and stay out, as most texts with characters that new hold those.
+    """
+    newer = [c for c in map(chr, range(0x10000)) if unicodedata.ucd_3_2_0.category(c) == "Cn" and unicodedata.category(c) not in ("So", "Sm", "Sc")]
+    return re.compile("[" + "".join(newer) + "\U00010000-\U0001EFFF\U0001FBF0-\U0010FFFF]")
+
+
 def normal(text: str) -> str:
     """NFC, then each character lower-cased by itself (no final-sigma rule)."""
     if not text.isascii():

@@ -7,6 +7,10 @@ words, so each task merges a fragment once and looks it up afterwards.
 Nulls and empty texts have no tokens; every row gives one row, repeated rows repeat; only the id and the
 text are read, so further columns, whatever their names, do not matter. Texts of any length are encoded
 whole; an empty table gives no rows. A text whose special strings occur verbatim yields their ids.
+
+Which characters are letters, how they compose and what their lower case is depends on the year of a Unicode
+table. Texts with characters on which tables may differ are normalised and split by the tokenizers library's
+own functions, so that they come out as it has them; cuts, merges and ids are the operator's own for all.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
-from .bpe import WORD_PATTERN, Remembered, Vocabulary, normal, special_mark, special_splitter
+from .bpe import WORD_PATTERN, Remembered, Vocabulary, newer_characters, normal, special_mark, special_splitter
 from .common import ship
 from .kernels import slices
 
@@ -31,7 +36,9 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.inside = vocabulary, vocabulary.forced_pairs()
         self.split, self.mark = special_splitter(vocabulary.special), special_mark(vocabulary.special)
-        self.find = regex.compile(WORD_PATTERN).findall
+        self.find, self.newer = regex.compile(WORD_PATTERN).findall, newer_characters()
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.splitter = pre_tokenizers.Split(Regex(WORD_PATTERN), "removed", invert=True)
         self.fragment = Remembered(lambda key: self.v.merge(self.v.symbols(key[1:], key[0] == "e")))
         self.word = Remembered(self.encode_word)
         self.shown = Remembered(lambda ids: " ".join(self.v.tokens[int(i)] for i in np.frombuffer(ids, "<u4")))
@@ -46,6 +53,12 @@ class Codec:
         ids += self.fragment["e" + text[at:]]
         return np.array(ids, "<u4").tobytes()
 
+    def words(self, part: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
+        if part.isascii() or not self.newer.search(part):
+            return self.find(normal(part))
+        return [word for word, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
+
     def encode(self, text: str | None) -> list[bytes]:
         """The ids of each pre-token of a whole text."""
         out: list[bytes] = []
@@ -54,7 +67,7 @@ class Codec:
             if part in self.v.special:
                 out.append(np.array([self.v.special[part]], "<u4").tobytes())
             elif part:
-                out += map(self.word.__getitem__, self.find(normal(part)))
+                out += map(self.word.__getitem__, self.words(part))
         return out
 
     def decode(self, pieces: list[bytes]) -> str:
