@@ -127,10 +127,19 @@ class CharModel:
 
 # --- decoding ------------------------------------------------------------------------------------
 
+def spelled(link: tuple | None) -> str:
+    """The letters along a chain of links, from its start."""
+    pieces = []
+    while link is not None:
+        piece, link = link
+        pieces.append(piece)
+    return "".join(reversed(pieces))
+
+
 class Decoder:
     def __init__(self, model: CharModel):
         self.model = model
-        self.restore = Remembered(self.decode)
+        self.restore = Remembered(self.decode, longest=64)  # longer words hardly repeat
 
     def arcs(self, c: str, n: int) -> list[tuple[str, float]]:
         """What a run of n equal characters can stand for, with channel cost."""
@@ -146,25 +155,29 @@ class Decoder:
         return out
 
     def path(self, text: str) -> tuple[float, str]:
-        """Best restored word of a lattice and its score."""
-        best: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
+        """Best restored word of a lattice and its score.
+
+        A state keeps its last letters and a link to the state before, so work and memory are linear in the word.
+        """
+        best: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
         i = 0
         while i < len(text):
             j = i
             while j < len(text) and text[j] == text[i]:
                 j += 1
-            step: dict[str, tuple[float, str]] = {}
+            step: dict[str, tuple[float, tuple | None]] = {}
             arcs = self.arcs(text[i], j - i)
-            for state, (score, word) in best.items():
+            for state, (score, link) in best.items():
                 for letters, cost in arcs:
                     s, total = state, score + cost
                     for c in letters:
                         total += self.model.log(s, c)
                         s = s[1] + c
                     if s not in step or total > step[s][0]:
-                        step[s] = (total, word + letters)
+                        step[s] = (total, (letters, link))
             best, i = step, j
-        return max(((score + self.model.log(s, " "), word) for s, (score, word) in best.items()), default=(0.0, ""))
+        ends = [(score + self.model.log(s, " "), spelled(link)) for s, (score, link) in best.items()]
+        return max(ends, default=(0.0, ""))
 
     def plain(self, text: str) -> float:
         """Score of a word as written: its runs of letters as words; signs before a letter cost what dropping costs."""
@@ -191,8 +204,12 @@ class Decoder:
         given, text = text, _CHAIN.sub(self.joined, text)
         kept = token if text == given else text
         core = text.strip(PUNCTUATION)
-        while len(core) > 2 and core[-1] == core[-2] == core[-3] and not core[-1].isalpha():
-            core = core.rstrip(core[-1])
+        size = len(core)
+        while size > 2 and core[size - 1] == core[size - 2] == core[size - 3] and not core[size - 1].isalpha():
+            last = core[size - 1]
+            while size and core[size - 1] == last:
+                size -= 1
+        core = core[:size]
         if not any(c.isalpha() for c in core):
             return kept
         forms = dict.fromkeys([core, text.strip(_EDGE), core.rstrip(_SIGNS + PUNCTUATION)])

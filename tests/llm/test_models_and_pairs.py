@@ -1,7 +1,10 @@
 """Learned and pairwise operators: held-out accuracy, brute force, edge cases; the pipeline stage by stage."""
 
+import itertools
 import os
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -164,6 +167,30 @@ def test_every_disguise_reaches_the_decoder(spark):
     assert all(op1.suspects(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])) for w in ("a$$", "a55", "ki11", "fr33", "shi7", "a€", "ééé", "É.é.é", "no!"))
 
 
+def test_best_path_of_small_lattices_is_the_best_of_all(spark):
+    counts = op1.count_trigrams(spark.createDataFrame([(t,) for t in ["idiot stupid letter hello book bottle"] * 9], "text string")).toPandas()
+    d = op1.Decoder(op1.CharModel(counts["gram"].to_numpy(), counts["n"].to_numpy()))
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("idotbl013$!|@t") for _ in range(rng.randint(1, 7)))
+        arcs = [d.arcs(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", text)]
+        each = [("".join(x for x, _ in way), sum(c for _, c in way)) for way in itertools.product(*arcs)]
+        score, word = d.path(text)
+        best = max(d.model.word(x) + cost for x, cost in each)
+        assert abs(score - best) < 1e-9 and max(d.model.word(x) + cost for x, cost in each if x == word) > best - 1e-9
+
+
+def test_words_of_any_length_are_decoded_in_linear_time(spark):
+    counts = op1.count_trigrams(spark.createDataFrame([("idiot stupid letter hello",)], "text string")).toPandas()
+    d = op1.Decoder(op1.CharModel(counts["gram"].to_numpy(), counts["n"].to_numpy()))
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400_000))
+    begun = time.process_time()
+    d.decode(word), d.decode("a" + "1122" * 100_000), d.decode("a." * 200_000)
+    assert time.process_time() - begun < 60
+    assert not d.restore and d.restore[word] and not d.restore
+
+
 def test_both_ways_restore_alike(spark, docs):
     texts = ["an idiot and a clown said that the moron is pathetic and worthless trash; coffee letters good fuck"] * 50
     train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
