@@ -27,6 +27,7 @@ _AS_IS = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS
 _DEAL = "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
 _MIT = f"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), {_DEAL}"
 _ENDORSE = "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+HOLDER = "the copyright holder"  # stands for whoever is named
 _USE = "for any purpose with or without fee is hereby granted"
 _HOPE = "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"
 _NOTICE = "the above copyright notice and this permission notice"
@@ -44,7 +45,7 @@ TEXTS = {
     "BSDsource": [f"Redistributions of source code must retain the {x}, this list of conditions and the following disclaimer" for x in ("above copyright notice", "copyright notice")],
     "BSDbinary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "BSDadvert": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
-    "BSDendorse": [f"Neither the name of {x} {_ENDORSE}" for x in ("the copyright holder", "the copyright holders", "the University", "the author", "the organization", "the project")],
+    "BSDendorse": [f"Neither the name of {HOLDER} {_ENDORSE}"],
     "ISCgrant": [f"Permission to use, copy, modify, {a}distribute this software {_USE}, provided that {_NOTICE} appear in all copies" for a in ("and/or ", "and ")],
     "0BSDgrant": [f"Permission to use, copy, modify, {a}distribute this software {_USE}" for a in ("and/or ", "and ")],
     "PGgrant": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"],
@@ -70,7 +71,7 @@ for _later, _only, _ref, _name, _version in (
 ):
     _terms = f"you can redistribute it and/or modify it under the terms of the {_name}"
     _forms = [f"{_terms} as published by the Free Software Foundation"]
-    TEXTS[_later] = [f"{head}{x}, either version {_version} of the License, or (at your option) any later version" for x in _forms for head in ("", "This program is free software, ", "This library is free software, ")]
+    TEXTS[_later] = [f"{head}{x}, {v}, or (at your option) any later version" for x in _forms for v in (f"either version {_version} of the License", f"either version {_version}", f"version {_version} of the License") for head in ("", "This program is free software, ", "This library is free software, ")]
     TEXTS[_only] = [f"{x}{v}" for x in _forms for v in (f", version {_version} of the License", f", version {_version}")] + [f"{_terms} version {_version} as published by the Free Software Foundation", f"{_terms} version {_version} only, as published by the Free Software Foundation"]
 #: Names that a mention may give, by identifier: full ones, that may stand by themselves, and short ones.
 FULL = {
@@ -186,9 +187,18 @@ LABELS = ["license ", "licence ", "spdx license identifier "]
 WITHOUT_LABEL = ["", "the "]
 
 
+PLUS = r"([0-9])\+(?![a-z0-9])"  # "GPL-2.0+" is another licence than "GPL-2.0"
+
+
 def normal(sentence: str) -> str:
-    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+    return re.sub("[^a-z0-9]+", " ", re.sub(PLUS, r"\1 or later", sentence.lower())).strip()
+
 
+#: A sentence against endorsement, whoever is named, and the one that stands for all of them.
+_WHO = "(?:[a-z0-9]+ ){1,20}"
+ENDORSEMENT = f"(?:neither the names? of {_WHO}nor the names? of {_WHO}(?:may|must)|the names? of {_WHO}(?:may|must) not) be used to endorse or promote products derived from this software without (?:specific )?prior written permission"
+ENDORSED = normal(TEXTS["BSDendorse"][0])
+SPDX = "spdx license identifier "
 
 SENTENCES = {normal(s): i for i, group in TEXTS.items() for s in group}
 NAMES = {normal(s): i for kind in (SHORT, FULL) for i, group in kind.items() for s in group}
@@ -207,19 +217,26 @@ def _any(words) -> str:
 
 
 FRAME = f"(?:(?:{_any(SUBJECTS)} )?{_any(VERBS)} under {_any(BEFORE)}|{_any(LABELS)})"
+#: An exception in an SPDX expression, such as "WITH Classpath-exception-2.0".
+EXCEPTION = " with(?: [a-z0-9]+){1,5}? (?:exception|note)(?: [0-9]+)*"
+_ONE = f"{_any(NAMES)}(?:{EXCEPTION})?"
+EXPRESSION = f"{SPDX}{_ONE}(?: (?:or|and) {_ONE})*"
 #: A known sentence or mention in one part or several, from the start of a part to the end of one; longer ones first.
-KNOWN = f"(?<=\n)(?:{_any(SENTENCES)}|{FRAME}{_any(NAMES)}|{_any(WITHOUT_LABEL)}{_any(ALONE)})(?=\n)".replace(" ", "[ \n]")
+KNOWN = f"(?<=\n)(?:{_any(SENTENCES)}|{ENDORSEMENT}|{EXPRESSION}|{FRAME}{_any(NAMES)}|{_any(WITHOUT_LABEL)}{_any(ALONE)})(?=\n)".replace(" ", "[ \n]")
 
 
 def identifiers(text):
     """Array of the identifiers of a text's known sentences, in order."""
     lines = F.concat(F.lit("\n"), F.translate(text, UPPER, LOWER), F.lit("\n"))
-    parts = F.regexp_replace(F.regexp_replace(F.regexp_replace(lines, HEAD, "\n"), STOP, "\n"), "[^a-z0-9\n]+", " ")
+    heads = F.regexp_replace(F.regexp_replace(lines, HEAD, "\n"), PLUS, "$1 or later")
+    parts = F.regexp_replace(F.regexp_replace(heads, STOP, "\n"), "[^a-z0-9\n]+", " ")
     parts = F.regexp_replace(parts, " ?\n[ \n]*", "\n")
     known = F.from_json(F.lit(json.dumps(NAMES | SENTENCES)), "map<string,string>")
     name = lambda s: F.try_element_at(known, F.regexp_replace(s, f"^(?:{FRAME}|the (?={_any(ALONE)}$))", ""))
-    one = lambda s: F.coalesce(F.try_element_at(known, s), name(s))
-    found = F.transform(F.regexp_extract_all(parts, F.lit(KNOWN), F.lit(0)), lambda s: one(F.translate(s, "\n", " ")))
+    one = lambda s: F.coalesce(F.try_element_at(known, s), F.when(s.rlike(f"^{ENDORSEMENT}$"), F.lit("BSDendorse")), name(s))
+    named = lambda s: F.split(F.regexp_replace(F.substring(s, len(SPDX) + 1, 1 << 30), EXCEPTION, ""), " (?:or(?! later)|and) ")
+    ids = lambda s: F.when(F.startswith(s, F.lit(SPDX)), F.transform(named(s), lambda x: F.try_element_at(known, x))).otherwise(F.array(one(s)))
+    found = F.flatten(F.transform(F.regexp_extract_all(parts, F.lit(KNOWN), F.lit(0)), lambda s: ids(F.translate(s, "\n", " "))))
     return F.when(F.translate(text, UPPER, LOWER).rlike(CUES), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -255,10 +272,14 @@ def _oracle(spans: int = 20) -> str:
 lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ln FROM documents),
 heads AS (SELECT doc_id, ln, regexp_replace(regexp_replace(regexp_replace(ltrim(translate(line, '{UPPER}', '{LOWER}'), ' #*/;-%!|>"' || chr(9) || chr(13)), '^(dnl|rem)\\b', ''), '^[^a-z0-9(]+', ''), '^\\(?[0-9a-z]{{1,2}}[.)][ \\t]+', '') AS line FROM lines),
 cut AS (SELECT doc_id, ln, unnest(string_split_regex(line, '[.!?:;]([ \\t\\r\\f\\v]+|$)')) AS p, generate_subscripts(string_split_regex(line, '[.!?:;]([ \\t\\r\\f\\v]+|$)'), 1) AS sub FROM heads),
-part AS (SELECT doc_id, list(p ORDER BY ln, sub) AS ps FROM (SELECT doc_id, ln, sub, trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g')) AS p FROM cut) WHERE p <> '' GROUP BY doc_id),
+part AS (SELECT doc_id, list(p ORDER BY ln, sub) AS ps FROM (SELECT doc_id, ln, sub, trim(regexp_replace(regexp_replace(p, '([0-9])\\+([^a-z0-9]|$)', '\\1 or later\\2', 'g'), '[^a-z0-9]+', ' ', 'g')) AS p FROM cut) WHERE p <> '' GROUP BY doc_id),
 spot AS (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM part),
-run AS (SELECT doc_id, i, n, array_to_string(ps[i:i + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, least({spans}, len(ps) - i + 1) + 1)) AS n FROM spot)),
-best AS (SELECT doc_id, i, max(n) AS n, arg_max(id, n) AS id FROM run JOIN known USING (k) GROUP BY doc_id, i),
+given AS (SELECT doc_id, i, n, array_to_string(ps[i:i + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, least({spans}, len(ps) - i + 1) + 1)) AS n FROM spot)),
+run AS (SELECT doc_id, i, n, CASE WHEN k LIKE '% to endorse or promote products %' AND regexp_full_match(k, '{ENDORSEMENT}') THEN '{ENDORSED}' ELSE k END AS k FROM given),
+expression AS (SELECT k, string_split_regex(regexp_replace(replace(substr(k, {len(SPDX) + 1}), ' or later', ' orlater'), '{EXCEPTION}', '', 'g'), ' (or|and) ') AS names FROM (SELECT DISTINCT k FROM run WHERE k LIKE '{SPDX}%')),
+term AS (SELECT k, len(names) AS m, replace(unnest(names), ' orlater', ' or later') AS term, generate_subscripts(names, 1) AS j FROM expression),
+spdx AS (SELECT k, string_agg(id, '><' ORDER BY j) AS id FROM term JOIN {_values(NAMES.items())} AS name(term, id) USING (term) GROUP BY k HAVING count(*) = max(m)),
+best AS (SELECT doc_id, i, max(n) AS n, arg_max(id, n) AS id FROM run JOIN (SELECT k, id FROM known UNION SELECT k, id FROM spdx) USING (k) GROUP BY doc_id, i),
 walk AS (SELECT doc_id, CAST(1 AS BIGINT) AS nxt, '' AS ids FROM documents
  UNION ALL SELECT doc_id, i + n, ids || '<' || id || '>' FROM (SELECT w.doc_id, w.ids, b.i, b.n, b.id, row_number() OVER (PARTITION BY w.doc_id ORDER BY b.i) AS first FROM walk w JOIN best b ON b.doc_id = w.doc_id AND b.i >= w.nxt) WHERE first = 1),
 r0 AS (SELECT doc_id, ids, ids AS seq, '' AS names FROM (SELECT doc_id, arg_max(ids, nxt) AS ids FROM walk GROUP BY doc_id))"""

@@ -52,6 +52,16 @@ def test_codec_equals_library(spark, docs, documents, no_docs):
     assert op3.encode_decode(no_docs, tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_every_character_as_the_library():
+    lib, codec = library("word_bpe_49k.json"), op3.Codec(Vocabulary(tokenizer("word_bpe_49k.json")))
+    characters = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(characters), 512):
+        for form in ("{}", "e{}\u0301", "b{}1"):
+            words = [form.format(c) for c in characters[i : i + 512]]
+            for text in (" ".join(words), " ".join(w for w in words if not codec.newer.search(w))):
+                assert np.frombuffer(b"".join(codec.encode(text)), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, (i, form)
+
+
 def test_forced_cuts_never_split_a_token():
     v = Vocabulary(tokenizer("word_bpe_49k.json"))
     inside = v.forced_pairs()
@@ -358,6 +368,15 @@ NOTICES += [
     (["OFL11ref"], ["OFL-1.1"], "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
     # grants around another licence's block never join into a third licence
     (["BSDgrant", "MITgrant", "MITnotice", "MITwarranty", "BSDsource", "BSDbinary"], ["MIT"], BSD.split("\n\n")[0] + "\n\n" + NOTICES[3][2] + "\n\n" + BSD.split("\n\n", 1)[1]),
+    *[(["BSDgrant", "BSDsource", "BSDbinary", "BSDendorse"], ["BSD-3-Clause"], BSD + f"\n\n3. {clause} be used to endorse or promote products derived from\n   this software without {x}prior written permission.") for x, clause in (
+        ("specific ", "Neither the name of Google Inc. nor the names of its\n   contributors may"), ("specific ", "Neither the name of the University of California, Berkeley nor the names of\n   its contributors may"),
+        ("", "The name of the author may not"), ("specific ", "Neither the names of the copyright holders nor the names of their\n   contributors may"), ("specific ", "The names of the contributors must not"))],
+    *[([ids, "GPLwarranty"], [name], GPL.format(";", ",", v).replace(f"version {v} of the License", f"version {v}")) for ids, name, v in (("GPLfree", "GPL-3.0-or-later", 3), ("GPL2free", "GPL-2.0-or-later", 2))],
+    (["MITref", "Apache2ref"], ["MIT", "Apache-2.0"], "SPDX-License-Identifier: MIT OR Apache-2.0"),
+    (["GPL2later", "MITref", "BSD3ref"], ["MIT", "GPL-2.0-or-later", "BSD-3-Clause"], "SPDX-License-Identifier: (GPL-2.0-or-later OR MIT) AND BSD-3-Clause"),
+    (["GPL2ref", "MITref"], ["MIT", "GPL-2.0-only"], "SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note OR MIT"),
+    (["GPL2ref"], ["GPL-2.0-only"], "SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0\nNote that more follows here"),
+    ([], [], "SPDX-License-Identifier: MIT OR\nNothing-Known"),
     (["MITref", "MITgrant", "MITnotice", "MITwarranty"], ["MIT"], "The MIT License (MIT)\n\nCopyright (c) 2020 A. B.\n\n" + NOTICES[3][2]),
 ]
 MENTIONS = {
