@@ -268,6 +268,19 @@ def test_many_languages_need_several_words(spark):
     assert got == 0
 
 
+def test_filters_too_large_to_broadcast_decide_alike(spark, docs, no_docs):
+    rng = random.Random(8)
+    words = {f"l{i:02d}": ["".join(rng.choice("abcdefghijklmnopéß漢字") for _ in range(rng.randint(1, 6))) for _ in range(30)] for i in range(70)}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(12)), lang) for i, lang in enumerate(sorted(words) * 6)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    near, far = op5.fit(train), op5.fit(train, broadcast_slots=0)
+    assert isinstance(far, op5.StoredFilters) and near.false.tolist() == far.false.tolist()
+    asked = docs.select("doc_id", "text").union(train.select("doc_id", "text")).union(spark.createDataFrame([(None, None), (3, "12 !"), (3, "")], "doc_id long, text string"))
+    say = lambda filters: sorted((-1 if r.doc_id is None else r.doc_id, r.lang_pred, r.score) for r in op5.predict(asked, filters).collect())
+    assert say(near) == say(far)
+    assert op5.predict(no_docs, far).count() == 0
+
+
 def test_languages_equal_exact_sets(spark):
     """The filters against sets of n-grams that are exact: same language wherever the exact rates are not all but equal."""
     import random
