@@ -175,7 +175,7 @@ def _(t):
 # --- reads --------------------------------------------------------------------------------------------
 
 def _overview(t: Tables, again: bool = False) -> DataFrame:
-    """The stored overview, refreshed where asked: written whole, then swapped in by its name."""
+    """The stored overview, refreshed where asked: a new version is written whole, then the pointer names it."""
     return t.store.table("person_overview", lambda: reads.person_overview(t.person(), t.vote(), t.scrutin(), t.mandat(), t.organe(), t.person_slug(), t.candidate()), again=again)
 
 
