@@ -19,7 +19,7 @@ from scrutable.llm import op03_bpe_codec as bpe
 from scrutable.llm import op07_minhash_neardup as neardup
 from scrutable.llm import op09_decontamination as decontamination
 from scrutable.llm import op10_line_dedup as lines
-from scrutable.llm.common import cut, merged, table
+from scrutable.llm.common import cut, discard, merged, table
 from scrutable.llm.op05_language_id import held_out
 from scrutable.llm.queries import tokenizer
 
@@ -97,7 +97,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    given = docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        if before is not given:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
