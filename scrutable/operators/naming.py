@@ -123,9 +123,9 @@ def place(segments: DataFrame, today) -> DataFrame:
 
 
 def year_markers(segments: DataFrame, today) -> DataFrame:
-    """(person_id, year, column_start, column_end): the scale above a person's grid."""
+    """(person_id, year, column_start, column_end): the scale above a person's grid; a grid without a month has none."""
     first, last = F.min(month_index(F.col("debut"))), F.max(month_index(F.coalesce("fin", F.lit(today)))) + 1
-    months = segments.groupBy("person_id").agg(first.alias("m0"), last.alias("m1")).select("person_id", "m0", F.explode(F.sequence("m0", F.col("m1") - 1)).alias("m"))
+    months = segments.groupBy("person_id").agg(first.alias("m0"), last.alias("m1")).where("m0 < m1").select("person_id", "m0", F.explode(F.sequence("m0", F.col("m1") - 1)).alias("m"))
     return months.groupBy("person_id", F.floor(F.col("m") / 12).cast("int").alias("year")).agg((F.min(F.col("m") - F.col("m0")) + 1).cast("int").alias("column_start"), (F.max(F.col("m") - F.col("m0")) + 2).cast("int").alias("column_end"))
 
 

@@ -196,3 +196,11 @@ def test_deleted_labels_leave_a_revision(spark):
     after, told = imports.delete_labels(labels, spark.createDataFrame([("a",), ("c",)], "scrutin_uid string"), "me")
     assert [r.scrutin_uid for r in after.collect()] == ["b"]
     assert [(r.scrutin_uid, r.apres, r.author) for r in told.collect()] == [("a", "[]", "me")] and "because" in told.first().avant
+
+
+def test_a_grid_that_ends_before_it_starts_has_no_years(spark):
+    """Only an open period that begins after today's month: its grid has no month, and counting does not run backwards."""
+    today = datetime.date(2000, 1, 1)
+    for start, years in (("2000-02-01", []), ("2000-06-01", []), ("2000-01-31", [(2000, 1, 2)])):
+        rows = spark.sql(f"SELECT 1L AS person_id, '1' AS piste, 'a' AS key, DATE '{start}' AS debut, CAST(NULL AS DATE) AS fin")
+        assert [tuple(r)[1:] for r in naming.year_markers(rows, today).collect()] == years
