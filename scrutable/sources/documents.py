@@ -24,15 +24,19 @@ def shape(v: Column) -> Column:
 
 
 def scalar(v: Column) -> Column:
+    """The string, or the text of an object that is not nil; only an object has these fields."""
     text = F.try_variant_get(v, "$['#text']", "string")
-    return F.when(shape(v) == "STRING", F.try_variant_get(v, "$", "string")).when(shape(v).startswith("OBJECT") & ~F.try_variant_get(v, "$['@xsi:nil']", "string").eqNullSafe("true"), text)
+    return F.when(shape(v) == "STRING", F.try_variant_get(v, "$", "string")).when(~F.try_variant_get(v, "$['@xsi:nil']", "string").eqNullSafe("true"), text)
 
 
 def listing(v: Column) -> Column:
-    """A list, or a list of the one element, or an empty list."""
+    """A list, or a list of the one element, or an empty list; what is no list cannot be read as one.
+
+    The shape of a large value is not asked for: that would name the types of everything in it.
+    """
     none = F.array().cast("array<variant>")
     many = F.try_variant_get(v, "$", "array<variant>")
-    return F.when(v.isNull() | F.is_variant_null(v), none).when(shape(v).startswith("ARRAY"), many).otherwise(F.array(v))
+    return F.when(v.isNull() | F.is_variant_null(v), none).otherwise(F.coalesce(many, F.array(v)))
 
 
 def text(v: Column, *keys: str) -> Column:
@@ -48,8 +52,12 @@ def day(v: Column, *keys: str) -> Column:
 
 
 def parse(documents: DataFrame, root: str) -> DataFrame:
-    """Documents with column `v`, the object under `root`."""
-    return documents.withColumn("v", field(F.try_parse_json("raw"), root))
+    """Documents with column `v`, the object under `root`, parsed once each.
+
+    Conditions on fields move below a projection and would parse anew for every field; they stay above the
+    explosion of an array of one.
+    """
+    return documents.withColumn("v", F.explode(F.array(field(F.try_parse_json("raw"), root))))
 
 
 def actors(documents: DataFrame) -> DataFrame:
@@ -147,7 +155,8 @@ def group_rows(parsed: DataFrame) -> DataFrame:
     """One row a group of a roll-call, numbered by its place, with its nominal blocks."""
     g = F.col("g")
     count = lambda k: F.coalesce(whole(g, "vote", "decompteVoix", k), F.lit(0))
-    return parsed.select("an_uid", "date_scrutin", F.posexplode("groupes").alias("rang", "g")).select(
+    rows = parsed.select("an_uid", "date_scrutin", F.posexplode_outer("groupes").alias("rang", "g")).where("rang IS NOT NULL")  # the inner form would read the list twice more, to drop empty ones
+    return rows.select(
         "an_uid",
         "date_scrutin",
         (F.col("rang") + 1).alias("rang"),
@@ -164,9 +173,9 @@ def group_rows(parsed: DataFrame) -> DataFrame:
 
 def _blocks(rows: DataFrame, column: str) -> DataFrame:
     """Explode an object of blocks to (…, bloc, entry list); a block is {votant: …} or a bare list."""
-    mapped = F.when(shape(F.col(column)).startswith("OBJECT"), F.try_variant_get(F.col(column), "$", "map<string,variant>"))
-    out = rows.select(*[c for c in rows.columns if c != column], F.explode(mapped).alias("bloc", "content"))
-    entries = F.when(shape(F.col("content")).startswith("ARRAY"), listing(F.col("content"))).otherwise(listing(field(F.col("content"), "votant")))
+    mapped = F.try_variant_get(F.col(column), "$", "map<string,variant>")  # null for what is no object
+    out = rows.select(*[c for c in rows.columns if c != column], F.explode_outer(mapped).alias("bloc", "content")).where("bloc IS NOT NULL")
+    entries = F.coalesce(F.try_variant_get(F.col("content"), "$", "array<variant>"), listing(field(F.col("content"), "votant")))
     return out.withColumn("entries", entries)
 
 

@@ -172,3 +172,24 @@ def test_seeds(spark, tmp_path):
     seeds.check_version({"v1": header["content_hash"]}, header)
     with pytest.raises(seeds.BadSeed):
         seeds.check_version({"v1": "other"}, header)
+
+
+def test_documents_are_parsed_once(spark):
+    """No condition on a field moves below the parsing, where it would parse the text again for each field."""
+    from scrutable.sources import documents
+
+    docs = spark.createDataFrame([("a", '{"scrutin": {"uid": "a"}}')], "uid string, raw string")
+    votes = documents.votes(documents.group_rows(documents.rollcalls(docs)))
+    plan = votes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") == 1
+
+
+def test_shapes_of_lists_and_scalars(spark):
+    from pyspark.sql import functions as F
+
+    from scrutable.sources import documents
+
+    values = ['[1, "a"]', '{"b": 1}', '"c"', "null", '{"#text": "t"}', '{"@xsi:nil": "true", "#text": "t"}', "7", "[]"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, raw string").coalesce(1).select("i", F.parse_json("raw").alias("v"))
+    got = rows.select(F.size(documents.listing(F.col("v"))).alias("n"), documents.scalar(F.col("v")).alias("s"), "i").orderBy("i").collect()
+    assert [r.n for r in got] == [2, 1, 1, 0, 1, 1, 1, 0] and [r.s for r in got] == [None, None, "c", None, "t", None, None, None]
