@@ -35,8 +35,16 @@ def search_text(*parts: Column) -> Column:
 
 
 def matches(haystack: Column, query: str) -> Column:
-    """Accent- and case-insensitive substring; % and _ typed by the user stay wildcards."""
-    return F.like(haystack, F.concat(F.lit("%"), unaccent(F.lit(query)), F.lit("%")))
+    """Accent- and case-insensitive substring; % and _ typed by the user stay wildcards.
+
+    Runs between % are looked for one after the other, each at its first place after the one before, which finds
+    whatever any choice of places would; LIKE itself tries the places of all runs against each other.
+    """
+    folded = unaccent(F.lit(query))
+    if "%" not in query or "\\" in query:
+        return F.like(haystack, F.concat(F.lit("%"), folded, F.lit("%")))
+    runs = F.replace(F.regexp_replace(folded, "([\\p{Punct}&&[^%_]])", "\\\\$1"), F.lit("_"), F.lit("."))
+    return F.rlike(haystack, F.concat(F.lit("(?s)\\A(?>.*?"), F.regexp_replace(runs, "%+", ")(?>.*?"), F.lit(")")))
 
 
 #: The markers of a carrier text and of its reading.

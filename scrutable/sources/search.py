@@ -1,14 +1,15 @@
 """Accent-insensitive substring search by a stored inverted index of trigrams.
 
-Postings are rows of (gram, key), in folders by hash of the gram and sorted by gram, so that a search reads the
-postings of the grams it asks for; a gram that most texts hold is cut into several files. Texts are stored in
-folders by hash of the key. A pattern's rarest grams, by stored counts, give the candidates; only folders that
+Postings are rows of a gram and a block of keys, in folders by hash of the gram and sorted by gram, so that a search
+reads the postings of the grams it asks for; a gram that most texts hold is cut into several files. Texts are stored
+in folders by hash of the key. A pattern's rarest grams, by stored counts, give the candidates; only folders that
 hold a candidate are opened, and candidates are verified, so a search gives exactly what a scan would.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import matches, unaccent
 from .store import Store, Versions
@@ -16,12 +17,34 @@ from .store import Store, Versions
 SIZE = 3
 
 
-def grams(text: Column) -> Column:
-    """The distinct runs of three characters of a text, none for a shorter one."""
-    pair = lambda a, b: F.concat(a, b)
-    of = lambda c: F.zip_with(F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), pair), F.slice(c, F.lit(3), F.size(c)), pair)
-    long = F.when(F.length(text) >= SIZE, F.split(text, ""))
-    return F.array_distinct(F.filter(F.get(F.transform(F.array(long), of), F.lit(0)), lambda g: g.isNotNull()))
+def blocks(texts: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(gram, keys, n): the keys of texts that hold a gram, once a text, in blocks.
+
+    Texts of (key, text) stream through their tasks; a task gives out what it holds whenever it holds `most` keys, so
+    there are far fewer rows to shuffle and sort than pairs of a text and a gram.
+    """
+    kind = texts.schema["key"].dataType
+
+    def block(held, of):
+        lists = list(held.values())
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(lists, pa.list_(of)), pa.array([len(x) for x in lists], pa.int64())], ["gram", "keys", "n"])
+
+    def gather(batches):
+        held, n, of = {}, 0, None
+        for batch in batches:
+            of = batch.column("key").type
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = {text[i : i + SIZE] for i in range(len(text) - SIZE + 1)} if text else ()
+                for gram in found:
+                    held.setdefault(gram, []).append(key)
+                n += len(found)
+                if n >= most:
+                    yield block(held, of)
+                    held, n = {}, 0
+        if held:
+            yield block(held, of)
+
+    return texts.select("key", "text").mapInArrow(gather, T.StructType([T.StructField("gram", T.StringType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("n", T.LongType())]))
 
 
 def literals(pattern: str) -> list[str]:
@@ -51,11 +74,12 @@ class SearchIndex:
         plain = rows.select(F.col(key).alias("key"), unaccent(text).alias("text")).select("*", shard)
 
         def fill(path: str) -> None:
-            plain.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(f"{path}/texts")
+            plain.repartition("shard", self._part(F.col("key"))).sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(f"{path}/texts")
             stored = self.spark.read.parquet(f"{path}/texts")
-            postings = stored.select("key", F.explode(grams(F.col("text"))).alias("gram")).withColumn("bucket", self._bucket(F.col("gram")))
-            postings.repartitionByRange("bucket", "gram", "key").sortWithinPartitions("bucket", "gram", "key").write.partitionBy("bucket").parquet(f"{path}/postings")
-            self.spark.read.parquet(f"{path}/postings").groupBy("bucket", "gram").agg(F.count("*").alias("n")).repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/counts")
+            postings = blocks(stored).withColumn("bucket", self._bucket(F.col("gram")))
+            postings.repartition("bucket", self._part(F.get("keys", F.lit(0)))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/postings")
+            counts = self.spark.read.parquet(f"{path}/postings").groupBy("bucket", "gram").agg(F.sum("n").alias("n"))
+            counts.repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/counts")
 
         self.versions.write(fill)
         return self
@@ -66,6 +90,10 @@ class SearchIndex:
     def _bucket(self, gram: Column) -> Column:
         return F.pmod(F.xxhash64(gram), F.lit(self.buckets)).cast("int")
 
+    def _part(self, key: Column) -> Column:
+        """Cuts a folder into four by hash, so that it is the work of four tasks; unlike ranges that needs no first pass over the rows."""
+        return F.pmod(F.hash(key), F.lit(4))
+
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.versions.path(self.versions.current())}/{name}")
 
@@ -74,10 +102,10 @@ class SearchIndex:
         return self._read("counts").select("gram", "n")
 
     def postings(self, gram: str) -> DataFrame:
-        return self._read("postings").where((F.col("bucket") == self._bucket(F.lit(gram))) & (F.col("gram") == gram)).select("key")
+        return self._read("postings").where((F.col("bucket") == self._bucket(F.lit(gram))) & (F.col("gram") == gram)).select(F.explode("keys").alias("key"))
 
     def candidates(self, pattern: str, most: int = 3, small: int = 100_000) -> DataFrame | None:
-        """Keys of the texts that hold the pattern's rarest grams; None if it has none, so that every text is one.
+        """Keys of the texts that hold the pattern's rarest grams; None if every text is one: it has no gram, or a tenth of all texts hold the rarest.
 
         `small` is the number of postings up to which the rarest gram's keys are sent to the others' rows; it
         changes how they meet, not what is found.
@@ -90,6 +118,8 @@ class SearchIndex:
         known = of.where(F.col("gram").isin(wanted) & F.col("bucket").isin(*[self._bucket(F.lit(g)) for g in wanted]))
         n = {r["gram"]: r["n"] for r in known.select("gram", "n").collect()}
         rarest = sorted(wanted, key=lambda g: (n.get(g, 0), g))[:most]
+        if n.get(rarest[0], 0) * 10 >= self._read("texts").count():  # then reading them all is less work than meeting the keys
+            return None
         keys = self.postings(rarest[0])
         if not n.get(rarest[0]):
             return keys

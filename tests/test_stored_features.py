@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 import uuid
 from collections import Counter
 
@@ -195,3 +196,28 @@ def test_entries_of_one_archive_are_spread_over_tasks(spark, tmp_path):
             if parts[0] == "json":
                 want["a.zip", parts[1] if len(parts) > 2 else "", parts[-1][:-5]] = hashlib.sha256(z.read(name)).hexdigest()
     assert got == want
+
+
+def test_postings_are_blocks_of_keys(spark, store):
+    """Far fewer rows than pairs of a text and a gram, whose counts and keys are those of all texts; nothing is computed twice to find ranges."""
+    rows = spark.range(500).selectExpr("id", "concat('aaaa common é ', id % 7) AS text")
+    index = SearchIndex(store, "b", buckets=4, shards=4).build(rows, "id", F.col("text"))
+    want = {}
+    for r in rows.collect():
+        text = r.text.replace("é", "e")
+        for g in {text[i : i + 3] for i in range(len(text) - 2)}:
+            want.setdefault(g, set()).add(r.id)
+    assert {r.gram: r.n for r in index.counts().collect()} == {g: len(ids) for g, ids in want.items()}
+    assert all({r.key for r in index.postings(g).collect()} == want[g] for g in ("com", " e ", "e 3"))
+    assert index._read("postings").count() * 10 < sum(map(len, want.values()))
+
+
+def test_wildcards_between_runs_are_linear(spark):
+    """LIKE tries every place of the first run against every place of the second; here that takes minutes for one text."""
+    long = spark.range(1).select(F.repeat(F.lit("the ou "), 200_000).alias("text"))
+    begun = time.monotonic()
+    assert long.where(X.matches(F.col("text"), "the%ou_nt%the%zz")).count() == 0
+    assert time.monotonic() - begun < 20
+    cases = spark.createDataFrame([("a.the\nouxnt!",), ("ount the",), ("the ou.nt (x)",), ("theount",)], "text string").coalesce(1)
+    assert [r[0] for r in cases.select(X.matches(F.col("text"), "ThÉ%où_nt")).collect()] == [True, False, True, False]
+    assert [r[0] for r in cases.select(X.matches(F.col("text"), "the%(_)%")).collect()] == [False, False, True, False]
