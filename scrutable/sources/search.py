@@ -8,6 +8,7 @@ hold a candidate are opened, and candidates are verified, so a search gives exac
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -25,24 +26,36 @@ def blocks(texts: DataFrame, most: int = 1_000_000) -> DataFrame:
     """
     kind = texts.schema["key"].dataType
 
-    def block(held, of):
-        lists = list(held.values())
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(lists, pa.list_(of)), pa.array([len(x) for x in lists], pa.int64())], ["gram", "keys", "n"])
+    def block(grams, owners, keys):
+        """Sorted by gram; a gram is three code points of 21 bits."""
+        found = np.concatenate(grams)
+        order = np.argsort(found, kind="stable")
+        found = found[order]
+        starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        u, ends = found[starts], np.append(starts, len(found))
+        spelled = np.stack([u >> 42, u >> 21 & 0x1FFFFF, u & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+        values = pa.concat_arrays(keys).take(pa.array(np.concatenate(owners)[order]))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        return pa.RecordBatch.from_arrays([pa.array([spelled[i : i + SIZE] for i in range(0, len(spelled), SIZE)], pa.string()), lists, pa.array(np.diff(ends), pa.int64())], ["gram", "keys", "n"])
 
     def gather(batches):
-        held, n, of = {}, 0, None
+        grams, owners, keys, row, n = [], [], [], 0, 0
         for batch in batches:
-            of = batch.column("key").type
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = {text[i : i + SIZE] for i in range(len(text) - SIZE + 1)} if text else ()
-                for gram in found:
-                    held.setdefault(gram, []).append(key)
-                n += len(found)
+            column = batch.column("key")
+            keys.append(column)
+            for at, text in enumerate(batch.column("text").to_pylist(), 1):
+                if text and len(text) >= SIZE:
+                    c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+                    found = np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+                    grams.append(found)
+                    owners.append(np.full(len(found), row))
+                    n += len(found)
+                row += 1
                 if n >= most:
-                    yield block(held, of)
-                    held, n = {}, 0
-        if held:
-            yield block(held, of)
+                    yield block(grams, owners, keys)
+                    grams, owners, keys, row, n = [], [], [column.slice(at)], 0, 0
+        if n:
+            yield block(grams, owners, keys)
 
     return texts.select("key", "text").mapInArrow(gather, T.StructType([T.StructField("gram", T.StringType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("n", T.LongType())]))
 

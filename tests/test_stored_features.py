@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scrutable.functions import text as X
 from scrutable.sources.keyed import KeyedTable
-from scrutable.sources.search import SearchIndex, literals
+from scrutable.sources.search import SearchIndex, blocks, literals
 from scrutable.sources.store import Runs, Store, Versions
 from scrutable.streaming import events
 
@@ -221,3 +221,12 @@ def test_wildcards_between_runs_are_linear(spark):
     cases = spark.createDataFrame([("a.the\nouxnt!",), ("ount the",), ("the ou.nt (x)",), ("theount",)], "text string").coalesce(1)
     assert [r[0] for r in cases.select(X.matches(F.col("text"), "ThÉ%où_nt")).collect()] == [True, False, True, False]
     assert [r[0] for r in cases.select(X.matches(F.col("text"), "the%(_)%")).collect()] == [False, False, True, False]
+
+
+def test_blocks_cut_inside_a_batch_lose_nothing(spark):
+    texts = ["", "ab", "🙂abc", "aaaa", None, "xyz abc", "abcabc"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key int, text string").coalesce(1)
+    want = sorted((i, g) for i, t in enumerate(texts) if t for g in {t[j : j + 3] for j in range(len(t) - 2)})
+    for most in (1, 3, 1000):
+        found = blocks(rows, most).collect()
+        assert sorted((k, r.gram) for r in found for k in r["keys"]) == want and all(r.n == len(r["keys"]) for r in found)
