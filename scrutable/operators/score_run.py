@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, functions as F
 from ..sources.store import Runs
 from . import axis, scoring
 
+#: So many labels at most are sent to every task; a row has about a hundred bytes there.
+BROADCAST_LABELS = 200_000
 TABLES = ("estimate", "eligible", "contribution", "person_score", "group_score", "mandate_score")
 
 
 def recompute(runs: Runs, votes: DataFrame, tallies: DataFrame, rollcalls: DataFrame, anchors: DataFrame, labels: DataFrame, themes: DataFrame, groups: DataFrame, memberships: DataFrame) -> dict:
     """Compute a whole run and publish it; if anything fails the run before stays current. Gives the run's counters.
 
-    Contributions and scores are ordered by their key, so a reader of one person or group skips the rest.
+    Contributions and scores are ordered by their key, so a reader of one person or group skips the rest. Votes
+    that are stored by person stay in that order where the labels, of which a roll-call has a few, are few enough to
+    go to every task: then contributions are not shuffled. Otherwise they are dealt by person again.
     Without an eligible theme the score tables are empty, as all their rows need one.
     """
     run_id = runs.open()
@@ -23,7 +27,8 @@ def recompute(runs: Runs, votes: DataFrame, tallies: DataFrame, rollcalls: DataF
         estimates = runs.write(run_id, "estimate", axis.estimate(tallies, anchors))
         eligible = runs.write(run_id, "eligible", scoring.eligible_themes(themes, labels))
         labelled = runs.write(run_id, "labelled", scoring.measured_labels(labels, estimates, eligible))
-        given = runs.write(run_id, "contribution", scoring.contributions(votes, labelled), by="person_id")
+        few = labelled.count() <= BROADCAST_LABELS
+        given = runs.write(run_id, "contribution", scoring.contributions(votes, F.broadcast(labelled) if few else labelled), by=None if few else "person_id")
         written = {
             "contribution": given,
             "person_score": runs.write(run_id, "person_score", scoring.person_scores(given), by="person_id"),

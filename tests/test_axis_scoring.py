@@ -115,3 +115,14 @@ def test_a_mean_half_way_does_not_depend_on_sums_of_doubles(spark):
     assert scoring.person_scores(rows.withColumn("apport", -F.col("apport"))).first().score == 0.148
     tallies = rows.select(F.lit(1).alias("organe_id"), "theme_id", F.lit(1).alias("pour"), F.lit(0).alias("contre"), F.col("apport").alias("label"), F.col("poids").alias("poids_theme"), F.lit(1.0).alias("confiance"), F.lit(0.0).alias("bipolarite"))
     assert scoring.tally_scores(tallies, "organe_id", "theme_id").first().score == -0.148
+
+
+def test_scores_are_one_pass_over_one_shuffle(spark):
+    """Values a thousandth apart under one light and one heavy weight, whose sums cancel in doubles, and a label beyond its bounds."""
+    rows = contributions(spark, [("pour", 1.0, 1.0, None, False)] * 5 + [("pour", 0.999, 0.000000001, None, False), ("contre", None, 0.0, "abstention", False)])
+    one = scoring.person_scores(rows)
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    row = scoring.weighted(rows, "person_id", "theme_id").first()
+    assert row.contributions == 6 and row.score == 1.0
+    assert row.incertitude == pytest.approx(math.sqrt(1e-9 * 1e-6 * 5 / (5 + 1e-9) / (5 + 1e-9)) / math.sqrt(6), rel=1e-9)
+    assert scoring.weighted(contributions(spark, [("pour", -9.999, 1.0, None, False)] * 3), "person_id", "theme_id").first().incertitude == 0.0

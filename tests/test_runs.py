@@ -66,3 +66,26 @@ def test_refused_measures_stay(spark):
     old = spark.createDataFrame([(1, "ok", 0.5), (2, "ok", 0.1)], "scrutin_id long, statut string, position_pour double")
     new = spark.createDataFrame([(1, "scrutin_unanime", None), (2, "ok", 0.2)], old.schema)
     assert {r.scrutin_id: (r.position_pour, r.change) for r in tables.measured(old, new).collect()} == {1: (0.5, "absent"), 2: (0.2, "updated")}
+
+
+def test_contributions_keep_the_order_of_votes(spark, store, monkeypatch):
+    """Few labels: votes stored by person are not dealt again; many: they are, with the same rows."""
+    given = list(inputs(spark))
+    given[0] = store.table("vote", lambda: inputs(spark)[0], by="person_id")
+    runs, plans = Runs(store, "scores"), []
+    write = Runs.write
+
+    def seen(self, run_id, name, rows, by=None):
+        if name == "contribution":
+            plans.append((by, rows._jdf.queryExecution().executedPlan().toString()))
+        return write(self, run_id, name, rows, by)
+
+    monkeypatch.setattr(Runs, "write", seen)
+    score_run.recompute(runs, *given)
+    monkeypatch.setattr(score_run, "BROADCAST_LABELS", 0)
+    score_run.recompute(runs, *given)
+    (few, plan), (many, _) = plans
+    assert few is None and "Exchange hashpartitioning" not in plan and many == "person_id"
+    for name in ("contribution", "person_score"):
+        a, b = runs.read(1, name), runs.read(2, name)
+        assert a.count() > 0 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
