@@ -14,7 +14,7 @@ from ..sources.search import SearchIndex
 from ..streaming import events as streaming
 from . import reads
 from .adapter import Tables, ctes
-from .catalog import BASE, CONTRIBUTION, ELIGIBLE, FOLD, GROUPED, MANDATE, OVERVIEW, PERSON_SCORE, SCORED, _contributions, _overview, _raw_mandates, _tally, current, recompute
+from .catalog import BASE, CONTRIBUTION, ELIGIBLE, FOLD, GROUPED, MANDATE, OVERVIEW, PERSON_SCORE, SCORED, _contributions, _overview, _raw_mandates, _tally, current, measures, recompute
 from .registry import query
 
 NOW = datetime.datetime(2024, 1, 2)
@@ -139,7 +139,7 @@ def _(t):
 @query("current_estimates", BASE + " SELECT scrutin_id, position_pour, separation, couverture, CASE WHEN scrutin_id % 2 = 0 THEN 'v2' END AS axis_version FROM estimate WHERE statut = 'ok' AND scrutin_id % 2 = 0")
 def _(t):
     versions = t.spark.createDataFrame([("v1", False), ("v2", True)], "version string, is_current boolean")
-    rows = current(t).current("estimate").withColumn("axis_version", F.when(F.col("scrutin_id") % 2 == 0, "v2").otherwise("v1"))
+    rows = measures(t).withColumn("axis_version", F.when(F.col("scrutin_id") % 2 == 0, "v2").otherwise("v1"))
     return reads.current_estimate(rows, versions)
 
 
@@ -195,7 +195,7 @@ def _(t):
 def _(t):
     """A third refused now (rows stay), a third the same, a third with a new measure."""
     i = F.col("scrutin_id")
-    old = current(t).current("estimate").where("statut = 'ok' AND position_pour <> 0.5").select("scrutin_id", "statut", "position_pour")
+    old = measures(t).where("statut = 'ok' AND position_pour <> 0.5").select("scrutin_id", "statut", "position_pour")
     new = old.select("scrutin_id", F.when(i % 3 == 0, "scrutin_unanime").otherwise("ok").alias("statut"), F.when(i % 3 == 2, 0.5).otherwise(F.col("position_pour")).alias("position_pour"))
     return T.measured(old, new).select("scrutin_id", "position_pour", "change")
 
@@ -323,7 +323,7 @@ def _(t):
     persons = t.raw("customer").where(k % 50 != 3).select(uid(k).alias("an_uid"))
     n = F.col("n_nationkey")
     people = t.raw("nation").select((n + 1_000_000_000_000).cast("long").alias("person_id"), uid(n).alias("an_uid"), F.lit(None).cast("string").alias("wikidata_qid"), F.lit(None).cast("string").alias("prenom"), F.when(n % 4 == 0, "---").otherwise(F.col("n_name")).alias("nom"))
-    found = anomalies.ledger(1, anomalies.refusals(current(t).current("estimate")), anomalies.ambiguous_ids(naming.resolve_external_ids(_hits(t))[1]), anomalies.unknown_actors(cast, persons), anomalies.derived_slugs(naming.assign_slugs(people, t.person_slug())))
+    found = anomalies.ledger(1, anomalies.refusals(measures(t)), anomalies.ambiguous_ids(naming.resolve_external_ids(_hits(t))[1]), anomalies.unknown_actors(cast, persons), anomalies.derived_slugs(naming.assign_slugs(people, t.person_slug())))
     return found.groupBy("kind").agg(F.count("*").alias("n"))
 
 

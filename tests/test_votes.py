@@ -45,3 +45,18 @@ def test_a_person_with_all_ballots_lies_in_several_files(spark, tmp_path):
     assert rows(votes.toPandas()) == rows(by_sql(tmp_path, SQL["vote"]))
     files = votes.where("person_id = 1").groupBy(F.input_file_name().alias("f")).agg(F.min("scrutin_id").alias("a"), F.max("scrutin_id").alias("b")).orderBy("a").collect()
     assert len(files) > 1 and all(x.b < y.a for x, y in zip(files, files[1:]))
+
+
+PAGES = ("agreement_by_axis", "agreement_by_theme", "review_queue", "person_orientations", "hidden_themes", "theme_contributions", "mandate_orientations", "group_orientations", "anomaly_ledger")
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+def test_pages_without_a_run_make_none_and_show_the_same(spark):
+    folder = f"{FOLDER}/./."
+    t = Tables(spark, folder)
+    before = {name: rows(catalog.QUERIES[name](spark, folder).toPandas()) for name in PAGES}
+    assert t.runs.current_id() is None and all(before.values())
+    catalog.recompute(t)
+    assert t.runs.current_id() == 1
+    for name in PAGES:
+        assert rows(catalog.QUERIES[name](spark, folder).toPandas()) == before[name], name
