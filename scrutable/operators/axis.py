@@ -9,8 +9,12 @@ COVERAGE_MIN, VOTERS_MIN = 0.90, 20
 
 
 def rounded(value: Column, scale: int = 3) -> Column:
-    """Stored precision of a measure: half away from zero, given back as a double."""
-    return value.cast(f"decimal({scale + 1},{scale})").cast("double")
+    """Stored precision of a measure: half away from zero, given back as a double.
+
+    What is rounded is the double times 10 ** scale, as DuckDB casts: 0.5045 times 1000 lies below 504.5. A cast to
+    decimal here would round the shortest text of the double instead.
+    """
+    return (F.round(value * 10**scale) / 10**scale).cast(f"decimal({scale + 1},{scale})").cast("double")
 
 
 def estimate(tallies: DataFrame, anchors: DataFrame) -> DataFrame:

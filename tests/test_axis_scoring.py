@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from scrutable.functions import text as X
 from scrutable.operators import axis, scoring
 
 
@@ -117,6 +118,23 @@ def test_a_mean_half_way_does_not_depend_on_sums_of_doubles(spark):
     assert scoring.tally_scores(tallies, "organe_id", "theme_id").first().score == -0.148
 
 
+def test_half_way_values_round_as_the_sql_casts_them(spark):
+    """A thousand times the double 0.5045 lies below 504.5: twelve such values, of which 0.5045 shows in the second decimal."""
+    import duckdb
+
+    halves = [(k + 0.5) / 1000 for k in range(1000)]
+    want = duckdb.sql(f"SELECT list(CAST(CAST(x AS DECIMAL(4,3)) AS DOUBLE)) FROM (SELECT unnest({halves}::DOUBLE[]) AS x)").fetchall()[0][0]
+    assert sum(w < x for w, x in zip(want, halves)) == 12
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(halves)], "i int, x double")
+    assert [r.r for r in rows.orderBy("i").select(axis.rounded(F.col("x")).alias("r")).collect()] == want
+    means = spark.createDataFrame([(i, 2 * i + 1, 2) for i in range(1000)], "i int, _a long, _n long")
+    assert [r.r for r in means.orderBy("i").select(scoring.thousandths("_a", "_n").alias("r")).collect()] == want
+    votes = contributions(spark, [("pour", a, w, None, False) for a, w in ((0.5, 0.276), (0.5, 0.164), (0.5, 0.097), (0.6, 0.054), (0.5, 0.609))])  # 0.5045 exactly, 0.504 for sums of doubles in any order
+    row = scoring.person_scores(votes.coalesce(1)).select("score", X.orientation_label(F.col("score"), F.lit("Non"), F.lit("Oui")).alias("label")).first()
+    assert (row.score, row.label) == (0.504, "plutôt Oui (+0.50)")
+    assert scoring.person_scores(votes.withColumn("apport", -F.col("apport"))).first().score == -0.504
+
+
 def test_scores_are_one_pass_over_one_shuffle(spark):
     """Values a thousandth apart under one light and one heavy weight, whose sums cancel in doubles, and a label beyond its bounds."""
     rows = contributions(spark, [("pour", 1.0, 1.0, None, False)] * 5 + [("pour", 0.999, 0.000000001, None, False), ("contre", None, 0.0, "abstention", False)])
