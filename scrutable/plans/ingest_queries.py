@@ -33,20 +33,27 @@ def _text(value):
     return F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
 
 
-def _rollcall_documents(t: Tables) -> DataFrame:
-    """(uid, raw): one document an order that has lines."""
-    k, n = F.col("l_linenumber"), F.pmod("l_linenumber", F.lit(3)) + 1
-    voter = lambda i: _object(acteurRef=_text(F.concat(F.lit("PA"), F.col("l_partkey") + i)), mandatRef=_text(F.lit("PM1")), causePositionVote=F.when((F.col("l_linestatus") == "O") & (k == 5), '"ZZZ"').otherwise("null"), parDelegation=F.when(k % 2 == 0, '"true"').otherwise('"false"'))
-    voters = F.concat_ws(",", F.transform(F.sequence(F.lit(1), n), voter))
+def _group():
+    """JSON text of a line as a group, with its voters, of which there are three at most."""
+    k, flag, status, n = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_linestatus"), F.col("n")
+    voter = lambda i: _object(acteurRef=_text(F.concat(F.lit("PA"), F.col("l_partkey") + i)), mandatRef=_text(F.lit("PM1")), causePositionVote=F.when((status == "O") & (k == 5), '"ZZZ"').otherwise("null"), parDelegation=F.when(k % 2 == 0, '"true"').otherwise('"false"'))
+    voters = F.concat_ws(",", voter(1), F.when(n > 1, voter(2)), F.when(n > 2, voter(3)))
     block = F.when(k == 4, F.concat(F.lit("[null,"), voters, F.lit("]"))).when(n == 1, F.concat(F.lit('{"votant":'), voters, F.lit("}"))).otherwise(F.concat(F.lit('{"votant":['), voters, F.lit("]}")))
     plural = F.when(k % 2 == 0, "s").otherwise("")
-    name = F.concat(F.when(F.col("l_returnflag") == "R", "pour").when(F.col("l_returnflag") == "A", "contre").when(F.col("l_linestatus") == "F", "abstention").otherwise("nonVotant"), plural)
+    name = F.concat(F.when(flag == "R", "pour").when(flag == "A", "contre").when(status == "F", "abstention").otherwise("nonVotant"), plural)
     name = F.when(k == 7, F.lit("surprises")).otherwise(name)
     nominal = F.concat(F.lit('{"'), name, F.lit('":'), block, F.lit(',"autres":null}'))
-    count = lambda flag: F.when(F.col("l_returnflag") == flag, _text(n)).otherwise(F.lit('{"#text":"0"}'))
-    group = _object(organeRef=F.when(k == 6, "null").otherwise(_text(F.concat(F.lit("PO"), F.col("l_suppkey")))), nombreMembresGroupe=_text(F.col("l_quantity").cast("int")), vote=_object(positionMajoritaire=_text(F.col("l_returnflag")), decompteVoix=_object(pour=count("R"), contre=count("A")), decompteNominatif=nominal))
-    lines = t.raw("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", group.alias("g"), n.alias("n")))).alias("lines"))
-    groups = F.when(F.size("lines") == 1, F.get("lines", F.lit(0))["g"]).otherwise(F.concat(F.lit("["), F.concat_ws(",", F.transform("lines", lambda x: x["g"])), F.lit("]")))
+    count = lambda x: F.when(flag == x, _text(n)).otherwise(F.lit('{"#text":"0"}'))
+    return _object(organeRef=F.when(k == 6, "null").otherwise(_text(F.concat(F.lit("PO"), F.col("l_suppkey")))), nombreMembresGroupe=_text(F.col("l_quantity").cast("int")), vote=_object(positionMajoritaire=_text(flag), decompteVoix=_object(pour=count("R"), contre=count("A")), decompteNominatif=nominal))
+
+
+def _rollcall_documents(t: Tables) -> DataFrame:
+    """(uid, raw): one document an order that has lines. Lines are dealt by order as they are and written out there, as text is far larger."""
+    n = F.pmod("l_linenumber", F.lit(3)) + 1
+    lines = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus").repartition("l_orderkey").withColumn("n", n)
+    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", _group().alias("g"), "n"))).alias("lines"))
+    groups = F.concat_ws(",", F.col("lines.g"))
+    groups = F.when(F.size("lines") == 1, groups).otherwise(F.concat(F.lit("["), groups, F.lit("]")))
     orders = t.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderstatus")
     rows = lines.join(orders, "l_orderkey")
     key = F.col("l_orderkey")
@@ -102,10 +109,8 @@ def _(t):
  UNION ALL SELECT 'groupe_fantome' FROM grp WHERE organe_uid IS NULL OR organe_uid NOT IN (SELECT 'PO' || s_suppkey FROM supplier WHERE s_suppkey > 0)
  UNION ALL SELECT 'compteurs_incoherents' FROM (SELECT an_uid, sum(n) AS voters, sum(CASE WHEN l_linenumber <> 7 THEN n ELSE 0 END) AS nominal FROM grp GROUP BY an_uid) WHERE voters <> nominal) GROUP BY kind""")
 def _(t):
-    parsed = _parsed(t)
-    groups = D.group_rows(parsed)
     organs = t.raw("supplier").where("s_suppkey > 0").select(F.concat(F.lit("PO"), F.col("s_suppkey")).alias("an_uid"))
-    return D.anomalies(parsed, groups, D.votes(groups), organs).groupBy("kind").agg(F.count("*").alias("n"))
+    return D.document_anomalies(_parsed(t), organs).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("strength_of_rollcalls", GROUPS + " SELECT an_uid, CAST(sum(nombre_membres) AS BIGINT) AS effectif FROM grp GROUP BY an_uid")

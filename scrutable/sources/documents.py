@@ -14,9 +14,17 @@ DECLARED = {"pours": "pour", "contres": "contre", "abstentions": "abstention", "
 CAUSES = ("PSE", "PAN", "MG")
 
 
+def read(v: Column, kind: str, *keys: str) -> Column:
+    """A nested field as a type, null wherever the way there ends or the type does not fit.
+
+    Each variant in the type is written anew with all below it, so that what is large is best read as what it holds.
+    """
+    return F.try_variant_get(v, "$" + "".join(f"['{k}']" for k in keys), kind)
+
+
 def field(v: Column, *keys: str) -> Column:
     """A nested field as a variant, null wherever the way there ends."""
-    return F.try_variant_get(v, "$" + "".join(f"['{k}']" for k in keys), "variant")
+    return read(v, "variant", *keys)
 
 
 def shape(v: Column) -> Column:
@@ -25,18 +33,16 @@ def shape(v: Column) -> Column:
 
 def scalar(v: Column) -> Column:
     """The string, or the text of an object that is not nil; only an object has these fields."""
-    text = F.try_variant_get(v, "$['#text']", "string")
-    return F.when(shape(v) == "STRING", F.try_variant_get(v, "$", "string")).when(~F.try_variant_get(v, "$['@xsi:nil']", "string").eqNullSafe("true"), text)
+    return F.when(shape(v) == "STRING", read(v, "string")).when(~read(v, "string", "@xsi:nil").eqNullSafe("true"), read(v, "string", "#text"))
 
 
-def listing(v: Column) -> Column:
+def listing(v: Column, *keys: str) -> Column:
     """A list, or a list of the one element, or an empty list; what is no list cannot be read as one.
 
     The shape of a large value is not asked for: that would name the types of everything in it.
     """
-    none = F.array().cast("array<variant>")
-    many = F.try_variant_get(v, "$", "array<variant>")
-    return F.when(v.isNull() | F.is_variant_null(v), none).otherwise(F.coalesce(many, F.array(v)))
+    none, one = F.array().cast("array<variant>"), field(v, *keys) if keys else v
+    return F.coalesce(read(v, "array<variant>", *keys), F.when(one.isNull() | F.is_variant_null(one), none).otherwise(F.array(one)))
 
 
 def text(v: Column, *keys: str) -> Column:
@@ -51,13 +57,14 @@ def day(v: Column, *keys: str) -> Column:
     return F.try_to_date(text(v, *keys), "yyyy-MM-dd")
 
 
-def parse(documents: DataFrame, root: str) -> DataFrame:
-    """Documents with column `v`, the object under `root`, parsed once each.
+def parse(documents: DataFrame, *root: str) -> DataFrame:
+    """Documents with column `v`, the whole document or the object under `root`, parsed once each.
 
     Conditions on fields move below a projection and would parse anew for every field; they stay above the
     explosion of an array of one.
     """
-    return documents.withColumn("v", F.explode(F.array(field(F.try_parse_json("raw"), root))))
+    v = F.try_parse_json("raw")
+    return documents.withColumn("v", F.explode(F.array(field(v, *root) if root else v)))
 
 
 def actors(documents: DataFrame) -> DataFrame:
@@ -117,31 +124,31 @@ def classify_memberships(people: DataFrame, known: DataFrame) -> DataFrame:
 
 def rollcalls(documents: DataFrame) -> DataFrame:
     """Roll-call headers beside their groups and corrections as variants; mandatory fields or nothing."""
-    d, v = parse(documents, "scrutin"), F.col("v")
-    count = lambda *keys: F.coalesce(whole(v, "syntheseVote", *keys), F.lit(0))
+    d, v, s = parse(documents), F.col("v"), "scrutin"
+    count = lambda *keys: F.coalesce(whole(v, s, "syntheseVote", *keys), F.lit(0))
     rows = d.select(
-        text(v, "uid").alias("an_uid"),
-        whole(v, "numero").alias("numero"),
-        whole(v, "legislature").alias("legislature"),
-        day(v, "dateScrutin").alias("date_scrutin"),
-        F.when(text(v, "uid").startswith("VTCGR"), "congres").otherwise("assemblee").alias("chambre"),
-        text(v, "organeRef").alias("organe_uid"),
-        text(v, "sessionRef").alias("session_ref"),
-        text(v, "seanceRef").alias("seance_ref"),
-        text(v, "typeVote", "codeTypeVote").alias("type_code"),
-        text(v, "typeVote", "libelleTypeVote").alias("type_libelle"),
-        text(v, "typeVote", "typeMajorite").alias("type_majorite"),
-        text(v, "sort", "code").alias("sort_code"),
-        text(v, "titre").alias("titre"),
-        text(v, "demandeur", "texte").alias("demandeur"),
-        text(v, "objet", "dossierLegislatif", "dossierRef").alias("dossier_ref"),
-        text(v, "modePublicationDesVotes").alias("mode_publication"),
-        text(v, "lieuVote").alias("lieu_vote"),
+        text(v, s, "uid").alias("an_uid"),
+        whole(v, s, "numero").alias("numero"),
+        whole(v, s, "legislature").alias("legislature"),
+        day(v, s, "dateScrutin").alias("date_scrutin"),
+        F.when(text(v, s, "uid").startswith("VTCGR"), "congres").otherwise("assemblee").alias("chambre"),
+        text(v, s, "organeRef").alias("organe_uid"),
+        text(v, s, "sessionRef").alias("session_ref"),
+        text(v, s, "seanceRef").alias("seance_ref"),
+        text(v, s, "typeVote", "codeTypeVote").alias("type_code"),
+        text(v, s, "typeVote", "libelleTypeVote").alias("type_libelle"),
+        text(v, s, "typeVote", "typeMajorite").alias("type_majorite"),
+        text(v, s, "sort", "code").alias("sort_code"),
+        text(v, s, "titre").alias("titre"),
+        text(v, s, "demandeur", "texte").alias("demandeur"),
+        text(v, s, "objet", "dossierLegislatif", "dossierRef").alias("dossier_ref"),
+        text(v, s, "modePublicationDesVotes").alias("mode_publication"),
+        text(v, s, "lieuVote").alias("lieu_vote"),
         count("nombreVotants").alias("nombre_votants"),
         count("suffragesExprimes").alias("suffrages_exprimes"),
         *[count("decompte", k).alias(n) for k, n in (("pour", "pour"), ("contre", "contre"), ("abstentions", "abstentions"), ("nonVotants", "non_votants"), ("nonVotantsVolontaires", "non_votants_volontaires"))],
-        listing(field(v, "ventilationVotes", "organe", "groupes", "groupe")).alias("groupes"),
-        field(v, "miseAuPoint").alias("mise_au_point"),
+        listing(v, s, "ventilationVotes", "organe", "groupes", "groupe").alias("groupes"),
+        field(v, s, "miseAuPoint").alias("mise_au_point"),
     )
     need = ("an_uid", "numero", "legislature", "date_scrutin", "type_code", "titre", "mode_publication")
     return rows.where(" AND ".join(f"{c} IS NOT NULL" for c in need))
@@ -175,7 +182,7 @@ def _blocks(rows: DataFrame, column: str) -> DataFrame:
     """Explode an object of blocks to (…, bloc, entry list); a block is {votant: …} or a bare list."""
     mapped = F.try_variant_get(F.col(column), "$", "map<string,variant>")  # null for what is no object
     out = rows.select(*[c for c in rows.columns if c != column], F.explode_outer(mapped).alias("bloc", "content")).where("bloc IS NOT NULL")
-    entries = F.coalesce(F.try_variant_get(F.col("content"), "$", "array<variant>"), listing(field(F.col("content"), "votant")))
+    entries = F.coalesce(read(F.col("content"), "array<variant>"), listing(F.col("content"), "votant"))
     return out.withColumn("entries", entries)
 
 
@@ -198,22 +205,53 @@ def corrections(parsed: DataFrame) -> DataFrame:
     return rows.select("an_uid", "position_declaree", F.explode("entries").alias("e")).select("an_uid", text(F.col("e"), "acteurRef").alias("acteur_uid"), "position_declaree").where("acteur_uid IS NOT NULL")
 
 
+VOTER = "struct<acteurRef:variant,causePositionVote:variant>"
+DETAILS = {"bloc_nominatif_inconnu": ("rang", "bloc"), "cause_non_vote_inconnue": ("acteur_uid", "cause_non_vote"), "groupe_fantome": ("rang", "organe_uid"), "compteurs_incoherents": ("nominatifs", "nombre_votants", "non_votants")}
+
+
+def _voters(content: Column) -> Column:
+    """The entries of a block, those that are no objects null."""
+    return F.coalesce(read(content, f"array<{VOTER}>"), read(content, f"array<{VOTER}>", "votant"), F.array(read(content, VOTER, "votant")))
+
+
+def document_anomalies(parsed: DataFrame, known_organs: DataFrame) -> DataFrame:
+    """(kind, subject_uid, detail): unknown blocks, unknown causes, phantom groups, tallies that do not add up.
+
+    A group is a phantom whose organ is missing, PO0 or not in the registry. A document is gone through once, and its nominal votes are counted within it; only its groups then meet the
+    registry. Groups without organ, which no organ can match, are spread by their document.
+    """
+    blocks = lambda g: F.map_entries(F.coalesce(read(g, "map<string,variant>", "vote", "decompteNominatif"), F.create_map().cast("map<string,variant>")))
+    away = [k for k, v in BLOCKS.items() if v == "non_votant"]
+    cell = lambda i: lambda b: F.struct((i + 1).alias("rang"), b["key"].alias("bloc"), _voters(b["value"]).alias("entries"))
+    vote = lambda c: lambda e: F.struct(scalar(e["acteurRef"]).alias("acteur_uid"), F.when(c["bloc"].isin(*away), scalar(e["causePositionVote"])).alias("cause_non_vote"))
+    rows = parsed.select(
+        "an_uid",
+        "nombre_votants",
+        "non_votants",
+        F.transform("groupes", lambda g, i: F.struct((i + 1).alias("rang"), text(g, "organeRef").alias("organe_uid"))).alias("groups"),
+        F.flatten(F.transform("groupes", lambda g, i: F.transform(blocks(g), cell(i)))).alias("cells"),
+    )
+    cast = F.flatten(F.transform(F.filter("cells", lambda c: c["bloc"].isin(*BLOCKS)), lambda c: F.transform(c["entries"], vote(c))))
+    rows = rows.withColumn("cast", F.filter(cast, lambda e: e["acteur_uid"].isNotNull())).withColumn("nominatifs", F.size("cast"))
+    kinds = {"rang": "int", "organe_uid": "string", "bloc": "string", "acteur_uid": "string", "cause_non_vote": "string"}
+    found = lambda kind, **given: F.struct(F.lit(kind).alias("kind"), *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    all_found = F.concat(
+        F.transform(F.filter("cells", lambda c: ~c["bloc"].isin(*BLOCKS)), lambda c: found("bloc_nominatif_inconnu", rang=c["rang"], bloc=c["bloc"])),
+        F.transform(F.filter("cast", lambda e: e["cause_non_vote"].isNotNull() & ~e["cause_non_vote"].isin(*CAUSES)), lambda e: found("cause_non_vote_inconnue", acteur_uid=e["acteur_uid"], cause_non_vote=e["cause_non_vote"])),
+        F.transform("groups", lambda g: found("groupe_fantome", rang=g["rang"], organe_uid=g["organe_uid"])),
+        F.when(F.col("nominatifs") != F.col("nombre_votants") + F.col("non_votants"), F.array(found("compteurs_incoherents"))).otherwise(F.array().cast("array<struct<kind:string,rang:int,organe_uid:string,bloc:string,acteur_uid:string,cause_non_vote:string>>")),
+    )
+    rows = rows.select("an_uid", "nominatifs", "nombre_votants", "non_votants", F.explode(all_found).alias("a")).select("an_uid", "nominatifs", "nombre_votants", "non_votants", "a.*")
+    rows = rows.withColumns({"_named": F.col("organe_uid").isNotNull(), "_organ": F.coalesce("organe_uid", "an_uid")})
+    known = known_organs.where("an_uid <> 'PO0'").select(F.lit(True).alias("_named"), F.col("an_uid").alias("_organ"))
+    rows = rows.join(known, ["_named", "_organ"], "left_anti")
+    detail = F.coalesce(*[F.when(F.col("kind") == k, F.to_json(F.struct(*c))) for k, c in DETAILS.items()])
+    return rows.select("kind", F.col("an_uid").alias("subject_uid"), detail.alias("detail"))
+
+
 def anomalies(parsed: DataFrame, groups: DataFrame, cast: DataFrame, known_organs: DataFrame) -> DataFrame:
-    """(kind, subject_uid, detail): unknown blocks, unknown causes, phantom groups, tallies that do not add up."""
-    blocks = _blocks(groups.select("an_uid", "rang", "blocs"), "blocs")
-    unknown = blocks.where(~F.col("bloc").isin(*BLOCKS)).select(F.lit("bloc_nominatif_inconnu").alias("kind"), "an_uid", F.to_json(F.struct("rang", "bloc")).alias("detail"))
-    causes = cast.where((F.col("position") == "non_votant") & F.col("cause_non_vote").isNotNull() & ~F.col("cause_non_vote").isin(*CAUSES)).select(F.lit("cause_non_vote_inconnue").alias("kind"), "an_uid", F.to_json(F.struct("acteur_uid", "cause_non_vote")).alias("detail"))
-    phantom = phantom_groups(groups, known_organs).select(F.lit("groupe_fantome").alias("kind"), "an_uid", F.to_json(F.struct("rang", "organe_uid")).alias("detail"))
-    n = cast.groupBy("an_uid").agg(F.count("*").alias("nominatifs"))
-    odd = parsed.join(n, "an_uid", "left").withColumn("nominatifs", F.coalesce("nominatifs", F.lit(0))).where("nominatifs <> nombre_votants + non_votants")
-    odd = odd.select(F.lit("compteurs_incoherents").alias("kind"), "an_uid", F.to_json(F.struct("nominatifs", "nombre_votants", "non_votants")).alias("detail"))
-    return unknown.unionByName(causes).unionByName(phantom).unionByName(odd).withColumnRenamed("an_uid", "subject_uid")
-
-
-def phantom_groups(groups: DataFrame, known_organs: DataFrame) -> DataFrame:
-    """Group rows whose organ is missing, PO0 or not in the registry."""
-    known = known_organs.select(F.col("an_uid").alias("organe_uid"), F.lit(True).alias("_known"))
-    return groups.join(known, "organe_uid", "left").where("organe_uid IS NULL OR organe_uid = 'PO0' OR _known IS NULL").drop("_known")
+    """`document_anomalies`; the groups and votes of the documents are in `parsed` and not read again."""
+    return document_anomalies(parsed, known_organs)
 
 
 def strength(groups: DataFrame) -> DataFrame:

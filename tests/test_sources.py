@@ -193,3 +193,42 @@ def test_shapes_of_lists_and_scalars(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, raw string").coalesce(1).select("i", F.parse_json("raw").alias("v"))
     got = rows.select(F.size(documents.listing(F.col("v"))).alias("n"), documents.scalar(F.col("v")).alias("s"), "i").orderBy("i").collect()
     assert [r.n for r in got] == [2, 1, 1, 0, 1, 1, 1, 0] and [r.s for r in got] == [None, None, "c", None, "t", None, None, None]
+
+
+def test_anomalies_take_one_pass_over_a_document(spark):
+    """Four kinds from one parsing and one join, whatever the shapes of groups, blocks and voters; each document's votes are its own."""
+    from scrutable.sources import documents
+
+    def doc(uid, groups, voters):
+        head = {"uid": uid, "numero": "1", "legislature": "15", "dateScrutin": "2020-01-01", "titre": "t", "typeVote": {"codeTypeVote": "SPO"}, "modePublicationDesVotes": "D", "syntheseVote": {"nombreVotants": voters}}
+        return uid, json.dumps({"scrutin": head | {"ventilationVotes": {"organe": {"groupes": {"groupe": groups}}}}})
+
+    def group(organ, **blocks):
+        return {"organeRef": organ, "vote": {"decompteNominatif": blocks}}
+
+    voter = lambda ref, cause=None: {"acteurRef": ref, "causePositionVote": cause}
+    docs = [
+        doc("a", group("PO1", pours={"votant": voter("PA1", "ZZZ")}), "1"),
+        doc("b", [group({"#text": "PO1"}, pour=[None, voter("PA1"), "x", voter({"#text": "PA2"})], nonVotants={"votant": [voter("PA3", "PSE"), voter("PA4", {"#text": "ZZZ"}), voter(7)]}), None, "PO1", group("PO0", contres=None, autres=None)], "4"),
+        doc("c", [group("PO2", surprises={"votant": voter("PA1")}, contre="PA1", abstention={"votant": "PA1"}), group({"@xsi:nil": "true"}), group(1)], None),
+        doc("d", None, "0"),
+        doc("e", [{"organeRef": "PO1", "vote": None}, group("PO1", contre={"votant": voter("PA5")})], "3"),
+    ]
+    parsed = documents.rollcalls(spark.createDataFrame([*docs, ("f", "no json"), ("g", '{"scrutin": 1}')], "uid string, raw string"))
+    known = spark.createDataFrame([("PO0",), ("PO1",), ("PO1",), ("b",)], "an_uid string")
+    found = documents.document_anomalies(parsed, known)
+    assert sorted((r.subject_uid, r.kind, r.detail) for r in found.collect()) == [
+        ("b", "bloc_nominatif_inconnu", '{"rang":4,"bloc":"autres"}'),
+        ("b", "cause_non_vote_inconnue", '{"acteur_uid":"PA4","cause_non_vote":"ZZZ"}'),
+        ("b", "groupe_fantome", '{"rang":2}'),
+        ("b", "groupe_fantome", '{"rang":3}'),
+        ("b", "groupe_fantome", '{"rang":4,"organe_uid":"PO0"}'),
+        ("c", "bloc_nominatif_inconnu", '{"rang":1,"bloc":"surprises"}'),
+        ("c", "groupe_fantome", '{"rang":1,"organe_uid":"PO2"}'),
+        ("c", "groupe_fantome", '{"rang":2}'),
+        ("c", "groupe_fantome", '{"rang":3}'),
+        ("e", "compteurs_incoherents", '{"nominatifs":1,"nombre_votants":3,"non_votants":0}'),
+    ]
+    groups = documents.group_rows(parsed)
+    plan = documents.anomalies(parsed, groups, documents.votes(groups), known)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") == 1 and plan.count("Join") == 1
