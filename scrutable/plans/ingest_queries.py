@@ -48,9 +48,14 @@ def _group():
 
 
 def _rollcall_documents(t: Tables) -> DataFrame:
-    """(uid, raw): one document an order that has lines. Lines are dealt by order as they are and written out there, as text is far larger."""
+    """(uid, raw): one document an order that has lines.
+
+    Lines are dealt by order as they are and written out there, as text is far larger. They stay in as many partitions
+    as they are dealt to: merged by the size of what was dealt, a task would hold ten times as much text.
+    """
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     n = F.pmod("l_linenumber", F.lit(3)) + 1
-    lines = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus").repartition("l_orderkey").withColumn("n", n)
+    lines = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus").repartition(parts, "l_orderkey").withColumn("n", n)
     lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", _group().alias("g"), "n"))).alias("lines"))
     groups = F.concat_ws(",", F.col("lines.g"))
     groups = F.when(F.size("lines") == 1, groups).otherwise(F.concat(F.lit("["), groups, F.lit("]")))
